@@ -26,7 +26,7 @@ SAME = np.arange(256, dtype=np.uint8)
 #: Bytes of text that one step of a pass holds in numpy arrays at once; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
 
-_BYTE = np.random.default_rng(20240501).integers(0, 2**64, 256, dtype=U) | U(1)
+_BYTES = np.random.default_rng(20240501).integers(0, 2**64, (2, 256), dtype=U) | U(1)
 _POWER = np.ones(1, U)
 _BASE = U(0x9E3779B97F4A7C15)
 
@@ -46,14 +46,14 @@ def _powers(n: int) -> np.ndarray:
     return _POWER
 
 
-def hash_runs(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of consecutive runs of bytes; values holds the runs end to end, all of at least one byte."""
+def hash_runs(values: np.ndarray, lengths: np.ndarray, which: int = 0) -> np.ndarray:
+    """64-bit hashes of consecutive runs of bytes; values holds the runs end to end, all of at least one byte. Two independent ones."""
     if not len(lengths):
         return np.zeros(0, U)
     ends = np.cumsum(lengths)
     starts = ends - lengths
     place = np.arange(len(values)) - np.repeat(starts, lengths)
-    sums = np.add.reduceat(_BYTE[values] * _powers(int(lengths.max()))[place], starts)
+    sums = np.add.reduceat(_BYTES[which][values] * _powers(int(lengths.max()))[place], starts)
     return mix(sums + lengths.astype(U) * U(0xD6E8FEB86659FD93))
 
 
@@ -81,6 +81,20 @@ class Texts:
         c = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
         return c[self.off[1:]] - c[self.off[:-1]]
 
+    def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """start, length and text of each \\n-split line that has a word."""
+        newline = np.flatnonzero(self.data == 10)
+        starts = np.sort(np.concatenate([self.off[:-1], newline + 1]))
+        stops = np.sort(np.concatenate([newline, self.off[1:]]))
+        full = np.concatenate([[0], np.cumsum(SPACE_WORDS[self.data])])
+        keep = full[stops] > full[starts]
+        return starts[keep], (stops - starts)[keep], self.doc_of(starts[keep])
+
+    def runs(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The bytes of disjoint runs of at least one byte, end to end."""
+        at = np.cumsum(lengths) - lengths
+        return self.data[np.arange(int(lengths.sum())) + np.repeat(starts - at, lengths)]
+
     def words(self, wordly: np.ndarray, fold: np.ndarray = LOWER) -> Words:
         return Words(self, wordly, fold)
 

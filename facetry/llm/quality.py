@@ -46,18 +46,8 @@ def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
     chars, symbols, upper = t.sums(inside & _CHAR[t.data]), t.sums(_SYMBOL[t.data]), t.sums(_UPPER[t.data])
 
     # lines with a word, and those equal to an earlier one of the same text
-    newline = np.flatnonzero(t.data == 10)
-    starts = np.sort(np.concatenate([t.off[:-1], newline + 1]))
-    cuts = np.concatenate([np.sort(np.concatenate([newline, t.off[1:]]))])
-    length = cuts - starts
-    full = np.concatenate([[0], np.cumsum(inside)])
-    keep = full[cuts] > full[starts]
-    starts, length = starts[keep], length[keep]
-    mask = np.zeros(len(t.data) + 1, np.int64)
-    np.add.at(mask, starts, 1)
-    np.add.at(mask, starts + length, -1)
-    h = hash_runs(t.data[np.cumsum(mask[:-1]) > 0], length)
-    doc = t.doc_of(starts)
+    starts, length, doc = t.lines()
+    h = hash_runs(t.runs(starts, length), length)
     lines = np.bincount(doc, minlength=len(t))
     first = np.unique(mix(h + doc.astype(U) * U(0xC2B2AE3D27D4EB4F)), return_index=True)[1]
     dup = lines - np.bincount(doc[first], minlength=len(t))
