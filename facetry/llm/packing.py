@@ -3,8 +3,7 @@
 The program: with n(l) pieces of each length l, choose how often to use each configuration (multiset of lengths that fits a
 sequence) so that all lengths are covered with fewest sequences. Multiplicative weights solve it: a length's price falls
 exponentially with its share already covered, and a knapsack dynamic program over the capacity prices configurations. The
-fractional solution is rounded down, the program is solved again for what remains while that is large, and the rest goes by
-best fit, largest first. Only the histogram (as many rows as the capacity) comes to the driver; pieces get their places by
+fractional solution is rounded down and what remains goes by best fit, largest first. Only the histogram (as many rows as the capacity) comes to the driver; pieces get their places by
 rank within their length, counted over hash buckets so that one hot length is dealt over many tasks.
 """
 
@@ -22,8 +21,9 @@ from .tokens import encoder, vocabulary
 
 SIZE = 1024
 END = 2
-#: Least progress of a length's covered share in a step of the weights, and their rate; pricing rounds at most.
-STEP, RATE, ROUNDS = 0.05, 40.0, 250
+#: Progress of a length's covered share in a step of the weights at most, their rate, how far below the best price a
+#: configuration may be, and pricing rounds at most.
+STEP, RATE, SLACK, ROUNDS = 0.05, 2.0, 0.002, 60
 #: Pieces for each hash bucket within a length.
 BUCKET = 100_000
 
@@ -68,8 +68,8 @@ def price(value: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray
         n = int(np.searchsorted(lengths, c, "right"))
         if n:
             v = value[:n] + best[c - lengths[:n]]
-            i = int(v.argmax())
-            best[c], pick[c] = v[i], i
+            i = n - 1 - int(v[::-1].argmax())  # of equal ones the longest, so that short pieces are left to fill up
+            best[c], pick[c] = v[i], i if value[i] > 0 else pick[c - lengths[i]]
     return best, pick
 
 
@@ -84,32 +84,35 @@ def _configurations(first: np.ndarray, pick: np.ndarray, lengths: np.ndarray, si
     return out
 
 
+def _prices(lengths: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """A length's price: in proportion to itself, falling exponentially with its covered share."""
+    return lengths * np.exp(-RATE * (share - share.min()))
+
+
 def solve(lengths: np.ndarray, need: np.ndarray, size: int) -> tuple[dict[tuple[int, ...], float], float]:
-    """Fractional uses of configurations (tuples of indices into lengths) that cover `need`, and a lower bound on sequences."""
+    """Fractional uses of configurations (tuples of indices into lengths) that never exceed `need`, and a lower bound on sequences."""
     share = np.zeros(len(lengths))
     uses: dict[tuple[int, ...], float] = {}
     bound = float((lengths * need).sum()) / size
     for _ in range(ROUNDS):
-        if share.min() >= 1:
-            break
-        value = np.exp(-RATE * np.minimum(share - share.min(), 15 / RATE * 2)) / need
+        value = np.where(share < 1, _prices(lengths, share), 0.0)  # what is covered is worth nothing more
         best, pick = price(value, lengths, size)
         bound = max(bound, float((value * need).sum()) / best[size])  # prices over the best are a dual solution
-        good = value + best[size - lengths] >= (1 - STEP) * best[size]
-        found = _configurations(np.flatnonzero(good & (share < share.min() + 4 * STEP)) if (good & (share < share.min() + 4 * STEP)).any() else np.flatnonzero(good), pick, lengths, size)
-        add = np.zeros(len(lengths))
-        amount = []
-        for c in found:
-            where, times = np.unique(c, return_counts=True)
-            d = STEP * float((need[where] / times).min())
-            amount.append(d)
-            add[where] += d * times / need[where]
-        scale = min(1.0, STEP / add.max())
-        for c, d in zip(found, amount, strict=True):
-            uses[c] = uses.get(c, 0.0) + d * scale
-        share += add * scale
-    covered = max(share.min(), 1e-9)
-    return {c: x / covered for c, x in uses.items()} if share.min() > 0 else uses, bound
+        good = np.flatnonzero((value > 0) & (value + best[size - lengths] >= (1 - SLACK) * best[size]))
+        found = _configurations(good, pick, lengths, size)
+        parts = [np.unique(c, return_counts=True) for c in found]
+        amount = [float((need[where] / times).min()) for where, times in parts]
+        asked = np.zeros(len(lengths))
+        for (where, times), d in zip(parts, amount, strict=True):
+            asked[where] += d * times / need[where]
+        # a length that many configurations ask for is shared out among them
+        for c, (where, times), d in zip(found, parts, amount, strict=True):
+            d *= STEP / max(1.0, asked[where].max())
+            uses[c] = uses.get(c, 0.0) + d
+            share[where] += d * times / need[where]
+        if share.min() >= 1:
+            break
+    return {c: x / share.max() for c, x in uses.items()}, bound
 
 
 def _best_fit(lengths: np.ndarray, left: np.ndarray, size: int) -> dict[tuple[int, ...], int]:
@@ -138,30 +141,19 @@ def _best_fit(lengths: np.ndarray, left: np.ndarray, size: int) -> dict[tuple[in
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> tuple[list[tuple[tuple[int, ...], int]], float]:
     """(lengths of a sequence, how many such sequences) that hold the histogram's pieces exactly, and a lower bound."""
+    if not histogram:
+        return [], 0.0
     lengths = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[int(x)] for x in lengths], np.int64)
+    uses, bound = solve(lengths, left.astype(float), size)
     out: dict[tuple[int, ...], int] = {}
-    total = 0.0
-    for turn in range(6):
-        some = np.flatnonzero(left)
-        if not len(some) or (turn and left.sum() < 4 * len(some)):
-            break
-        uses, bound = solve(lengths[some], left[some].astype(float), size)
-        total = total or bound
-        before = left.sum()
-        # the fullest sequences first; a slot beyond what is left makes a use void
-        for c, x in sorted(uses.items(), key=lambda u: (-int(lengths[some][list(u[0])].sum()), -u[1])):
-            where, times = np.unique(some[list(c)], return_counts=True)
-            k = min(int(x), int((left[where] // times).min()))
-            if k:
-                key = tuple(int(v) for v in some[list(c)])
-                out[key] = out.get(key, 0) + k
-                left[where] -= k * times
-        if left.sum() > 0.8 * before:
-            break
+    for c, x in uses.items():
+        if k := int(x):
+            out[c] = k
+            np.subtract.at(left, list(c), k)
     for c, k in _best_fit(lengths, left, size).items():
         out[c] = out.get(c, 0) + k
-    return [(tuple(int(lengths[i]) for i in c), k) for c, k in sorted(out.items())], total
+    return [(tuple(int(lengths[i]) for i in c), k) for c, k in sorted(out.items())], bound
 
 
 def slots(sequences: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
