@@ -2,5 +2,339 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import color
+from ..operators import health, holes, mesh, topology
+from . import scans
+from .scans import ADJ, CHOSEN, HIDDEN, UNIT, scan, scan_sql
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, dirty: bool = False, ctes: tuple[str, ...] = (), plain: bool = False):
+    """Registers a query by its function's name; sql is the last SELECT over scan_sql's tables and the ctes, or all of it if plain."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql if plain else ",\n".join([scan_sql(dirty).rstrip(), *ctes]) + "\n" + sql
+        return f
+
+    return register
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+EDGES = "ed AS (SELECT lo, hi, count(*) AS n, sum(CASE WHEN u = lo THEN 1 ELSE 0 END) AS up FROM he GROUP BY lo, hi)"
+BAD = "(v0 = v1 OR v1 = v2 OR v2 = v0)"
+REPORT = f"""SELECT (SELECT count(*) FROM f) AS faces, (SELECT count(DISTINCT vid) FROM (SELECT v0 AS vid FROM f UNION ALL SELECT v1 FROM f UNION ALL SELECT v2 FROM f)) AS vertices_used,
+(SELECT count(*) FROM ed) AS edges, (SELECT count(*) FROM ed WHERE n = 1) AS boundary_edges, (SELECT count(*) FROM ed WHERE n > 2) AS non_manifold_edges, (SELECT count(*) FROM ed WHERE n = 2 AND up <> 1) AS inconsistent_normals,
+(SELECT count(*) FROM v WHERE vid NOT IN (SELECT v0 FROM f UNION SELECT v1 FROM f UNION SELECT v2 FROM f)) AS isolated_verts,
+(SELECT count(*) FROM n WHERE {BAD} OR cx * cx + cy * cy + cz * cz = 0) AS degenerate_faces,
+(SELECT coalesce(sum(c - 1), 0)::BIGINT FROM (SELECT count(*) AS c FROM f WHERE NOT {BAD} GROUP BY list_sort([v0, v1, v2]))) AS duplicate_faces"""
+
+
+@query(f"SELECT *, vertices_used - edges + faces AS euler_characteristic FROM ({REPORT})", ctes=(EDGES,))
+def h1_health(spark: SparkSession, d: str) -> DataFrame:
+    return health.report(*scan(spark, d), loops=False).drop("mesh_id")
+
+
+@query(f"SELECT *, vertices_used - edges + faces AS euler_characteristic FROM ({REPORT})", dirty=True, ctes=(EDGES,))
+def h1_health_dirty(spark: SparkSession, d: str) -> DataFrame:
+    return health.report(*scan(spark, d, True), loops=False).drop("mesh_id")
+
+
+@query()
+def h1_health_full(spark: SparkSession, d: str) -> DataFrame:
+    return health.report(*scan(spark, d))
+
+
+@query("SELECT k, lo, hi, u, v, fid FROM he")
+def t1_half_edges(spark, d):
+    return topology.half_edges(scan(spark, d)[1]).drop("mesh_id")
+
+
+@query("SELECT u, v, lo, hi, fid FROM be")
+def t2_boundary_edges(spark, d):
+    return topology.boundary_edges(scan(spark, d)[1]).drop("mesh_id")
+
+
+@query("SELECT fid, k, nb FROM adj", dirty=True, ctes=(ADJ,))
+def t3_face_adjacency(spark, d):
+    return topology.face_adjacency(scan(spark, d, True)[1]).drop("mesh_id")
+
+
+ANGLE = "ang AS (SELECT a.fid, k, nb, greatest(-1.0, least(1.0, p.nx * q.nx + p.ny * q.ny + p.nz * q.nz)) AS cosine FROM adj a JOIN un p ON p.fid = a.fid JOIN un q ON q.fid = a.nb WHERE nb IS NOT NULL)"
+
+
+@query("SELECT fid, k, nb, round(degrees(acos(cosine)), 6) AS degrees FROM ang", ctes=(ADJ, UNIT, ANGLE))
+def t4_dihedral_angles(spark, d):
+    v, f = scan(spark, d)
+    return topology.with_angles(topology.face_adjacency(f), mesh.face_geometry(v, f)).select("fid", "k", "nb", r6(F.degrees(F.acos("cosine"))).alias("degrees"))
+
+
+@query("SELECT fid FROM sel UNION SELECT a.fid FROM ang a JOIN sel s ON s.fid = a.nb WHERE acos(cosine) <= radians(30.0)", ctes=(ADJ, UNIT, ANGLE, CHOSEN))
+def t5_grow(spark, d):
+    v, f = scan(spark, d)
+    return topology.grow(topology.face_adjacency(f), mesh.face_geometry(v, f), scans.chosen(f), 30.0).select("fid")
+
+
+@query("SELECT fid FROM sel WHERE fid NOT IN (SELECT a.fid FROM adj a JOIN sel USING (fid) WHERE nb IS NULL OR nb NOT IN (SELECT fid FROM sel))", ctes=(ADJ, CHOSEN))
+def t6_shrink(spark, d):
+    f = scan(spark, d)[1]
+    return topology.shrink(topology.face_adjacency(f), scans.chosen(f)).select("fid")
+
+
+@query()
+def t7_flood(spark, d):
+    v, f = scan(spark, d)
+    return topology.flood(f, topology.face_adjacency(f), mesh.face_geometry(v, f), f.where("fid = 0").select("mesh_id", "fid"), 40.0).select("fid")
+
+
+@query("SELECT fid FROM f WHERE fid NOT IN (SELECT fid FROM sel) AND fid NOT IN (SELECT fid FROM hid)", ctes=(CHOSEN, HIDDEN))
+def t9_invert(spark, d):
+    f = scan(spark, d)[1]
+    return topology.invert(f, scans.chosen(f), scans.hidden(f)).select("fid")
+
+
+@query("SELECT fid, v0, v1, v2 FROM f WHERE fid NOT IN (SELECT fid FROM hid)", ctes=(HIDDEN,))
+def t11_visible_faces(spark, d):
+    f = scan(spark, d)[1]
+    # regions hold their faces in blocks, so that a large one is no single row
+    h = scans.hidden(f).groupBy("mesh_id", F.floor(F.col("fid") / 4096).alias("region_id")).agg(F.collect_list("fid").alias("faces")).withColumn("visible", F.lit(False))
+    return topology.visible(f, h).drop("mesh_id")
+
+
+@query("SELECT fid, row_number() OVER (ORDER BY fid) - 1 AS new_fid FROM f WHERE fid NOT IN (SELECT fid FROM hid)", ctes=(HIDDEN,))
+def t12_delete_hidden_reindex(spark, d):
+    from ..tables import numbered
+
+    f = scan(spark, d)[1]
+    return numbered(f.join(scans.hidden(f), ["mesh_id", "fid"], "left_anti").select("mesh_id", "fid"), ["fid"], "new_fid").select("fid", "new_fid")
+
+
+RING = "fv AS (SELECT fid, v0 AS vid FROM f UNION ALL SELECT fid, v1 FROM f UNION ALL SELECT fid, v2 FROM f)"
+
+
+@query(
+    """SELECT fid FROM m2 WHERE (SELECT count(*) FROM m2) <= (SELECT count(*) * 4 // 10 FROM f)
+UNION SELECT fid FROM be WHERE (SELECT count(*) FROM m2) > (SELECT count(*) * 4 // 10 FROM f)""",
+    ctes=(RING, "m1 AS (SELECT DISTINCT fid FROM fv WHERE vid IN (SELECT u FROM be UNION SELECT v FROM be))", "m2 AS (SELECT DISTINCT fid FROM fv WHERE vid IN (SELECT vid FROM fv JOIN m1 USING (fid)))"),
+)
+def t13_hole_mask(spark, d):
+    return topology.hole_mask(scan(spark, d)[1], 2).select("fid")
+
+
+@query()
+def t14_components(spark, d):
+    return topology.face_components(scan(spark, d)[1]).select("fid", "root")
+
+
+@query("SELECT DISTINCT lo, hi FROM he")
+def t16_unique_edges(spark, d):
+    return topology.unique_edges(scan(spark, d)[1]).drop("mesh_id")
+
+
+@query("SELECT a.x AS ux, a.y AS uy, a.z AS uz, b.x AS vx, b.y AS vy, b.z AS vz FROM be JOIN v a ON a.vid = u JOIN v b ON b.vid = be.v")
+def t18_outline_segments(spark, d):
+    v, f = scan(spark, d)
+    e = topology.boundary_edges(f)
+    for n in "uv":
+        e = e.join(v.select("mesh_id", F.col("vid").alias(n), *[F.col(a).alias(f"{n}{a}") for a in "xyz"]), ["mesh_id", n])
+    return e.select(*[f"{n}{a}" for n in "uv" for a in "xyz"])
+
+
+CORNERS = "co AS (SELECT 3 * fid AS corner_idx, x0 AS x, y0 AS y, z0 AS z FROM p UNION ALL SELECT 3 * fid + 1, x1, y1, z1 FROM p UNION ALL SELECT 3 * fid + 2, x2, y2, z2 FROM p)"
+WELDED = "wv AS (SELECT x, y, z, row_number() OVER (ORDER BY min(corner_idx)) - 1 AS vid FROM co GROUP BY x, y, z)"
+
+
+def corners(spark, d):
+    v, f = scan(spark, d)
+    one = f.select("mesh_id", "fid", F.posexplode(F.array("v0", "v1", "v2")).alias("k", "vid")).join(v, ["mesh_id", "vid"])
+    return one.select("mesh_id", (3 * F.col("fid") + F.col("k")).alias("corner_idx"), "x", "y", "z")
+
+
+@query("SELECT vid, x, y, z FROM wv", ctes=(CORNERS, WELDED))
+def m1_weld_vertices(spark, d):
+    return mesh.weld(corners(spark, d))[0].drop("mesh_id")
+
+
+@query("SELECT corner_idx // 3 AS fid, max(CASE WHEN corner_idx % 3 = 0 THEN vid END) AS v0, max(CASE WHEN corner_idx % 3 = 1 THEN vid END) AS v1, max(CASE WHEN corner_idx % 3 = 2 THEN vid END) AS v2 FROM co JOIN wv USING (x, y, z) GROUP BY 1", ctes=(CORNERS, WELDED))
+def m1_weld_faces(spark, d):
+    return mesh.weld(corners(spark, d))[1].drop("mesh_id")
+
+
+@query(
+    """SELECT v.vid, CASE WHEN s > 0 THEN round(sx / s, 6) ELSE 0.0 END AS nx, CASE WHEN s > 0 THEN round(sy / s, 6) ELSE 1.0 END AS ny, CASE WHEN s > 0 THEN round(sz / s, 6) ELSE 0.0 END AS nz FROM v LEFT JOIN (
+SELECT vid, sx, sy, sz, sqrt(CAST(sx AS DOUBLE) * sx + CAST(sy AS DOUBLE) * sy + CAST(sz AS DOUBLE) * sz) AS s FROM (SELECT vid, sum(cx) AS sx, sum(cy) AS sy, sum(cz) AS sz FROM fv JOIN n USING (fid) GROUP BY vid)) q ON q.vid = v.vid""",
+    ctes=(RING,),
+)
+def m3_vertex_normals(spark, d):
+    return mesh.vertex_normals(*scan(spark, d)).select("vid", *[r6(f"n{a}").alias(f"n{a}") for a in "xyz"])
+
+
+@query(
+    "SELECT n.fid, cx, cy, cz, round(sqrt(CAST(cx AS DOUBLE) * cx + CAST(cy AS DOUBLE) * cy + CAST(cz AS DOUBLE) * cz) / 2, 6) AS area, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz, round((x0 + x1 + x2) / 3.0, 6) AS mx, round((y0 + y1 + y2) / 3.0, 6) AS my, round((z0 + z1 + z2) / 3.0, 6) AS mz FROM n JOIN un USING (fid)",
+    ctes=(UNIT,),
+)
+def m4_face_geometry(spark, d):
+    g = mesh.face_geometry(*scan(spark, d))
+    return g.select("fid", "cx", "cy", "cz", *[r6(c).alias(c) for c in ("area", "nx", "ny", "nz", "mx", "my", "mz")])
+
+
+@query("SELECT round(sum(sqrt(CAST(cx AS DOUBLE) * cx + CAST(cy AS DOUBLE) * cy + CAST(cz AS DOUBLE) * cz) / 2), 3) AS area FROM n")
+def m5_surface_area(spark, d):
+    return mesh.surface_area(*scan(spark, d)).select(F.round("area", 3).alias("area"))
+
+
+@query(
+    """SELECT min_x, max_x, min_y, max_y, min_z, max_z, (min_x + max_x) / 2 AS center_x, (min_y + max_y) / 2 AS center_y, (min_z + max_z) / 2 AS center_z, max_x - min_x AS extent_x, max_y - min_y AS extent_y, max_z - min_z AS extent_z,
+round(sqrt((max_x - min_x) ** 2 + (max_y - min_y) ** 2 + (max_z - min_z) ** 2), 6) AS diagonal FROM (SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM v)"""
+)
+def m6_bounding_box(spark, d):
+    return mesh.bounding_box(scan(spark, d)[0]).drop("mesh_id").withColumn("diagonal", r6("diagonal"))
+
+
+@query("SELECT vid, CAST(10 - y AS DOUBLE) AS x, CAST(20 + x AS DOUBLE) AS y, CAST(30 + z AS DOUBLE) AS z FROM v")
+def m7_transform(spark, d):
+    h = math.sqrt(0.5)
+    return mesh.transform(scan(spark, d)[0], (0.0, 0.0, h, h), (10.0, 20.0, 30.0)).select("vid", *[F.round(a, 6).alias(a) for a in "xyz"])
+
+
+@query("SELECT vid, x - (SELECT (min(x) + max(x)) / 2 FROM v) AS x, y - (SELECT (min(y) + max(y)) / 2 FROM v) AS y, z - (SELECT (min(z) + max(z)) / 2 FROM v) AS z FROM v")
+def s10_auto_centre(spark, d):
+    return mesh.centred(scan(spark, d)[0]).drop("mesh_id")
+
+
+def kept_sql(which: str) -> tuple[str, ...]:
+    return (CHOSEN, f"kf AS (SELECT *, row_number() OVER (ORDER BY fid) - 1 AS new FROM f WHERE fid {which} (SELECT fid FROM sel))", "kc AS (SELECT new, 0 AS k, v0 AS vid FROM kf UNION ALL SELECT new, 1, v1 FROM kf UNION ALL SELECT new, 2, v2 FROM kf)", "kv AS (SELECT vid, row_number() OVER (ORDER BY min(3 * new + k)) - 1 AS nvid FROM kc GROUP BY vid)")
+
+
+FACES = "SELECT new AS fid, a.nvid AS v0, b.nvid AS v1, c.nvid AS v2 FROM kf JOIN kv a ON a.vid = v0 JOIN kv b ON b.vid = v1 JOIN kv c ON c.vid = v2"
+
+
+@query(FACES, ctes=kept_sql("NOT IN"))
+def m8_split_kept_faces(spark, d):
+    v, f = scan(spark, d)
+    return mesh.split(v, f, scans.chosen(f))[0][1].drop("mesh_id")
+
+
+@query("SELECT nvid AS vid, x, y, z FROM kv JOIN v USING (vid)", ctes=kept_sql("IN"))
+def m8_split_hidden_vertices(spark, d):
+    v, f = scan(spark, d)
+    return mesh.split(v, f, scans.chosen(f))[1][0].drop("mesh_id")
+
+
+@query("SELECT fid, v0, v1, v2 FROM f UNION ALL SELECT fid + (SELECT max(fid) + 1 FROM f), v0 + m, v1 + m, v2 + m FROM f, (SELECT max(vid) + 1 AS m FROM v)")
+def m9_combine_faces(spark, d):
+    v, f = scan(spark, d)
+    return mesh.combine(v, f, v, f)[1].drop("mesh_id")
+
+
+@query("SELECT nvid AS vid, x, y, z FROM kv JOIN v USING (vid)", ctes=kept_sql("IS NOT NULL OR fid IN"))
+def m10_compact_vertices(spark, d):
+    return mesh.compact(*scan(spark, d))[0].drop("mesh_id")
+
+
+@query("SELECT fid, k, vid, x, y, z FROM (SELECT fid, 0 AS k, v0 AS vid FROM f UNION ALL SELECT fid, 1, v1 FROM f UNION ALL SELECT fid, 2, v2 FROM f) JOIN sel USING (fid) JOIN v USING (vid)", ctes=(CHOSEN,))
+def m13_selection_points(spark, d):
+    v, f = scan(spark, d)
+    return mesh.selection_points(v, f, scans.chosen(f)).drop("mesh_id")
+
+
+@query("SELECT vid, x, y, z FROM (SELECT *, row_number() OVER (ORDER BY vid) - 1 AS r, count(*) OVER () AS n FROM v) WHERE r % CAST(ceil(n / 300.0) AS BIGINT) = 0")
+def m14_strided_sample(spark, d):
+    return mesh.strided(scan(spark, d)[0], 300, ["vid"]).drop("mesh_id")
+
+
+@query()
+def m11_surface_sample(spark, d):
+    return mesh.sample_surface(*scan(spark, d), 5000)
+
+
+@query(FACES, dirty=True, ctes=(f"kf AS (SELECT *, row_number() OVER (ORDER BY fid) - 1 AS new FROM n WHERE NOT ({BAD} OR cx * cx + cy * cy + cz * cz = 0))", *kept_sql("IN")[2:]))
+def h3_remove_degenerate(spark, d):
+    return health.remove_degenerate(*scan(spark, d, True))[1].drop("mesh_id")
+
+
+@query()
+def h2_non_manifold_vertices(spark, d):
+    return health.fans(scan(spark, d)[1]).where("fans > 1")
+
+
+@query()
+def h4_unify_normals(spark, d):
+    return health.unify_normals(*scan(spark, d, True)).drop("mesh_id")
+
+
+@query()
+def h5_remove_small_components(spark, d):
+    return health.remove_small_components(*scan(spark, d), 0.05)[1].drop("mesh_id")
+
+
+@query()
+def h6_auto_repair(spark, d):
+    return health.auto_repair(*scan(spark, d, True))[1].drop("mesh_id")
+
+
+
+
+@query()
+def g1_holes(spark, d):
+    return holes.holes(*scan(spark, d)).drop("mesh_id")
+
+
+@query()
+def g3_fan_fill(spark, d):
+    return holes.fan_fill(*scan(spark, d))[1].drop("mesh_id")
+
+
+REFERENCES = [(1, "plane", (0.0, 0.0, 50.0), (0.0, 0.0, 1.0), 0.0), (2, "disk", (500.0, 500.0, 0.0), (0.0, 0.0, 1.0), 300.0), (3, "cylinder", (1000.0, 1000.0, 50.0), (0.0, 0.0, 1.0), 400.0)]
+
+
+def references(spark):
+    p = "struct<x:double,y:double,z:double>"
+    return spark.createDataFrame(REFERENCES, f"feature_id long, kind string, point {p}, normal {p}, radius double")
+
+
+REF = """rd AS (SELECT vid, unnest([{'d': CAST(abs(z - 50) AS DOUBLE), 'i': 1},
+{'d': CASE WHEN a <= 300 THEN CAST(abs(z) AS DOUBLE) ELSE sqrt((a - 300) * (a - 300) + z * z) END, 'i': 2},
+{'d': sqrt((b - 400) * (b - 400) + greatest(0.0, abs(z - 50) - 800.0) ** 2), 'i': 3}]) AS s FROM (SELECT *, sqrt(CAST((x - 500) * (x - 500) + (y - 500) * (y - 500) AS DOUBLE)) AS a, sqrt(CAST((x - 1000) * (x - 1000) + (y - 1000) * (y - 1000) AS DOUBLE)) AS b FROM v)),
+rn AS (SELECT vid, min(s.d) AS distance FROM rd GROUP BY vid)"""
+
+
+@query("SELECT vid, round(distance, 6) AS distance FROM rn", ctes=(REF,))
+def g11_nearest_reference(spark, d):
+    return holes.nearest_reference(scan(spark, d)[0], references(spark)).select("vid", r6("distance").alias("distance"))
+
+
+@query("SELECT round(sqrt(avg(distance * distance)), 6) AS rms, round(max(distance), 6) AS max_dev, round(sqrt(avg(distance * distance)) + 0.15 * max(distance), 6) AS score, count(*) AS samples FROM rn", ctes=(REF,))
+def g12_evaluate_patch(spark, d):
+    return holes.evaluate_patch(scan(spark, d)[0], references(spark)).select(*[r6(c).alias(c) for c in ("rms", "max_dev", "score")], "samples")
+
+
+@query("SELECT p_partkey, CASE WHEN c <= 0.04045 THEN round(c / 12.92, 6) ELSE round(((c + 0.055) / 1.055) ** 2.4, 6) END AS linear FROM (SELECT p_partkey, p_size / 51.0::DOUBLE AS c FROM part)", plain=True)
+def x5_srgb_to_linear(spark, d):
+    return scans.table(spark, d, "part").select("p_partkey", r6(color.srgb_to_linear(F.col("p_size") / F.lit(51.0))).alias("linear"))
+
+
+@query("SELECT p_partkey, CASE WHEN m <= 1 THEN p WHEN m <= 2 THEN 2 * p WHEN m <= 5 THEN 5 * p ELSE 10 * p END AS step FROM (SELECT *, p_size / p AS m FROM (SELECT p_partkey, p_size, 10.0::DOUBLE ** floor(log10(p_size)) AS p FROM part))", plain=True)
+def x7_nice_step(spark, d):
+    return scans.table(spark, d, "part").select("p_partkey", color.nice_step(F.col("p_size").cast("double")).alias("step"))
+
+
+@query("SELECT o_orderkey, format('{:,}', o_orderkey) AS grouped FROM orders", plain=True)
+def x9_thousands(spark, d):
+    return scans.table(spark, d, "orders").select("o_orderkey", color.grouped(F.col("o_orderkey")).alias("grouped"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '[^\\p{L}\\p{N}_-]', '_', 'g') AS name FROM part", plain=True)
+def x11_safe_name(spark, d):
+    return scans.table(spark, d, "part").select("p_partkey", color.safe_name(F.col("p_name")).alias("name"))
