@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..operators import health, holes, mesh, topology
+from ..operators import fitting, health, holes, mesh, spatial, topology
+from ..sources import sinks
 from . import scans
 from .scans import ADJ, CHOSEN, HIDDEN, UNIT, scan, scan_sql
 
@@ -338,3 +339,140 @@ def x9_thousands(spark, d):
 @query("SELECT p_partkey, regexp_replace(p_name, '[^\\p{L}\\p{N}_-]', '_', 'g') AS name FROM part", plain=True)
 def x11_safe_name(spark, d):
     return scans.table(spark, d, "part").select("p_partkey", color.safe_name(F.col("p_name")).alias("name"))
+
+
+
+def probes(spark, d):
+    """Points over and beside the scan, one for each part."""
+    w, h = scans.sizes(spark, d)
+    k = F.col("p_partkey")
+    xyz = [(k * 7919 % (100 * w)).alias("x"), (k * 104729 % (100 * h)).alias("y"), (F.col("p_size").cast("long") * 6 - 40).alias("z")]
+    return scans.table(spark, d, "part").select(F.lit("scan").alias("mesh_id"), k.alias("pid"), *xyz)
+
+
+PROBES = "pr AS (SELECT p_partkey AS pid, p_partkey * 7919 % (100 * w) AS px, p_partkey * 104729 % (100 * h) AS py, CAST(p_size AS BIGINT) * 6 - 40 AS pz FROM part, g)"
+
+
+def _turn(a: int, b: int) -> str:
+    e, p = [f"({c}{b} - {c}{a})" for c in "xyz"], [f"(p{c} - {c}{a})" for c in "xyz"]
+    return f"(({e[1]} * {p[2]} - {e[2]} * {p[1]}) * cx + ({e[2]} * {p[0]} - {e[0]} * {p[2]}) * cy + ({e[0]} * {p[1]} - {e[1]} * {p[0]}) * cz)"
+
+
+#: Brute force: every probe with every face. The sides' parameter is written out, as lateral subqueries would be slow.
+def _side_flat(a: int, b: int) -> tuple[str, str]:
+    ab, ap = [f"({c}{b} - {c}{a})" for c in "xyz"], [f"(p{c} - {c}{a})" for c in "xyz"]
+    t = f"coalesce(greatest(0.0, least(1.0, CAST({' + '.join(f'{x} * {y}' for x, y in zip(ap, ab))} AS DOUBLE) / nullif({' + '.join(f'{x} * {x}' for x in ab)}, 0))), 0.0) AS t{a}"
+    return t, " + ".join(f"({p} - t{a} * {q}) ** 2" for p, q in zip(ap, ab))
+
+
+_T = [_side_flat(a, (a + 1) % 3) for a in range(3)]
+_INSIDE = " AND ".join(f"{_turn(a, (a + 1) % 3)} >= 0" for a in range(3))
+NEAREST = f"""nr AS (SELECT pid, min(CASE WHEN {_INSIDE} THEN CAST((px - x0) * cx + (py - y0) * cy + (pz - z0) * cz AS DOUBLE) ** 2 / (cx * cx + cy * cy + cz * cz) ELSE least({', '.join(x[1] for x in _T)}) END) AS d2
+ FROM (SELECT *, {', '.join(x[0] for x in _T)} FROM pr, n) GROUP BY pid)"""
+
+
+@query("SELECT pid, round(sqrt(d2), 5) AS distance FROM nr", ctes=(PROBES, NEAREST))
+def j2_closest_point(spark, d):
+    return spatial.closest(probes(spark, d), *scan(spark, d), 100.0).select("pid", F.round("distance", 5).alias("distance"))
+
+
+@query("SELECT round(max(sqrt(d2)), 4) AS max_dev, round(avg(d2), 3) AS ms, count(*) AS points FROM nr", ctes=(PROBES, NEAREST))
+def v1_deviation(spark, d):
+    return spatial.deviation(spatial.closest(probes(spark, d), *scan(spark, d), 100.0)).select(F.round("max_dev", 4).alias("max_dev"), F.round("ms", 3).alias("ms"), "points")
+
+
+@query("SELECT round(avg(CASE WHEN sqrt(d2) <= 100 THEN 1 ELSE 0 END) * 100, 6) AS percent FROM nr", ctes=(PROBES, NEAREST))
+def v7_in_tolerance(spark, d):
+    return spatial.in_tolerance(spatial.closest(probes(spark, d), *scan(spark, d), 100.0), 100.0).select(r6("percent").alias("percent"))
+
+
+@query("SELECT round(avg(least(d2, 2500.0)), 3) AS loss, round(sqrt(avg(CASE WHEN d2 <= 2500 THEN d2 END)), 4) AS rms FROM nr", ctes=(PROBES, NEAREST))
+def y2_robust_loss(spark, d):
+    return spatial.robust_loss(spatial.closest(probes(spark, d), *scan(spark, d), 100.0), 50.0).select(F.round("loss", 3).alias("loss"), F.round("rms", 4).alias("rms"))
+
+
+@query()
+def v3_vertex_heat(spark, d):
+    v, f = scan(spark, d)
+    return spatial.vertex_maxima(v, f, spatial.face_maxima(spatial.closest(probes(spark, d), v, f, 100.0))).select("vid", "heat")
+
+
+@query()
+def j5_sphere_query(spark, d):
+    return spatial.within(probes(spark, d), *scan(spark, d), 120.0).select("pid", "fid")
+
+
+DOWN = "SELECT pid, round(min(CAST((pz - z0) * cz + (py - y0) * cy + (px - x0) * cx AS DOUBLE) / cz), 5) AS t FROM (SELECT pid, px, py, 1000 AS pz FROM pr) q, n WHERE cz <> 0 AND {0} GROUP BY pid".format(
+    " AND ".join(f"((x{b} - x{a}) * (py - y{a}) - (y{b} - y{a}) * (px - x{a})) * sign(cz) >= 0" for a, b in ((0, 1), (1, 2), (2, 0)))
+)
+
+
+@query(DOWN, ctes=(PROBES,))
+def j4_ray_cast(spark, d):
+    rays = probes(spark, d).withColumn("z", F.lit(1000.0)).select("*", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(-1.0).alias("dz"))
+    return spatial.ray_cast(rays, *scan(spark, d), 200.0, 1200.0).select("pid", F.round("t", 5).alias("t"))
+
+
+@query("SELECT vid, x, y, 100 - z AS z FROM v")
+def y1_reflect(spark, d):
+    v = scan(spark, d)[0]
+    return spatial.reflect(v, (0.0, 0.0, 50.0), (0.0, 0.0, 1.0)).select("vid", "x", "y", "z").selectExpr("vid", "cast(x as bigint) x", "cast(y as bigint) y", "cast(z as bigint) z")
+
+
+def clouds(spark, d):
+    v = scan(spark, d)[0]
+    return v.join(scans.table(spark, d, "events").select(F.col("event_id").alias("vid"), "event_type"), "vid")
+
+
+@query()
+def f2_plane_fit(spark, d):
+    return fitting.plane_fit(clouds(spark, d), ["event_type"])
+
+
+CIRCLE = """WITH c AS (SELECT p_brand, cos(p_partkey * 0.001) * (10 + p_size / 50.0::DOUBLE) AS x, sin(p_partkey * 0.001) * (10 + p_size / 50.0::DOUBLE) AS y FROM part),
+m AS (SELECT p_brand, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM c GROUP BY p_brand HAVING count(*) >= 3),
+s AS (SELECT p_brand, n, mx, my, sum(u * u) AS uu, sum(u * w) AS uw, sum(w * w) AS ww, sum((u * u + w * w) * u) AS qu, sum((u * u + w * w) * w) AS qw, sum(u * u + w * w) AS q FROM (SELECT *, x - mx AS u, y - my AS w FROM c JOIN m USING (p_brand)) GROUP BY ALL),
+t AS (SELECT *, (qu * ww - qw * uw) / (2 * (uu * ww - uw * uw)) AS du, (qw * uu - qu * uw) / (2 * (uu * ww - uw * uw)) AS dw FROM s)
+SELECT p_brand, n, round(mx + du, 4) AS cx, round(my + dw, 4) AS cy, round(sqrt(du * du + dw * dw + q / n), 4) AS radius FROM t"""
+
+
+def ring(spark, d):
+    r = 10 + F.col("p_size") / 50
+    return scans.table(spark, d, "part").select("p_brand", (F.cos(F.col("p_partkey") * 0.001) * r).alias("x"), (F.sin(F.col("p_partkey") * 0.001) * r).alias("y"))
+
+
+@query(CIRCLE, plain=True)
+def f5_circle_fit(spark, d):
+    return fitting.circle_fit(ring(spark, d), ["p_brand"]).select("p_brand", "n", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "radius")])
+
+
+@query(
+    """WITH a AS (SELECT p_brand, atan2(sin(p_partkey * 0.001), cos(p_partkey * 0.001)) AS a FROM part), b AS (SELECT *, a - lag(a) OVER (PARTITION BY p_brand ORDER BY a) AS gap FROM a)
+SELECT p_brand, round(2 * pi() - greatest(coalesce(max(gap), 0), min(a) + 2 * pi() - max(a)), 3) AS coverage FROM b GROUP BY p_brand""",
+    plain=True,
+)
+def f7_coverage(spark, d):
+    p = scans.table(spark, d, "part")
+    a = F.atan2(F.sin(F.col("p_partkey") * 0.001), F.cos(F.col("p_partkey") * 0.001))
+    return fitting.coverage(p, ["p_brand"], a).select("p_brand", F.round("coverage", 3).alias("coverage"))
+
+
+@query()
+def f10_sphere_fit(spark, d):
+    e = [F.col("embedding")[i].cast("double") for i in range(3)]
+    size = F.sqrt(sum((c * c for c in e), F.lit(0.0)))
+    return fitting.sphere_fit(scans.table(spark, d, "embeddings").select("label", *[(c / size).alias(a) for a, c in zip("xyz", e)]), ["label"])
+
+
+@query("SELECT 0 AS part, vid AS place, 'v ' || x || ' ' || y || ' ' || z AS line FROM v UNION ALL SELECT 2, fid, 'f ' || (v0 + 1) || '//' || (v0 + 1) || ' ' || (v1 + 1) || '//' || (v1 + 1) || ' ' || (v2 + 1) || '//' || (v2 + 1) FROM f")
+def k3_obj_lines(spark, d):
+    """Without the normals' lines, whose sixth decimals are not exact in either engine."""
+    return sinks.obj_lines(*scan(spark, d)).where("part != 1").select("part", F.col("at").alias("place"), "line")
+
+
+@query("SELECT p_partkey AS feature_id, k, round(p_size * cos(k * pi() / 32), 6) + 0.0::DOUBLE AS ax, round(p_size * sin(k * pi() / 32), 6) + 0.0::DOUBLE AS ay FROM part, (SELECT unnest(range(64)) AS k)", plain=True)
+def k7_dxf_circle_segments(spark, d):
+    p = "struct<x:double,y:double,z:double>"
+    xyz = lambda *c: F.struct(*[F.lit(v).alias(a) for a, v in zip("xyz", c)]).cast(p)
+    c = scans.table(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), xyz(0.0, 0.0, 0.0).alias("center"), xyz(1.0, 0.0, 0.0).alias("u"), xyz(0.0, 1.0, 0.0).alias("v"), F.col("p_size").cast("double").alias("radius"))
+    return sinks.dxf_circle_segments(c).select("feature_id", "k", (r6("ax") + 0.0).alias("ax"), (r6("ay") + 0.0).alias("ay"))
