@@ -5,14 +5,18 @@ Texts of equal shingle sets are one class, so copies cost one node. Classes that
 
 1. every member of a bucket is compared with the bucket's most central member (the one with most fellows over all bands);
 2. confirmed links give components; buckets whose members are all in one component are done;
-3. in the others every pair from different components is compared, if its sketch of one bit per signature value does not
-   rule it out (a true link is ruled out with a probability under 1e-8), and components are made again.
+3. in the others every pair from different components is compared that three bounds leave. Two are exact: shingles that
+   only one component of the open buckets has cannot be in an intersection, and the Jaccard distance is a metric, so that
+   distances to a common pivot differ by 0.25 at most. The third is a sketch of four bits per signature value, which rules out
+   a true link with a probability under 1e-8. Then components are made again.
 
 Links are confirmed on full shingle sets. A pair at the limit of 0.75 shares none of 40 bands with a probability of 3e-7.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +28,10 @@ SHINGLE = 5
 ROWS = 4
 BANDS = 40
 PERMS = ROWS * BANDS // 2
-#: Sketch bits that may differ: of 160, 20 are expected at the limit of 0.75, with a deviation of 4.2.
-DIFFER = 47
+#: Bits of each signature value in the sketch, and values that may differ in them: of 160, 37.5 are expected at the limit of
+#: 0.75, with a deviation of 5.4.
+PLANES = 4
+DIFFER = 70
 
 _A, _B = np.random.default_rng(20240502).integers(0, 2**64, (2, PERMS), dtype=U)
 _A |= U(1)
@@ -75,7 +81,7 @@ def _node_array(nodes: np.ndarray, has: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, t (text hash), n_shingles, node (hash of the set; null if empty), bands, bits (three longs)."""
+    """Per row: doc_id, t (text hash), n_shingles, node (hash of the set; null if empty), bands, bits (PLANES times three longs)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -84,7 +90,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             n = np.diff(off)
             has = n > 0
             starts = off[:-1][has]
-            bands = bits = np.zeros((0, BANDS), U)
+            bands, bits = np.zeros((0, BANDS), U), np.zeros((0, 3 * PLANES), np.int64)
             nodes = np.zeros((0, 16), "S1")
             if len(starts):
                 nodes, v = set_nodes(h, starts), signatures(h, starts)
@@ -92,26 +98,19 @@ def sketch(docs: DataFrame) -> DataFrame:
                 for r in range(ROWS):
                     keys = mix(keys ^ v[r::ROWS])
                 bands = keys.T
-                # bit 40 of each value: the order of values leaves it fair
-                packed = np.packbits(((mix(v) >> U(40)) & U(1)).astype(np.uint8), axis=0)
-                bits = np.zeros((len(starts), 24), np.uint8)
-                bits[:, : packed.shape[0]] = packed.T
-                bits = bits.view("<i8")
-            list_off = pa.array(np.concatenate([[0], np.cumsum(has * BANDS)]), pa.int32())
-            word = lambda i: pa.array([None if x is None else x for x in _spread(bits[:, i] if len(bits) else bits, has)], pa.int64())
+                # PLANES bits of each value, by plane: 3 longs for 2 * PERMS values
+                low = mix(v) >> U(40)
+                planes = np.zeros((len(starts), PLANES, 24), np.uint8)
+                for k in range(PLANES):
+                    planes[:, k, : PERMS // 4] = np.packbits(((low >> U(k)) & U(1)).astype(np.uint8), axis=0).T
+                bits = planes.reshape(len(starts), -1).view("<i8")
+            per_set = lambda values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * values.shape[1])]), pa.int32()), pa.array(np.ascontiguousarray(values).ravel().view(np.int64)))
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": b.column("doc_id"), "t": b.column("t"), "n_shingles": pa.array(n.astype(np.int64)), "node": _node_array(nodes, has)}
-                | {"bands": pa.ListArray.from_arrays(list_off, pa.array(np.ascontiguousarray(bands).ravel().view(np.int64))), "b0": word(0), "b1": word(1), "b2": word(2)}
+                | {"bands": per_set(bands), "bits": per_set(bits)}
             )
 
-    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("t"), "text"), run, f"doc_id {kind}, t long, n_shingles long, node binary, bands array<long>, b0 long, b1 long, b2 long")
-
-
-def _spread(values: np.ndarray, has: np.ndarray) -> list:
-    out: list = [None] * len(has)
-    for i, v in zip(np.flatnonzero(has), values, strict=False):
-        out[i] = int(v)
-    return out
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("t"), "text"), run, f"doc_id {kind}, t long, n_shingles long, node binary, bands array<long>, bits array<long>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -130,11 +129,12 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "node binary, s array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets' intersection is at least that percentage of their union."""
+def measured(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """The pairs (a, b) of nodes with linked (the intersection of their sets is at least that percentage of the union) and d (Jaccard distance)."""
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    both = F.size(F.array_intersect("sa", "sb")).alias("both")
+    n = pairs.join(left, "a").join(right, "b").select("a", "b", both, (F.size("sa") + F.size("sb")).alias("n"))
+    return n.select("a", "b", (100 * F.col("both") >= percent * (F.col("n") - F.col("both"))).alias("linked"), (1 - F.col("both") / (F.col("n") - F.col("both"))).alias("d"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -167,8 +167,8 @@ def groups(docs: DataFrame) -> DataFrame:
     other columns are not read; an empty table gives no rows.
     """
     rows = cut(sketch(docs), "sketch")
-    classes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *[F.first(f"b{i}").alias(f"b{i}") for i in range(3)]), "classes")
-    places = classes.select("node", "n", F.explode("bands").alias("key"))
+    classes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
+    places = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     full = cut(places.groupBy("key").agg(F.count(F.lit(1)).alias("fellows")).where("fellows > 1"), "buckets")
     members = cut(places.join(full, "key"), "members")
     central = cut(members.groupBy("node").agg(F.sum("fellows").alias("c")), "central")
@@ -178,21 +178,37 @@ def groups(docs: DataFrame) -> DataFrame:
     ids = classes.select("node", "id")
     named = lambda pairs: pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(ids, "node")
     sets = cut(shingle_sets(docs, cut(named(stars), "named")), "sets")
-    links = cut(confirmed(stars, sets), "links")
+    tested = cut(measured(stars, sets), "tested")
+    links = tested.where("linked").select("a", "b")
     roots = components(links)
 
     mine = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = cut(mine.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key"), "open")
-    rest = cut(mine.join(open_keys, "key").join(classes.select("node", "b0", "b1", "b2"), "node").select("key", "node", "n", "root", "b0", "b1", "b2"), "rest")
+    rest = cut(mine.join(open_keys, "key").join(classes.select("node", "bands", "bits"), "node").select("key", "band", "node", "n", "root", "bands", "bits"), "rest")
+    # each node's distance to its bucket's pivot, where it was compared
+    at = pivots.select("key", "pivot")
+    rest = rest.join(at, "key").withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot")).join(tested.select("a", "b", "d"), ["a", "b"], "left")
+    rest = cut(rest.withColumn("d", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d"))).drop("a", "b", "pivot"), "rest")
+    wanted = rest.select("node").distinct()
+    sets = sets.union(cut(shingle_sets(docs, cut(wanted.join(sets, "node", "left_anti").join(ids, "node"), "named")), "sets"))
+    # a shingle that only one component of these nodes has is in no intersection of two
+    held = sets.join(rest.select("node", "root").distinct(), "node").select("node", "root", F.explode("s").alias("g"))
+    alone = cut(held.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo = hi").select("g"), "alone")
+    lonely = cut(held.join(alone, "g").groupBy("node").agg(F.count(F.lit(1)).alias("lonely")), "lonely")
+    rest = cut(rest.join(lonely, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lonely", F.lit(0))).drop("lonely"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(3)), F.lit(0))
+    words = [[F.col("x.bits")[3 * k + i].bitwiseXOR(F.col("y.bits")[3 * k + i]) for k in range(PLANES)] for i in range(3)]
+    differ = sum((F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), w)) for w in words), F.lit(0))
     other = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
     other &= (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n")) & (differ <= DIFFER)
+    both = F.least("x.shared", "y.shared")
+    other &= 100 * both >= 75 * (F.col("x.n") + F.col("y.n") - both)
+    other &= F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 0.25 + 1e-9, F.lit(True))
+    # a pair comes from the first band that it shares
+    other &= F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
     pairs = cut(x.join(y, other).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
     if pairs.take(1):
-        lacking = cut(named(pairs).join(sets, "node", "left_anti"), "named")
-        sets = sets.union(cut(shingle_sets(docs, lacking), "sets"))
-        more = cut(confirmed(pairs, sets), "links")
+        more = cut(measured(pairs, sets).where("linked").select("a", "b"), "links")
         if more.take(1):
             roots = components(links.union(more))
 
