@@ -11,7 +11,9 @@ split     to each section, in proportion to the characters there
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterable, Sequence
+import re
+from collections import ChainMap
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, map_arrow, read, steps
 
-#: Pieces of text whose ids are remembered by a Python worker; beyond it the memory starts anew.
-REMEMBERED = 300_000
+#: Pieces of text whose ids are remembered by a Python worker, of each of two kinds; the first ones are, so the frequent.
+REMEMBERED = 1_000_000
+#: White space beside a space, or at an end of the text: not every space begins a piece there.
+UNEVEN = re.compile(r"^ | $| \s|\s ")
 RULES = ("first", "majority", "split")
 
 
@@ -47,7 +51,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}  # of pieces behind the space that begins them
+        self.other: dict[str, bytes] = {}
         self.sizes = self._sizes()
 
     def _sizes(self) -> np.ndarray:
@@ -55,13 +60,16 @@ class Encoder:
         n = self.model.get_vocab_size()
         return np.array([len(self.model.id_to_token(i)) for i in range(n)], np.int64)
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        new = list(dict.fromkeys(p for p in pieces if p not in self.known))
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-            for p, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, memory: dict[str, bytes], new: list[str], before: str) -> dict[str, bytes]:
+        """The memory with the new pieces; a full one stays as it is, and a copy of what is lacking goes on top for this call."""
+        got = dict(zip(new, self._encoded([before + p for p in new]), strict=True))
+        if len(memory) + len(got) <= REMEMBERED:
+            memory.update(got)
+            return memory
+        return ChainMap(memory, got)
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -79,19 +87,23 @@ class Encoder:
 
     def ids(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
+        firsts, rests, odd, plain = [], [], set(), set()
+        after, other = self.after, self.other
         for text in texts:
-            pieces = self.pieces(text)
-            try:
-                out.append(b"".join([self.known[p] for p in pieces]))
-            except KeyError:
-                self._learn(pieces)
-                got = [self.known.get(p) for p in pieces]
-                if None in got:  # the memory started anew in between
-                    self._learn(pieces)
-                    got = [self.known[p] for p in pieces]
-                out.append(b"".join(got))
-        return out
+            if UNEVEN.search(text) is None:
+                first, *rest = text.split(" ")
+                firsts.append((first,))
+                rests.append(rest)
+                plain.update([p for p in rest if p not in after])
+            else:
+                firsts.append(self.pieces(text))
+                rests.append(())
+            odd.update([p for p in firsts[-1] if p not in other])
+        if plain:
+            after = self._learn(after, list(plain), " ")
+        if odd:
+            other = self._learn(other, list(odd), "")
+        return [b"".join([*map(other.__getitem__, a), *map(after.__getitem__, b)]) for a, b in zip(firsts, rests, strict=True)]
 
 
 @functools.lru_cache(maxsize=2)
