@@ -5,18 +5,16 @@ Texts of equal shingle sets are one class, so copies cost one node. Classes that
 
 1. every member of a bucket is compared with the bucket's most central member (the one with most fellows over all bands);
 2. confirmed links give components; buckets whose members are all in one component are done;
-3. in the others every pair from different components is compared that three bounds leave. Two are exact: shingles that
-   only one component of the open buckets has cannot be in an intersection, and the Jaccard distance is a metric, so that
-   distances to a common pivot differ by 0.25 at most. The third is a sketch of four bits per signature value, which rules out
-   a true link with a probability under 1e-8. Then components are made again.
+3. in the others every pair from different components is compared that two exact bounds leave. The Jaccard distance is a
+   metric, so distances to a common pivot differ by 0.25 at most; and two sets' parity maps (each shingle flips one of at
+   least 4 n bits) differ in no more bits than the sets in shingles, of which a link allows a seventh of both sizes. Maps of
+   that width leave pairs above a similarity of about 0.73. Then components are made again.
 
 Links are confirmed on full shingle sets. A pair at the limit of 0.75 shares none of 40 bands with a probability of 3e-7.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +26,8 @@ SHINGLE = 5
 ROWS = 4
 BANDS = 40
 PERMS = ROWS * BANDS // 2
-#: Bits of each signature value in the sketch, and values that may differ in them: of 160, 37.5 are expected at the limit of
-#: 0.75, with a deviation of 5.4.
-PLANES = 4
-DIFFER = 70
+#: Longs of the narrowest parity map.
+NARROW = 16
 
 _A, _B = np.random.default_rng(20240502).integers(0, 2**64, (2, PERMS), dtype=U)
 _A |= U(1)
@@ -81,7 +77,7 @@ def _node_array(nodes: np.ndarray, has: np.ndarray) -> pa.Array:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, t (text hash), n_shingles, node (hash of the set; null if empty), bands, bits (PLANES times three longs)."""
+    """Per row: doc_id, t (text hash), n_shingles, node (hash of the set; null if empty), bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -90,7 +86,7 @@ def sketch(docs: DataFrame) -> DataFrame:
             n = np.diff(off)
             has = n > 0
             starts = off[:-1][has]
-            bands, bits = np.zeros((0, BANDS), U), np.zeros((0, 3 * PLANES), np.int64)
+            bands = np.zeros((0, BANDS), U)
             nodes = np.zeros((0, 16), "S1")
             if len(starts):
                 nodes, v = set_nodes(h, starts), signatures(h, starts)
@@ -98,23 +94,32 @@ def sketch(docs: DataFrame) -> DataFrame:
                 for r in range(ROWS):
                     keys = mix(keys ^ v[r::ROWS])
                 bands = keys.T
-                # PLANES bits of each value, by plane: 3 longs for 2 * PERMS values
-                low = mix(v) >> U(40)
-                planes = np.zeros((len(starts), PLANES, 24), np.uint8)
-                for k in range(PLANES):
-                    planes[:, k, : PERMS // 4] = np.packbits(((low >> U(k)) & U(1)).astype(np.uint8), axis=0).T
-                bits = planes.reshape(len(starts), -1).view("<i8")
             per_set = lambda values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has * values.shape[1])]), pa.int32()), pa.array(np.ascontiguousarray(values).ravel().view(np.int64)))
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": b.column("doc_id"), "t": b.column("t"), "n_shingles": pa.array(n.astype(np.int64)), "node": _node_array(nodes, has)}
-                | {"bands": per_set(bands), "bits": per_set(bits)}
+                | {"bands": per_set(bands)}
             )
 
-    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("t"), "text"), run, f"doc_id {kind}, t long, n_shingles long, node binary, bands array<long>, bits array<long>")
+    return map_arrow(docs.select("doc_id", F.xxhash64("text").alias("t"), "text"), run, f"doc_id {kind}, t long, n_shingles long, node binary, bands array<long>")
+
+
+def map_level(n: np.ndarray) -> np.ndarray:
+    """The least k for which 2 ** k maps of NARROW longs have 4 n bits."""
+    return np.ceil(np.log2(np.maximum(4 * n / (64 * NARROW), 1))).astype(np.int64)
+
+
+def parity_maps(h: np.ndarray, off: np.ndarray, level: np.ndarray) -> list[np.ndarray]:
+    """Per set the map of its level: bit i is 1 if an odd number of its hashes end in i."""
+    bits = 64 * NARROW << level
+    at = np.cumsum(bits) - bits
+    n = np.diff(off)
+    place = np.repeat(at, n) + (h & np.repeat(bits - 1, n).astype(U)).astype(np.int64)
+    odd = np.bincount(place, minlength=int(bits.sum())) & 1
+    return np.split(np.packbits(odd.astype(np.uint8)).view("<i8"), at[1:] // 64)
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and s (its distinct shingle hashes) of the wanted nodes (columns id, node): each from the text of its doc_id."""
+    """node, s (its distinct shingle hashes), level, and parity maps at that level (map) and the next (wide) of the wanted nodes (columns id, node): each from the text of its doc_id."""
     ids = nodes.select("id").distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]), "left_semi").select("text")
 
@@ -123,15 +128,18 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             h, off = shingles(b.column("text"))
             has = np.diff(off) > 0
             if has.any():
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([off[:-1][has], off[-1:]]), pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_pydict({"node": _node_array(set_nodes(h, off[:-1][has]), np.ones(int(has.sum()), bool)), "s": lists})
+                off = np.concatenate([off[:-1][has], off[-1:]])
+                level = map_level(np.diff(off))
+                lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(h.view(np.int64)))
+                maps = {k: pa.array(parity_maps(h, off, level + more), pa.list_(pa.int64())) for k, more in (("map", 0), ("wide", 1))}
+                yield pa.RecordBatch.from_pydict({"node": _node_array(set_nodes(h, off[:-1]), np.ones(len(level), bool)), "s": lists, "level": pa.array(level)} | maps)
 
-    return map_arrow(texts, run, "node binary, s array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return map_arrow(texts, run, "node binary, s array<long>, level long, map array<long>, wide array<long>").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def measured(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (a, b) of nodes with linked (the intersection of their sets is at least that percentage of the union) and d (Jaccard distance)."""
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias("s" + c)) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb")).alias("both")
     n = pairs.join(left, "a").join(right, "b").select("a", "b", both, (F.size("sa") + F.size("sb")).alias("n"))
     return n.select("a", "b", (100 * F.col("both") >= percent * (F.col("n") - F.col("both"))).alias("linked"), (1 - F.col("both") / (F.col("n") - F.col("both"))).alias("d"))
@@ -167,7 +175,7 @@ def groups(docs: DataFrame) -> DataFrame:
     other columns are not read; an empty table gives no rows.
     """
     rows = cut(sketch(docs), "sketch")
-    classes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits")), "classes")
+    classes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     places = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     full = cut(places.groupBy("key").agg(F.count(F.lit(1)).alias("fellows")).where("fellows > 1"), "buckets")
     members = cut(places.join(full, "key"), "members")
@@ -184,26 +192,24 @@ def groups(docs: DataFrame) -> DataFrame:
 
     mine = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_keys = cut(mine.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key"), "open")
-    rest = cut(mine.join(open_keys, "key").join(classes.select("node", "bands", "bits"), "node").select("key", "band", "node", "n", "root", "bands", "bits"), "rest")
+    rest = cut(mine.join(open_keys, "key").join(classes.select("node", "bands"), "node").select("key", "band", "node", "n", "root", "bands"), "rest")
     # each node's distance to its bucket's pivot, where it was compared
     at = pivots.select("key", "pivot")
     rest = rest.join(at, "key").withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot")).join(tested.select("a", "b", "d"), ["a", "b"], "left")
     rest = cut(rest.withColumn("d", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("d"))).drop("a", "b", "pivot"), "rest")
     wanted = rest.select("node").distinct()
     sets = sets.union(cut(shingle_sets(docs, cut(wanted.join(sets, "node", "left_anti").join(ids, "node"), "named")), "sets"))
-    # a shingle that only one component of these nodes has is in no intersection of two
-    held = sets.join(rest.select("node", "root").distinct(), "node").select("node", "root", F.explode("s").alias("g"))
-    alone = cut(held.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo = hi").select("g"), "alone")
-    lonely = cut(held.join(alone, "g").groupBy("node").agg(F.count(F.lit(1)).alias("lonely")), "lonely")
-    rest = cut(rest.join(lonely, "node", "left").withColumn("shared", F.col("n") - F.coalesce("lonely", F.lit(0))).drop("lonely"), "rest")
+    rest = cut(rest.join(sets.drop("s"), "node"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
-    words = [[F.col("x.bits")[3 * k + i].bitwiseXOR(F.col("y.bits")[3 * k + i]) for k in range(PLANES)] for i in range(3)]
-    differ = sum((F.bit_count(reduce(lambda a, b: a.bitwiseOR(b), w)) for w in words), F.lit(0))
     other = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
-    other &= (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n")) & (differ <= DIFFER)
-    both = F.least("x.shared", "y.shared")
-    other &= 100 * both >= 75 * (F.col("x.n") + F.col("y.n") - both)
+    other &= 4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n")
     other &= F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 0.25 + 1e-9, F.lit(True))
+    # sizes within 4 to 3 are a level apart at most
+    mine, its = (F.when(F.col(f"{p}.level") < F.col(f"{q}.level"), F.col(f"{p}.wide")).otherwise(F.col(f"{p}.map")) for p, q in ("xy", "yx"))
+    apart = F.aggregate(F.zip_with(mine, its, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    flat = sum((F.bit_count(F.col("x.map")[i].bitwiseXOR(F.col("y.map")[i])) for i in range(NARROW)), F.lit(0))
+    apart = F.when((F.col("x.level") == 0) & (F.col("y.level") == 0), flat).otherwise(apart)
+    other &= 7 * apart <= F.col("x.n") + F.col("y.n")
     # a pair comes from the first band that it shares
     other &= F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
     pairs = cut(x.join(y, other).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
