@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import ChainMap
 from collections.abc import Sequence
 
 import numpy as np
@@ -75,13 +74,11 @@ class Encoder:
         body, cuts = ids.tobytes(), [0, *(4 * cuts).tolist()]
         return [body[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _learn(self, memory: dict[str, bytes], new: list[str], encoded) -> dict[str, bytes]:
-        """The memory with the new pieces; a full one stays as it is, and a copy of what is lacking goes on top for this call."""
-        got = dict(zip(new, encoded(new), strict=True))
-        if len(memory) + len(got) <= REMEMBERED:
-            memory.update(got)
-            return memory
-        return ChainMap(memory, got)
+    def _learn(self, memory: dict[str, bytes], new: list[str], encoded) -> list[str]:
+        """Adds the new pieces to the memory; those that a full one must forget after this call."""
+        full = len(memory) + len(new) > REMEMBERED
+        memory.update(zip(new, encoded(new), strict=True))
+        return new if full else []
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -111,11 +108,14 @@ class Encoder:
                 firsts.append(self.pieces(text))
                 rests.append(())
             odd.update([p for p in firsts[-1] if p not in other])
-        if plain:
-            after = self._learn(after, list(plain), self._spaced)
-        if odd:
-            other = self._learn(other, list(odd), self._encoded)
-        return [b"".join([*map(other.__getitem__, a), *map(after.__getitem__, b)]) for a, b in zip(firsts, rests, strict=True)]
+        lent = self._learn(after, list(plain), self._spaced) if plain else []
+        lent_other = self._learn(other, list(odd), self._encoded) if odd else []
+        out = [b"".join([*map(other.__getitem__, a), *map(after.__getitem__, b)]) for a, b in zip(firsts, rests, strict=True)]
+        for p in lent:
+            del after[p]
+        for p in lent_other:
+            del other[p]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
