@@ -1,9 +1,10 @@
 """Quality rules: base limits on each text, then robust multivariate outliers per language and source.
 
 Each text gives a vector of six transformed statistics. Per group (language, source) a minimum-covariance-determinant
-estimate is made by deterministic concentration steps over all the group's documents: from medians and spreads, the share
-H of rows nearest by Mahalanobis distance gives the next mean and covariance, until the set of rows no longer shrinks its
-determinant. Everything is sums of integers grouped on the cluster; only a row per group is ever small enough to matter.
+estimate is made by deterministic concentration steps over all the group's documents: the share H of rows nearest by
+Mahalanobis distance gives the next mean and covariance, until the set of rows no longer shrinks its determinant. There are
+two starts, the mean and covariance of all rows and the medians and spreads by median deviations; the end of smaller
+determinant is taken. So a cluster of up to 1 - H of a group's rows is left out, but not a larger one. Everything is sums of integers grouped on the cluster; only a row per group is ever small enough to matter.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ UNIT = 256
 #: Least spread of each statistic: a group of near equal texts must not reject its other members.
 FLOOR = (0.5, 0.3, 0.3, 0.25, 0.2, 0.1)
 H = 0.75
+#: Concentration steps before the first look at the determinants; one less between later looks.
 STEPS = 6
+#: A determinant (logarithm) that falls by less has stopped.
+STILL = 1e-9
 #: Groups of fewer judged rows are pooled by language; smaller pools are not judged.
 LEAST = 100
 TAIL = 1e-6
@@ -102,6 +106,10 @@ def chi2_quantile(q: float, k: int) -> float:
 #: By this the covariance of the nearest share H of a normal sample is too small.
 CONSISTENT = H / _chi2_cdf(chi2_quantile(H, P), P + 2)
 LIMIT = chi2_quantile(1 - TAIL, P)
+#: A normal spread by its median deviation.
+MAD = 1.4826
+#: Estimates go by these until the best start is taken.
+KEYS = ["lang", "pool", "start"]
 
 
 def distance() -> Column:
@@ -122,36 +130,66 @@ def _estimates(rows, scale: float) -> list[tuple]:
                 exact = int(r[f"c{i}{j}"]) * n - int(r[f"s{i}"]) * int(r[f"s{j}"])
                 s[i, j] = s[j, i] = exact / n / n / UNIT / UNIT * scale
         s += np.diag(np.square(FLOOR))
-        out.append((r["lang"], r["pool"], m.tolist(), np.linalg.inv(s).ravel().tolist(), float(np.linalg.slogdet(s)[1]), n))
+        out.append((r["lang"], r["pool"], r["start"], m.tolist(), np.linalg.inv(s).ravel().tolist(), float(np.linalg.slogdet(s)[1]), n))
     return out
 
 
-EST = "lang string, pool string, mean array<double>, inv array<double>, logdet double, n long"
+EST = "lang string, pool string, start int, mean array<double>, inv array<double>, logdet double, n long"
 
 
 def _moments(df: DataFrame, scale: float) -> DataFrame:
     sums = [F.sum(F.col(f"x{i}").cast("decimal(38,0)")).alias(f"s{i}") for i in range(P)]
     sums += [F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(38,0)")).alias(f"c{i}{j}") for i in range(P) for j in range(i, P)]
-    grouped = df.groupBy("lang", "pool").agg(F.count(F.lit(1)).alias("n"), *sums)
+    grouped = df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *sums)
 
     def run(batches):
         for b in batches:
             cols = _estimates(b.to_pylist(), scale)
             names = [x.split()[0] for x in EST.split(", ")]
-            yield pa.RecordBatch.from_pydict({k: pa.array([c[i] for c in cols], t) for i, (k, t) in enumerate(zip(names, (pa.string(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64()), strict=True))})
+            yield pa.RecordBatch.from_pydict({k: pa.array([c[i] for c in cols], t) for i, (k, t) in enumerate(zip(names, (pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64()), strict=True))})
 
     return map_arrow(grouped, run, EST)
 
 
 def _nearest(df: DataFrame, est: DataFrame) -> DataFrame:
     """The share H of each group's rows by distance, with all ties of the last distance class (1/64 of an octave)."""
-    d = df.join(est.select("lang", "pool", "mean", "inv"), ["lang", "pool"]).withColumn("bin", F.floor(F.log2(distance() + 1e-6) * 64).cast("int")).drop("mean", "inv")
-    bins = d.groupBy("lang", "pool", "bin").count()
+    d = df.join(est.select(*KEYS, "mean", "inv"), ["lang", "pool"]).withColumn("bin", F.floor(F.log2(distance() + 1e-6) * 64).cast("int")).drop("mean", "inv")
+    bins = d.groupBy(*KEYS, "bin").count()
     # classes of one group: some thousands at most, as a distance has few octaves
-    found = bins.groupBy("lang", "pool").agg(F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("b"), F.sum("count").alias("n"))
+    found = bins.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("b"), F.sum("count").alias("n"))
     need = F.ceil(F.col("n") * H)
     last = F.aggregate("b", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("bin")), lambda a, x: F.struct((a["seen"] + x["count"]).alias("seen"), F.when(a["seen"] < need, x["bin"]).otherwise(a["bin"]).alias("bin")))
-    return d.join(found.select("lang", "pool", last["bin"].alias("last")), ["lang", "pool"]).where("bin <= last").drop("bin", "last")
+    return d.join(found.select(*KEYS, last["bin"].alias("last")), KEYS).where("bin <= last").drop("bin", "last")
+
+
+def _middles(rows: DataFrame) -> DataFrame:
+    """Medians and, from median deviations, spreads of each group, which a cluster of less than half its rows cannot move far."""
+    middle = lambda c: F.percentile(c, F.lit(0.5))  # noqa: E731  counts by value, of which an integer up to 64 * UNIT has few
+    med = cut(rows.groupBy("lang", "pool").agg(F.count(F.lit(1)).alias("n"), *[middle(F.col(f"x{i}")).alias(f"m{i}") for i in range(P)]), "medians")
+    off = rows.join(med, ["lang", "pool"]).groupBy("lang", "pool").agg(*[middle(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"d{i}") for i in range(P)])
+    spread = [F.pow(F.col(f"d{i}") * F.lit(MAD / UNIT), F.lit(2.0)) + F.lit(FLOOR[i] ** 2) for i in range(P)]
+    mean = F.array(*[F.col(f"m{i}") / F.lit(float(UNIT)) for i in range(P)])
+    inv = F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
+    return med.join(off, ["lang", "pool"]).select("lang", "pool", F.lit(1).alias("start"), mean.alias("mean"), inv.alias("inv"), sum(map(F.log, spread), F.lit(0.0)).alias("logdet"), "n")
+
+
+def _lower(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Of each group and start the estimate of smaller determinant, and whether that is the new one; what has stopped stays."""
+    both = new.alias("a").join(old.alias("b"), KEYS)
+    fell = F.col("a.logdet") < F.col("b.logdet") - STILL
+    return both.select(*KEYS, *[F.when(fell, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in ("mean", "inv", "logdet", "n")], fell.alias("fell"))
+
+
+def _concentrate(rows: DataFrame) -> DataFrame:
+    """Per lang and pool, the estimate of smaller determinant of those that both starts lead to."""
+    est = cut(_moments(rows.withColumn("start", F.lit(0)), 1.0).unionByName(_middles(rows)), "mcd")
+    # a start's determinant is of other rows than a share H
+    est = cut(_moments(_nearest(rows, est), CONSISTENT), "mcd").withColumn("fell", F.lit(True))
+    while not est.where("fell").isEmpty():
+        for _ in range(STEPS - 1):
+            est = cut(_lower(cut(_moments(_nearest(rows, est), CONSISTENT), "mcd"), est), "mcd")
+    best = F.min(F.struct("logdet", "start", "mean", "inv", "n")).alias("best")
+    return cut(est.groupBy("lang", "pool").agg(best).select("lang", "pool", "best.mean", "best.inv", "best.logdet", "best.n"), "mcd")
 
 
 def fit(stats: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -159,11 +197,9 @@ def fit(stats: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     own = stats.where(~base_failed()).select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), *[f"x{i}" for i in range(P)])
     pools = own.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).select("lang", "source", F.when(F.col("n") >= least, F.concat(F.lit("="), "source")).otherwise(F.lit("rest")).alias("pool"))
     pools = cut(pools, "pools")
-    rows = own.join(pools, ["lang", "source"]).drop("source")
-    est = cut(_moments(rows, 1.0).where(F.col("n") >= least), "mcd")
-    for _ in range(STEPS):
-        est = cut(_moments(_nearest(rows, est), CONSISTENT), "mcd")
-    return pools, est
+    rows = cut(own.join(pools, ["lang", "source"]).drop("source"), "rows")
+    sizes = rows.groupBy("lang", "pool").agg(F.count(F.lit(1)).alias("n"))
+    return pools, _concentrate(rows.join(sizes.where(F.col("n") >= least).select("lang", "pool"), ["lang", "pool"]))
 
 
 def judge(stats: DataFrame, pools: DataFrame, est: DataFrame) -> DataFrame:

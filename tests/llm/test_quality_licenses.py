@@ -62,6 +62,13 @@ def test_copies_do_not_reject_others(spark):
     assert all(r["kept"] for r in quality.rules(documents(spark, table)).collect())
 
 
+def test_a_cluster_of_copies_is_found(spark):
+    junk = " ".join(x + "###" for x in prose(300, 90).split())
+    table = [(i, prose(100 + i, 60 + 3 * i), "en", "a") for i in range(150)] + [(1000 + i, junk, "en", "a") for i in range(47)]
+    got = {r["doc_id"]: r["kept"] for r in quality.rules(documents(spark, table)).collect()}
+    assert sorted(i for i in got if not got[i]) == list(range(1000, 1047))
+
+
 def test_chi_square():
     assert abs(quality.chi2_quantile(0.95, 6) - 12.5916) < 1e-3
 
