@@ -28,7 +28,7 @@ H = 0.75
 STEPS = 6
 #: A determinant (logarithm) that falls by less has stopped.
 STILL = 1e-9
-#: Groups of fewer judged rows are pooled by language; smaller pools are not judged.
+#: Groups of fewer judged rows borrow: from the small ones of their language, else from the whole language, else from the table.
 LEAST = 100
 TAIL = 1e-6
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -159,7 +159,8 @@ def _nearest(df: DataFrame, est: DataFrame) -> DataFrame:
     found = bins.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("b"), F.sum("count").alias("n"))
     need = F.ceil(F.col("n") * H)
     last = F.aggregate("b", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("bin")), lambda a, x: F.struct((a["seen"] + x["count"]).alias("seen"), F.when(a["seen"] < need, x["bin"]).otherwise(a["bin"]).alias("bin")))
-    return d.join(found.select(*KEYS, last["bin"].alias("last")), KEYS).where("bin <= last").drop("bin", "last")
+    # a table, of known size: rows stay where they are, so that no group gathers in a task
+    return d.join(cut(found.select(*KEYS, last["bin"].alias("last")), "last"), KEYS).where("bin <= last").drop("bin", "last")
 
 
 def _middles(rows: DataFrame) -> DataFrame:
@@ -192,18 +193,50 @@ def _concentrate(rows: DataFrame) -> DataFrame:
     return cut(est.groupBy("lang", "pool").agg(best).select("lang", "pool", "best.mean", "best.inv", "best.logdet", "best.n"), "mcd")
 
 
+def _mixed(a: tuple, b: tuple, w: float) -> tuple[list[float], list[float]]:
+    """mean and inverse of a mixture: the share w of rows as in a, the rest as in b, with the spread between both."""
+    (ma, sa), (mb, sb) = ((np.asarray(m), np.linalg.inv(np.asarray(inv).reshape(P, P))) for m, inv in (a, b))
+    s = w * sa + (1 - w) * sb + w * (1 - w) * np.outer(ma - mb, ma - mb)
+    return (w * ma + (1 - w) * mb).tolist(), np.linalg.inv(s).ravel().tolist()
+
+
+def _borrowed(own: DataFrame, est: DataFrame, few: DataFrame, total: int, least: int) -> DataFrame:
+    """est, where languages of n < least rows (few: lang and n) weigh n / least against the whole table."""
+    whole = cut(own.withColumns({"lang": F.lit(""), "pool": F.lit("")}).drop("source"), "rows")
+    table = _concentrate(whole).select("mean", "inv").first()
+    if total < least:  # few rows prove no outlier: the plain estimate has room for each
+        table = _mixed(table, _moments(whole.withColumn("start", F.lit(0)), 1.0).select("mean", "inv").first(), total / least)
+    parent = tuple(table)
+
+    def run(batches):
+        for b in batches:
+            rows = b.to_pylist()
+            new = [(r["mean"], r["inv"]) if r["rows"] is None else _mixed((r["mean"], r["inv"]), parent, r["rows"] / least) for r in rows]
+            yield batch_of(lang=b.column("lang"), pool=b.column("pool"), mean=pa.array([m for m, _ in new], pa.list_(pa.float64())), inv=pa.array([v for _, v in new], pa.list_(pa.float64())))
+
+    marked = est.join(few.select("lang", F.col("of_lang").alias("rows")), "lang", "left").select("lang", "pool", "mean", "inv", "rows")
+    return cut(map_arrow(marked, run, "lang string, pool string, mean array<double>, inv array<double>"), "mcd")
+
+
 def fit(stats: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, pool) of all judged groups, and the estimates per (lang, pool). stats should be a table: it is read often."""
+    """(lang, source, pool) of all groups with rows that pass the base, and the estimates per (lang, pool). stats should be a table: it is read often."""
     own = stats.where(~base_failed()).select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), *[f"x{i}" for i in range(P)])
-    pools = own.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).select("lang", "source", F.when(F.col("n") >= least, F.concat(F.lit("="), "source")).otherwise(F.lit("rest")).alias("pool"))
-    pools = cut(pools, "pools")
-    rows = cut(own.join(pools, ["lang", "source"]).drop("source"), "rows")
-    sizes = rows.groupBy("lang", "pool").agg(F.count(F.lit(1)).alias("n"))
-    return pools, _concentrate(rows.join(sizes.where(F.col("n") >= least).select("lang", "pool"), ["lang", "pool"]))
+    counts = cut(own.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "counts")
+    langs = cut(counts.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.sum(F.when(F.col("n") < least, F.col("n")).otherwise(0)).alias("of_small")), "langs")
+    # small sources of a language that has enough rows, but not in small sources: by all its rows
+    pool = F.when(F.col("n") >= least, F.concat(F.lit("="), "source")).when((F.col("of_small") >= least) | (F.col("of_lang") < least), F.lit("rest")).otherwise(F.lit("all"))
+    pools = cut(counts.join(langs, "lang").select("lang", "source", pool.alias("pool")), "pools")
+    wide = pools.where("pool = 'all'").select("lang").distinct()
+    members = pools.where("pool <> 'all'").union(counts.join(wide, "lang").select("lang", "source", F.lit("all")))
+    est = _concentrate(cut(own.join(cut(members, "pools"), ["lang", "source"]).drop("source"), "rows")).select("lang", "pool", "mean", "inv")
+    few = langs.where(F.col("of_lang") < least)
+    if few.isEmpty():
+        return pools, est
+    return pools, _borrowed(own, est, few, langs.agg(F.sum("of_lang")).first()[0], least)
 
 
 def judge(stats: DataFrame, pools: DataFrame, est: DataFrame) -> DataFrame:
-    """Adds base_failed, distance (null: not judged) and kept."""
+    """Adds base_failed, distance (null only where no row of the language and source passes the base) and kept."""
     keyed = stats.withColumn("lang_", F.coalesce("lang", F.lit(""))).withColumn("source_", F.coalesce("source", F.lit("")))
     p = pools.join(est, ["lang", "pool"]).select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "mean", "inv")
     out = keyed.join(p, ["lang_", "source_"], "left").withColumn("base_failed", base_failed()).withColumn("distance", distance())

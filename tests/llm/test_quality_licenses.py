@@ -69,6 +69,17 @@ def test_a_cluster_of_copies_is_found(spark):
     assert sorted(i for i in got if not got[i]) == list(range(1000, 1047))
 
 
+def test_small_groups_are_judged(spark):
+    junk = [" ".join(x + "$$$%%%###" * 3 for x in prose(300 + i, 90).split()) for i in range(2)]
+    table = [(i, prose(100 + i, 60 + 3 * i), "en", "a") for i in range(150)]
+    table += [(1000 + i, prose(500 + i, 80 + i).replace("a", "aeiou"), "de", "a") for i in range(20)]  # a language of few rows
+    table += [(2000 + i, prose(700 + i, 80 + i), "en", "b") for i in range(10)]  # a small source of a large language
+    table += [(3000, junk[0], "de", "a"), (3001, junk[1], "en", "b")]
+    got = {r["doc_id"]: r for r in quality.rules(documents(spark, table)).collect()}
+    assert all(r["distance"] is not None for r in got.values())
+    assert sorted(i for i, r in got.items() if not r["kept"]) == [3000, 3001]
+
+
 def test_chi_square():
     assert abs(quality.chi2_quantile(0.95, 6) - 12.5916) < 1e-3
 
