@@ -97,6 +97,9 @@ SENTENCES = (
     ("cc0", "cc0(?: 1 0)?(?: universal)?", "cc0"),
     ("proprietary and confidential", "proprietary and confidential", "proprietary"),
 )
+#: Words of the families' SPDX identifiers, before a version; those that are not here are named as the family is.
+SPDX = {"bsd": (), "edl": (), "boost": ("bsl",), "bsl": ("busl",), "python": ("python", "psf")}
+SPDX_KEY = "spdx license identifier"
 NAMED_BY_SHORT = {"gpl-short": "gpl", "lgpl-short": "lgpl", "agpl-short": "agpl", "mpl-short": "mpl"}
 
 
@@ -108,9 +111,10 @@ def rules() -> list[tuple[str, str, str, int, float]]:
         body = "(?:" + "|".join(forms) + ")"
         sure = 0.7 if family.endswith("-short") else 0.8
         for v in versions:
-            out.append((key, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{body} ?v?(?:version )?{v} or (?:any )?later", f"{name}-{v.replace(' ', '.')}-or-later", 1.0))
-            out.append((key, f"{body} ?v?(?:version )?{v} or (?:any )?later", f"{name}-{v.replace(' ', '.')}-or-later", 0.95))
-            out.append((key, f"{body} ?v?(?:version )?{v}", f"{name}-{v.replace(' ', '.')}", 0.9))
+            label, v = f"{name}-{v.replace(' ', '.')}", v if " " in v else f"{v}(?: 0)?"
+            out.append((key, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{body} ?v?(?:version )?{v} or (?:any )?later", f"{label}-or-later", 1.0))
+            out.append((key, f"{body} ?v?(?:version )?{v} or (?:any )?later", f"{label}-or-later", 0.95))
+            out.append((key, f"{body} ?v?(?:version )?{v}", label, 0.9))
         out.append((key, f"(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{body}", name, 0.85))
         out.append((key, f"spdx license identifier {body}", name, 1.0))
         out.append((key, body, name, sure))
@@ -121,6 +125,16 @@ def rules() -> list[tuple[str, str, str, int, float]]:
             out.append(("creative commons", f"creative commons attribution{CC_WORDS[part]} {v}(?: (?:international|unported|generic))?", f"{label}-{v.replace(' ', '.')}", 0.95))
         out.append(("cc by", f"cc by{f' {part}' if part else ''}", label, 0.8))
         out.append(("creative commons", f"creative commons attribution{CC_WORDS[part]}", label, 0.8))
+    for family, (_, _, versions) in FAMILIES.items():
+        if family in NAMED_BY_SHORT:
+            continue
+        for stem in SPDX.get(family, (family.replace("-", " "),)):
+            for v in versions:
+                label, one = f"{family}-{v.replace(' ', '.')}", f"{SPDX_KEY} {stem} {v if ' ' in v else f'{v}(?: 0)?'}"
+                out.append((SPDX_KEY, f"{one} or later", f"{label}-or-later", 1.0))
+                out.append((SPDX_KEY, f"{one}(?: only)?", label, 1.0))
+            out.append((SPDX_KEY, f"{SPDX_KEY} {stem}", family, 1.0))
+    out += [(SPDX_KEY, f"{SPDX_KEY} {words}", words.replace(" ", "-"), 1.0) for words in ("mit 0", "0bsd")]
     out += [(key, pattern, label, 0.9) for key, pattern, label in SENTENCES]
     return [(key, f" (?:{pattern})(?= )", label, i, sure) for i, (key, pattern, label, sure) in enumerate(out)]
 

@@ -128,3 +128,17 @@ def test_scan_matches_brute_force(spark):
 
 def test_rules_are_many_and_gated():
     assert len(licenses.rules()) > 300 and licenses.keyword_gaps(licenses.rules()) == []
+
+
+SPDX_LINES = {
+    "MIT": "mit", "MIT-0": "mit-0", "0BSD": "0bsd", "Apache-2.0": "apache-2.0", "ISC": "isc", "Zlib": "zlib", "EPL-2.0": "epl-2.0", "EUPL-1.2": "eupl-1.2", "Python-2.0": "python-2", "PHP-3.01": "php-3.01",
+    "PostgreSQL": "postgresql", "BSL-1.0": "boost-1.0", "BUSL-1.1": "bsl-1.1", "BSD-3-Clause": "bsd-3-clause", "MPL-2.0": "mpl-2.0", "GPL-2.0-only": "gpl-2", "GPL-2.0-or-later": "gpl-2-or-later",
+    "LGPL-2.1-or-later": "lgpl-2.1-or-later", "AGPL-3.0": "agpl-3",
+}
+
+
+def test_spdx_lines(spark):
+    table = [(i, f"// SPDX-License-Identifier: {x}\nint main() {{ return 0; }}", "en", x) for i, x in enumerate(SPDX_LINES)]
+    got = {r["source"]: r for r in licenses.scan(documents(spark, table)).collect()}
+    assert {x: r["labels"] for x, r in got.items()} == SPDX_LINES
+    assert all(r["score"] == 1.0 for r in got.values())
