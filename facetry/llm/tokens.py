@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, map_arrow, read, steps
 
-#: Pieces of text whose ids are remembered by a Python worker, of each of two kinds; the first ones are, so the frequent.
-REMEMBERED = 1_000_000
+#: Bytes that a Python worker spends on remembered pieces of text and their ids (the first ones are, so the frequent), what a
+#: piece takes besides its characters, and the characters of the longest that is remembered.
+REMEMBERED, ENTRY, LONG = 160 << 20, 200, 48
 #: White space beside a space, or at an end of the text: not every space begins a piece there.
 UNEVEN = re.compile(r"^ | $| \s|\s ")
 RULES = ("first", "majority", "split")
@@ -52,6 +53,7 @@ class Encoder:
         self.model.encode_special_tokens = True
         self.after: dict[str, bytes] = {}  # of pieces behind the space that begins them
         self.other: dict[str, bytes] = {}
+        self.held = 0  # bytes of both
         self.sizes = self._sizes()
 
     def _sizes(self) -> np.ndarray:
@@ -75,10 +77,14 @@ class Encoder:
         return [body[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, memory: dict[str, bytes], new: list[str], encoded) -> list[str]:
-        """Adds the new pieces to the memory; those that a full one must forget after this call."""
-        full = len(memory) + len(new) > REMEMBERED
+        """Adds the new pieces to the memory; those that must be forgotten after this call: long ones, or all if it is full."""
         memory.update(zip(new, encoded(new), strict=True))
-        return new if full else []
+        lent = [p for p in new if len(p) > LONG]
+        more = (len(new) - len(lent)) * (ENTRY + LONG)
+        if self.held + more > REMEMBERED:
+            return new
+        self.held += more
+        return lent
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -163,8 +169,9 @@ def line_borders(text: str) -> list[int]:
 def section_tokens(docs: DataFrame, rule: str = "first", borders=line_borders, path: str | None = None) -> DataFrame:
     """doc_id, section (from 0), start and stop (characters), n_tokens (double), n_crossing (tokens that begin here and end later).
 
-    borders gives a text's section ends in characters. Null and empty texts have one empty section without tokens; repeated
-    rows give repeated sections; other columns are not read; an empty table gives no rows.
+    borders gives a text's section ends in characters. Null and empty texts have one empty section without tokens; very long
+    texts are encoded whole, one at a time; a tie of the majority goes to the earlier section; repeated rows give repeated
+    sections; other columns are not read, so names cannot clash; an empty table gives no rows.
     """
     if rule not in RULES:
         raise ValueError(f"no such rule: {rule}")
