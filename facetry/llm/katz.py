@@ -9,8 +9,9 @@ seen words over the unigram mass of the words not seen after it, so each context
 
 Word tables are partitioned by word hash, and tokens are sent to their tables: those of all texts, with their contexts,
 first to the table of the predicted word, which knows c(w) and c(vw); a seen pair adds log d(c(vw)) to its text, and each
-word, as the context of the next, -log c(w). Unseen pairs go on with P1(w) to the table of v, where seen mass and unigram
-mass of all of v's words meet and give alpha(v). What travels are compressed blocks of many tokens, a row per block, so that
+word, as the context of the next, -log c(w). Unseen pairs go on with c(w) to the table of v, where v's seen words meet, as
+numbers of words of each discounted count and sums of the larger ones. These whole numbers give seen mass, unigram mass and
+so alpha(v) without loss on the way. What travels are compressed blocks of many tokens, a row per block, so that
 a shuffle holds some bytes a token; a table's partition is bounded by the number of partitions, which follows the text's
 size. Words that fill over a quarter of their partition (four a partition at most, found with the counts of counts) are
 hot: the occurrences of a hot word are dealt by the pair (v, w), and its count goes to all tasks.
@@ -18,8 +19,6 @@ hot: the occurrences of a hot word are dealt by the pair (v, w), and its count g
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -60,11 +59,6 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def shorter(x: np.ndarray, bits: int) -> np.ndarray:
-    """x without the last bits of its 52, which would not compress."""
-    return (x.view(np.int64) & np.int64(-1 << bits)).view(np.float64)
-
-
 def deltas(ascending: np.ndarray) -> np.ndarray:
     return np.diff(ascending, prepend=U(0)) if len(ascending) else ascending
 
@@ -142,6 +136,19 @@ class Discounts:
         """Discounted counts."""
         return np.where(c <= CUTOFF, self.kept[np.minimum(c, CUTOFF)], c - self.lost)
 
+    def classes(self, c: np.ndarray) -> list[np.ndarray]:
+        """Whole numbers whose sums over words give mass() and lost_mass(): one of each count to CUTOFF, larger ones, and their counts."""
+        big = c > CUTOFF
+        return [*((c == k).astype(np.int64) for k in range(1, CUTOFF + 1)), big.astype(np.int64), np.where(big, c, 0)]
+
+    def mass(self, n: list[np.ndarray]) -> np.ndarray:
+        """The sum of discounted counts."""
+        return sum(self.kept[k] * n[k - 1] for k in range(1, CUTOFF + 1)) + (n[-1] - self.lost * n[-2])
+
+    def lost_mass(self, n: list[np.ndarray]) -> np.ndarray:
+        """The sum of what the discounts took."""
+        return sum((k - self.kept[k]) * n[k - 1] for k in range(1, CUTOFF + 1)) + self.lost * n[-2]
+
     def unknown(self) -> float:
         """The mass of the class of unknown words."""
         return 1 - self.seen / self.tokens if self.tokens else 1.0
@@ -201,8 +208,8 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays(data + [pa.nulls(len(rows), schema.field(i).type) for i in range(4, 7)], schema=schema)
 
 
-def _sums(batch: np.ndarray, doc: np.ndarray, values: list[np.ndarray], names: np.ndarray, n_parts: int) -> list[tuple]:
-    """A row of sums per text for each block."""
+def _sums(batch: np.ndarray, doc: np.ndarray, known: np.ndarray, values: list[np.ndarray], names: np.ndarray, n_parts: int) -> list[tuple]:
+    """A row of sums per text for each block: known words and values."""
     out = []
     order = np.argsort(batch, kind="stable")
     cut = np.searchsorted(batch[order], np.arange(len(names) + 1))
@@ -211,17 +218,17 @@ def _sums(batch: np.ndarray, doc: np.ndarray, values: list[np.ndarray], names: n
         if len(at):
             d = doc[at].astype(np.int64)
             used = np.flatnonzero(np.bincount(d))
-            sums = [shorter(np.bincount(d, weights=v[at])[used], 16) for v in values]
-            out.append(_row(int(name) % n_parts, name, SUMS, pack(used.astype(np.uint32), *sums)))
+            sums = [np.bincount(d, weights=v[at])[used] for v in values]
+            out.append(_row(int(name) % n_parts, name, SUMS, pack(used.astype(np.uint32), np.bincount(d[known[at]], minlength=used[-1] + 1)[used].astype(np.uint32), *sums)))
     return out
 
 
 def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    Null and empty texts are the end alone; a null doc_id counts as empty text in the fold; repeated rows are read as often
-    as they occur; other columns are not read; without training texts every word is unknown and of probability 1; an empty
-    table gives no rows.
+    Null and empty texts are the end alone; a very long text is a block of its own, dealt over all partitions like others; a
+    null doc_id counts as empty text in the fold; repeated rows are read as often as they occur; other columns are not read, so
+    names cannot clash; without training texts every word is unknown and of probability 1; an empty table gives no rows.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -229,8 +236,6 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     one, two, hot, hot_counts = count_counts(marked.where("NOT held_out"), n_parts)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the counts' shuffle files
     texts = marked.where("NOT held_out").count()
     types, tokens, unknown = one.types, one.tokens, one.unknown()
     schema = docs.sparkSession.createDataFrame([], _ROW.format(kind=kind)).schema
@@ -285,28 +290,26 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
         c2 = lookup(seen, c, key)
         del key, seen
         tv, tc1 = v[train][first], c1[train][first]
-        p1 = lambda n: np.where(n > 0, one(n) / max(tokens, 1), unknown)
 
         hit = c2 > 0
         s = np.where(hit, np.log10(np.where(hit, two(c2), 1.0)), 0.0)
         s -= np.where((c1 > 0) & (w != END), np.log10(np.maximum(c1, 1)), 0.0)
         base = np.log10((c1 + 1) / (tokens + types + 1))
-        out = _sums(batch, doc, [base, s, (c1 > 0).astype(float)], names, n_parts)
+        out = _sums(batch, doc, c1 > 0, [base, s], names, n_parts)
 
         order = np.argsort(tv, kind="stable")
-        tv, mass, uni, times = tv[order], two(c)[order], p1(tc1)[order], c[order].astype(float)
+        tv, c, tc1 = tv[order], c[order], tc1[order]
         new = np.flatnonzero(np.concatenate([[True], tv[1:] != tv[:-1]])) if len(tv) else np.zeros(0, np.int64)
         context = tv[new]
-        mass, uni, times = (np.add.reduceat(x, new) if len(new) else x[:0] for x in (mass, uni, times))
-        uni = shorter(uni, 24)
+        seen_by = [np.add.reduceat(x, new) if len(new) else x[:0] for x in (*two.classes(c), *one.classes(tc1))]
         miss = np.flatnonzero(~hit)
         miss = miss[np.argsort(v[miss], kind="stable")]
-        mv, mb, md, mp = v[miss], batch[miss], doc[miss], np.log10(p1(c1[miss]))
+        mv, mb, md, mc = v[miss], batch[miss], doc[miss], c1[miss].astype(np.int64)
         cuts = [np.searchsorted(part_of(x, n_parts), np.arange(n_parts + 1)) for x in (context, mv)]
         for r in range(n_parts):
             (a, b), (x, y) = ((k[r], k[r + 1]) for k in cuts)
             if b > a or y > x:
-                out.append(_row(r, -1, UNSEEN, pack(deltas(context[a:b]), mass[a:b], uni[a:b], times[a:b], deltas(mv[x:y]), mb[x:y], md[x:y], mp[x:y].astype(np.float32), names)))
+                out.append(_row(r, -1, UNSEEN, pack(deltas(context[a:b]), *[n[a:b] for n in seen_by], deltas(mv[x:y]), mb[x:y], md[x:y], mc[x:y], names)))
         return pa.concat_tables([passed, _table(out, arrow)])
 
     def context_tables(table: pa.Table) -> pa.Table:
@@ -316,28 +319,35 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
         if not got:
             return passed
         context, i = np.unique(np.concatenate([np.cumsum(g[0], dtype=U) for g in got]), return_inverse=True)
-        mass, uni, times = (np.bincount(i, weights=np.concatenate([g[k] for g in got]), minlength=len(context)) for k in (1, 2, 3))
-        back = np.log10(np.maximum(times - mass, 1e-300) / np.maximum(1 - uni, 1e-12))  # log of alpha(v) * c(v)
-        names = np.unique(np.concatenate([g[8] for g in got]))
-        v, doc, p = (np.concatenate([f(g) for g in got]) for f in (lambda g: np.cumsum(g[4], dtype=U), lambda g: g[6], lambda g: g[7].astype(float)))
-        batch = np.concatenate([np.searchsorted(names, g[8][g[5]]) for g in got])
+        k = CUTOFF + 2
+        whole = []
+        for j in range(1, 2 * k + 1):
+            n = np.zeros(len(context), np.int64)
+            np.add.at(n, i, np.concatenate([g[j] for g in got]))
+            whole.append(n)
+        rest = 1 - one.mass(whole[k:]) / max(tokens, 1)  # the unigram mass of words not seen after the context
+        back = np.log10(np.maximum(two.lost_mass(whole[:k]), 1e-300) / np.maximum(rest, 1e-12))  # log of alpha(v) * c(v)
+        names = np.unique(np.concatenate([g[-1] for g in got]))
+        v, doc, c1 = (np.concatenate([f(g) for g in got]) for f in (lambda g: np.cumsum(g[2 * k + 1], dtype=U), lambda g: g[2 * k + 3], lambda g: g[2 * k + 4]))
+        batch = np.concatenate([np.searchsorted(names, g[-1][g[2 * k + 2]]) for g in got])
+        p = np.log10(np.where(c1 > 0, one(c1) / max(tokens, 1), unknown))
         s = p + lookup(context, back, v)
-        zero = np.zeros(len(s))
-        return pa.concat_tables([passed, _table(_sums(batch, doc, [zero, s, zero], names, n_parts), arrow)])
+        return pa.concat_tables([passed, _table(_sums(batch, doc, np.zeros(len(s), bool), [np.zeros(len(s)), s], names, n_parts), arrow)])
 
     def gather(table: pa.Table) -> pa.Table:
         kinds = table.column("kind").to_pylist()
         k = kinds.index(TEXTS)
         lists = table.slice(k, 1).combine_chunks()
         ids, n, held = (lists.column(c).chunk(0).flatten() for c in ("ids", "n", "held"))
-        total = np.zeros((3, len(ids)))
+        total, known = np.zeros((2, len(ids))), np.zeros(len(ids), np.int64)
         for b, what in zip(table.column("blob"), kinds, strict=True):
             if what == SUMS:
-                used, *values = unpack(b.as_py())
+                used, n_known, *values = unpack(b.as_py())
+                known[used] += n_known
                 for t, x in zip(total, values, strict=True):
                     t[used] += x
         start = np.log10(texts) if texts else 0.0
-        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": n, "n_known": pa.array(np.rint(total[2]).astype(np.int64)), "train_tokens": pa.array(np.full(len(ids), tokens, np.int64)), "base_score": pa.array(total[0]), "score": pa.array(total[1] - start)})
+        return pa.table({"doc_id": ids, "held_out": held, "n_tokens": n, "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), tokens, np.int64)), "base_score": pa.array(total[0]), "score": pa.array(total[1] - start)})
 
     form = _ROW.format(kind=kind)
     rows = map_arrow(marked, split, form).groupBy("q").applyInArrow(words_tables, form).groupBy("q").applyInArrow(context_tables, form)

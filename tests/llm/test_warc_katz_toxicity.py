@@ -126,7 +126,7 @@ def test_katz_matches_brute_force_and_is_normalised(spark, parts, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     for a, b in zip(sorted(got, key=lambda r: (r[0], r[2], r[6])), sorted(want, key=lambda r: (r[0], r[2], r[6])), strict=True):
-        assert a[:5] == b[:5] and a[5:] == (pytest.approx(b[5], rel=1e-7), pytest.approx(b[6], rel=1e-6))
+        assert a[:5] == b[:5] and a[5:] == (pytest.approx(b[5], rel=1e-12), pytest.approx(b[6], rel=1e-12))
 
 
 def test_katz_without_rows_or_training(spark):
