@@ -1,10 +1,17 @@
 """Quality rules: base limits on each text, then robust multivariate outliers per language and source.
 
-Each text gives a vector of six transformed statistics. Per group (language, source) a minimum-covariance-determinant
-estimate is made by deterministic concentration steps over all the group's documents: the share H of rows nearest by
-Mahalanobis distance gives the next mean and covariance, until the set of rows no longer shrinks its determinant. There are
-two starts, the mean and covariance of all rows and the medians and spreads by median deviations; the end of smaller
-determinant is taken. So a cluster of up to 1 - H of a group's rows is left out, but not a larger one. Everything is sums of integers grouped on the cluster; only a row per group is ever small enough to matter.
+Each text gives a vector of six transformed statistics. For each group (language and source), each language and the whole
+table a minimum-covariance-determinant estimate is made by deterministic concentration steps over all its documents: the
+share H of rows nearest by Mahalanobis distance gives the next mean and covariance, until the determinant no longer shrinks.
+There are two starts, the mean and covariance of all rows and the medians and spreads by median deviations; the end of
+smaller determinant is taken. Equal vectors of a group count once, so that no number of copies makes an estimate; of
+different ones a cluster of up to 1 - H of a group is left out, but not a larger one.
+
+A covariance's eigenvalues, in units of the spread of all the group's rows, are BOUND at least: statistics that are equal in
+nearly all texts must not reject the few others. An estimate from n rows is mixed with its parent's (group, language, table,
+and for the table the plain mean and covariance) in the proportion of n to BORROW, at every size.
+
+Everything is sums of integers grouped on the cluster; only a row per group is ever small enough to matter.
 """
 
 from __future__ import annotations
@@ -21,16 +28,17 @@ from .common import SAME, SPACE_WORDS, Texts, U, batch_of, cut, hash_runs, map_a
 P = 6
 #: Statistics are counted in this share of a unit, so that sums are exact.
 UNIT = 256
-#: Least spread of each statistic: a group of near equal texts must not reject its other members.
-FLOOR = (0.5, 0.3, 0.3, 0.25, 0.2, 0.1)
+#: Least eigenvalue of a covariance, as a share of what all rows of the group have.
+BOUND = 0.05
 H = 0.75
 #: Concentration steps before the first look at the determinants; one less between later looks.
 STEPS = 6
 #: A determinant (logarithm) that falls by less has stopped.
 STILL = 1e-9
-#: Groups of fewer judged rows borrow: from the small ones of their language, else from the whole language, else from the table.
-LEAST = 100
-TAIL = 1e-6
+#: Rows that an estimate's parent counts for.
+BORROW = 100
+#: Share of a normal sample beyond the limit. Real statistics have longer tails, hence so small.
+TAIL = 1e-9
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS = ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"x{i} long" for i in range(P))
 
@@ -39,6 +47,8 @@ _SYMBOL[list(b"#*$%&|<>")] = 1
 _CHAR = (np.arange(256) & 0xC0) != 0x80
 _UPPER = np.zeros(256, np.int64)
 _UPPER[0x41:0x5B] = 1
+_MARKS = np.zeros(256, np.int64)
+_MARKS[list(b".,;:!?'()-\"")] = 1
 
 
 def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
@@ -47,7 +57,9 @@ def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
     w = t.words(SPACE_WORDS, SAME)
     n = w.count.astype(np.int64)
     inside = SPACE_WORDS[t.data]
-    chars, symbols, upper = t.sums(inside & _CHAR[t.data]), t.sums(_SYMBOL[t.data]), t.sums(_UPPER[t.data])
+    chars, symbols, upper, marks = t.sums(inside & _CHAR[t.data]), t.sums(_SYMBOL[t.data]), t.sums(_UPPER[t.data]), t.sums(_MARKS[t.data])
+    other = np.unique(mix(w.hash + w.doc.astype(U) * U(0xC2B2AE3D27D4EB4F)), return_index=True)[1]
+    distinct = np.bincount(w.doc[other], minlength=len(t))
 
     # lines with a word, and those equal to an earlier one of the same text
     starts, length, doc = t.lines()
@@ -66,8 +78,8 @@ def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
     c = np.concatenate([[0], np.cumsum(hit[: len(w.hash)])])
     repeat = c[w.off[1:]] - c[w.off[:-1]]
 
-    some, per = np.maximum(n, 1), np.maximum(lines, 1)
-    x = (np.log(some), chars / some, np.log1p(100 * symbols / some), np.sqrt(dup / per), np.sqrt(repeat / some), np.sqrt(upper / np.maximum(chars, 1)))
+    some = np.maximum(n, 1)
+    x = (np.log(some), np.log(np.maximum(chars, 1) / some), np.log1p(100 * symbols / some), distinct / some, np.sqrt(marks / some), np.sqrt(upper / np.maximum(chars, 1)))
     return dict(zip(COUNTS, (n, chars, symbols, dup, repeat), strict=True)) | {f"x{i}": np.rint(np.minimum(v, 64) * UNIT).astype(np.int64) for i, v in enumerate(x)}
 
 
@@ -108,8 +120,15 @@ CONSISTENT = H / _chi2_cdf(chi2_quantile(H, P), P + 2)
 LIMIT = chi2_quantile(1 - TAIL, P)
 #: A normal spread by its median deviation.
 MAD = 1.4826
-#: Estimates go by these until the best start is taken.
-KEYS = ["lang", "pool", "start"]
+#: What an estimate is of: level 0 is a language and source, 1 a language, 2 the table; start until the best is taken.
+GROUP = ["level", "lang", "source"]
+KEYS = [*GROUP, "start"]
+
+
+def levels(rows: DataFrame) -> DataFrame:
+    """Each row once for each level."""
+    at = [F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source")) for k, lang, source in ((0, F.col("lang"), F.col("source")), (1, F.col("lang"), F.lit("")), (2, F.lit(""), F.lit("")))]
+    return rows.select(F.explode(F.array(*at)).alias("at"), *[f"x{i}" for i in range(P)]).select("at.*", *[f"x{i}" for i in range(P)])
 
 
 def distance() -> Column:
@@ -118,8 +137,19 @@ def distance() -> Column:
     return sum((F.col("inv")[i * P + j] * d[i] * d[j] * (1 if i == j else 2) for i in range(P) for j in range(i, P)), F.lit(0.0))
 
 
+def bounded(cov: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """The covariance with eigenvalues of at least BOUND, in units of the spread (a variance for each statistic)."""
+    unit = np.sqrt(np.outer(spread, spread))
+    w, v = np.linalg.eigh(cov / unit)
+    return (v * np.maximum(w, BOUND)) @ v.T * unit
+
+
+EST = "level int, lang string, source string, start int, mean array<double>, inv array<double>, logdet double, n long, spread array<double>"
+_EST_TYPES = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.list_(pa.float64()))
+
+
 def _estimates(rows, scale: float) -> list[tuple]:
-    """mean, inverse and log determinant of each group from its sums; spreads no less than FLOOR."""
+    """EST's columns of each group from its sums; spread comes from these where it is not given."""
     out = []
     for r in rows:
         n = r["n"]
@@ -129,31 +159,31 @@ def _estimates(rows, scale: float) -> list[tuple]:
             for j in range(i, P):
                 exact = int(r[f"c{i}{j}"]) * n - int(r[f"s{i}"]) * int(r[f"s{j}"])
                 s[i, j] = s[j, i] = exact / n / n / UNIT / UNIT * scale
-        s += np.diag(np.square(FLOOR))
-        out.append((r["lang"], r["pool"], r["start"], m.tolist(), np.linalg.inv(s).ravel().tolist(), float(np.linalg.slogdet(s)[1]), n))
+        spread = np.array(r.get("spread") or np.maximum(np.diag(s), UNIT**-2.0))
+        s = bounded(s, spread)
+        out.append((r["level"], r["lang"], r["source"], r["start"], m.tolist(), np.linalg.inv(s).ravel().tolist(), float(np.linalg.slogdet(s)[1]), n, spread.tolist()))
     return out
 
 
-EST = "lang string, pool string, start int, mean array<double>, inv array<double>, logdet double, n long"
-
-
-def _moments(df: DataFrame, scale: float) -> DataFrame:
+def _moments(df: DataFrame, scale: float, spreads: DataFrame | None = None) -> DataFrame:
     sums = [F.sum(F.col(f"x{i}").cast("decimal(38,0)")).alias(f"s{i}") for i in range(P)]
     sums += [F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(38,0)")).alias(f"c{i}{j}") for i in range(P) for j in range(i, P)]
     grouped = df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *sums)
+    if spreads is not None:
+        grouped = grouped.join(spreads, GROUP)
 
     def run(batches):
         for b in batches:
             cols = _estimates(b.to_pylist(), scale)
             names = [x.split()[0] for x in EST.split(", ")]
-            yield pa.RecordBatch.from_pydict({k: pa.array([c[i] for c in cols], t) for i, (k, t) in enumerate(zip(names, (pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.int64()), strict=True))})
+            yield pa.RecordBatch.from_pydict({k: pa.array([c[i] for c in cols], t) for i, (k, t) in enumerate(zip(names, _EST_TYPES, strict=True))})
 
     return map_arrow(grouped, run, EST)
 
 
 def _nearest(df: DataFrame, est: DataFrame) -> DataFrame:
     """The share H of each group's rows by distance, with all ties of the last distance class (1/64 of an octave)."""
-    d = df.join(est.select(*KEYS, "mean", "inv"), ["lang", "pool"]).withColumn("bin", F.floor(F.log2(distance() + 1e-6) * 64).cast("int")).drop("mean", "inv")
+    d = df.join(est.select(*KEYS, "mean", "inv"), GROUP).withColumn("bin", F.floor(F.log2(distance() + 1e-6) * 64).cast("int")).drop("mean", "inv")
     bins = d.groupBy(*KEYS, "bin").count()
     # classes of one group: some thousands at most, as a distance has few octaves
     found = bins.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("bin", "count"))).alias("b"), F.sum("count").alias("n"))
@@ -163,15 +193,15 @@ def _nearest(df: DataFrame, est: DataFrame) -> DataFrame:
     return d.join(cut(found.select(*KEYS, last["bin"].alias("last")), "last"), KEYS).where("bin <= last").drop("bin", "last")
 
 
-def _middles(rows: DataFrame) -> DataFrame:
+def _middles(rows: DataFrame, spreads: DataFrame) -> DataFrame:
     """Medians and, from median deviations, spreads of each group, which a cluster of less than half its rows cannot move far."""
     middle = lambda c: F.percentile(c, F.lit(0.5))  # noqa: E731  counts by value, of which an integer up to 64 * UNIT has few
-    med = cut(rows.groupBy("lang", "pool").agg(F.count(F.lit(1)).alias("n"), *[middle(F.col(f"x{i}")).alias(f"m{i}") for i in range(P)]), "medians")
-    off = rows.join(med, ["lang", "pool"]).groupBy("lang", "pool").agg(*[middle(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"d{i}") for i in range(P)])
-    spread = [F.pow(F.col(f"d{i}") * F.lit(MAD / UNIT), F.lit(2.0)) + F.lit(FLOOR[i] ** 2) for i in range(P)]
+    med = cut(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *[middle(F.col(f"x{i}")).alias(f"m{i}") for i in range(P)]), "medians")
+    off = rows.join(med, GROUP).groupBy(*GROUP).agg(*[middle(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"d{i}") for i in range(P)])
+    var = [F.greatest(F.pow(F.col(f"d{i}") * F.lit(MAD / UNIT), F.lit(2.0)), F.col("spread")[i] * BOUND) for i in range(P)]
     mean = F.array(*[F.col(f"m{i}") / F.lit(float(UNIT)) for i in range(P)])
-    inv = F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
-    return med.join(off, ["lang", "pool"]).select("lang", "pool", F.lit(1).alias("start"), mean.alias("mean"), inv.alias("inv"), sum(map(F.log, spread), F.lit(0.0)).alias("logdet"), "n")
+    inv = F.array(*[1 / var[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
+    return med.join(off, GROUP).join(spreads, GROUP).select(*GROUP, F.lit(1).alias("start"), mean.alias("mean"), inv.alias("inv"), sum(map(F.log, var), F.lit(0.0)).alias("logdet"), "n", "spread")
 
 
 def _lower(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -181,64 +211,58 @@ def _lower(new: DataFrame, old: DataFrame) -> DataFrame:
     return both.select(*KEYS, *[F.when(fell, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in ("mean", "inv", "logdet", "n")], fell.alias("fell"))
 
 
-def _concentrate(rows: DataFrame) -> DataFrame:
-    """Per lang and pool, the estimate of smaller determinant of those that both starts lead to."""
-    est = cut(_moments(rows.withColumn("start", F.lit(0)), 1.0).unionByName(_middles(rows)), "mcd")
+def concentrate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per level, lang and source the plain estimate, and the one of smaller determinant of those that both starts lead to."""
+    plain = cut(_moments(rows.withColumn("start", F.lit(0)), 1.0), "plain")
+    spreads = cut(plain.select(*GROUP, "spread"), "spreads")
+    est = cut(plain.unionByName(_middles(rows, spreads)), "mcd")
     # a start's determinant is of other rows than a share H
-    est = cut(_moments(_nearest(rows, est), CONSISTENT), "mcd").withColumn("fell", F.lit(True))
+    est = cut(_moments(_nearest(rows, est), CONSISTENT, spreads), "mcd").withColumn("fell", F.lit(True))
     while not est.where("fell").isEmpty():
         for _ in range(STEPS - 1):
-            est = cut(_lower(cut(_moments(_nearest(rows, est), CONSISTENT), "mcd"), est), "mcd")
-    best = F.min(F.struct("logdet", "start", "mean", "inv", "n")).alias("best")
-    return cut(est.groupBy("lang", "pool").agg(best).select("lang", "pool", "best.mean", "best.inv", "best.logdet", "best.n"), "mcd")
+            est = cut(_lower(_moments(_nearest(rows, est), CONSISTENT, spreads), est), "mcd")
+    best = F.min(F.struct("logdet", "start", "mean", "inv")).alias("best")
+    return plain, cut(est.groupBy(*GROUP).agg(best).select(*GROUP, "best.mean", "best.inv", "best.logdet"), "mcd")
 
 
-def _mixed(a: tuple, b: tuple, w: float) -> tuple[list[float], list[float]]:
-    """mean and inverse of a mixture: the share w of rows as in a, the rest as in b, with the spread between both."""
-    (ma, sa), (mb, sb) = ((np.asarray(m), np.linalg.inv(np.asarray(inv).reshape(P, P))) for m, inv in (a, b))
-    s = w * sa + (1 - w) * sb + w * (1 - w) * np.outer(ma - mb, ma - mb)
-    return (w * ma + (1 - w) * mb).tolist(), np.linalg.inv(s).ravel().tolist()
+def mixed(a: tuple, b: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a mixture: n rows as in a and BORROW as in b, with the spread between both."""
+    (ma, sa), (mb, sb), w = a, b, n / (n + BORROW)
+    return w * ma + (1 - w) * mb, w * sa + (1 - w) * sb + w * (1 - w) * np.outer(ma - mb, ma - mb)
 
 
-def _borrowed(own: DataFrame, est: DataFrame, few: DataFrame, total: int, least: int) -> DataFrame:
-    """est, where languages of n < least rows (few: lang and n) weigh n / least against the whole table."""
-    whole = cut(own.withColumns({"lang": F.lit(""), "pool": F.lit("")}).drop("source"), "rows")
-    table = _concentrate(whole).select("mean", "inv").first()
-    if total < least:  # few rows prove no outlier: the plain estimate has room for each
-        table = _mixed(table, _moments(whole.withColumn("start", F.lit(0)), 1.0).select("mean", "inv").first(), total / least)
-    parent = tuple(table)
+def fit(stats: DataFrame) -> DataFrame:
+    """lang, source, mean and inv of all groups with rows that pass the base. stats should be a table: it is read often."""
+    own = stats.where(~base_failed()).select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), *[f"x{i}" for i in range(P)])
+    plain, best = concentrate(levels(cut(own.distinct(), "rows")))
+    named = lambda df, level, c: df.where(F.col("level") == level).select(*GROUP[1 : 3 - level], *[F.col(x).alias(f"{x}{c}") for x in ("mean", "inv")])
+    est = best.join(plain.select(*GROUP, "n"), GROUP)
+    size = lambda level: est.where(F.col("level") == level).select(*GROUP[1 : 3 - level], F.col("n").alias(f"n{level}"))
+    # the table's are a row each
+    table = named(best, 2, "2").crossJoin(F.broadcast(named(plain, 2, "3"))).crossJoin(F.broadcast(size(2)))
+    chain = named(best, 0, "0").join(size(0), ["lang", "source"]).join(named(best, 1, "1").join(size(1), "lang"), "lang").crossJoin(F.broadcast(table))
 
     def run(batches):
         for b in batches:
-            rows = b.to_pylist()
-            new = [(r["mean"], r["inv"]) if r["rows"] is None else _mixed((r["mean"], r["inv"]), parent, r["rows"] / least) for r in rows]
-            yield batch_of(lang=b.column("lang"), pool=b.column("pool"), mean=pa.array([m for m, _ in new], pa.list_(pa.float64())), inv=pa.array([v for _, v in new], pa.list_(pa.float64())))
+            out = []
+            for r in b.to_pylist():
+                one = [(np.array(r[f"mean{k}"]), np.linalg.inv(np.array(r[f"inv{k}"]).reshape(P, P))) for k in range(4)]
+                m, s = one[3]
+                for k in (2, 1, 0):
+                    m, s = mixed(one[k], (m, s), r[f"n{k}"])
+                out.append((m.tolist(), np.linalg.inv(s).ravel().tolist()))
+            yield batch_of(lang=b.column("lang"), source=b.column("source"), mean=pa.array([x for x, _ in out], pa.list_(pa.float64())), inv=pa.array([x for _, x in out], pa.list_(pa.float64())))
 
-    marked = est.join(few.select("lang", F.col("of_lang").alias("rows")), "lang", "left").select("lang", "pool", "mean", "inv", "rows")
-    return cut(map_arrow(marked, run, "lang string, pool string, mean array<double>, inv array<double>"), "mcd")
+    return cut(map_arrow(chain, run, "lang string, source string, mean array<double>, inv array<double>"), "estimates")
 
 
-def fit(stats: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, pool) of all groups with rows that pass the base, and the estimates per (lang, pool). stats should be a table: it is read often."""
-    own = stats.where(~base_failed()).select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), *[f"x{i}" for i in range(P)])
-    counts = cut(own.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "counts")
-    langs = cut(counts.groupBy("lang").agg(F.sum("n").alias("of_lang"), F.sum(F.when(F.col("n") < least, F.col("n")).otherwise(0)).alias("of_small")), "langs")
-    # small sources of a language that has enough rows, but not in small sources: by all its rows
-    pool = F.when(F.col("n") >= least, F.concat(F.lit("="), "source")).when((F.col("of_small") >= least) | (F.col("of_lang") < least), F.lit("rest")).otherwise(F.lit("all"))
-    pools = cut(counts.join(langs, "lang").select("lang", "source", pool.alias("pool")), "pools")
-    wide = pools.where("pool = 'all'").select("lang").distinct()
-    members = pools.where("pool <> 'all'").union(counts.join(wide, "lang").select("lang", "source", F.lit("all")))
-    est = _concentrate(cut(own.join(cut(members, "pools"), ["lang", "source"]).drop("source"), "rows")).select("lang", "pool", "mean", "inv")
-    few = langs.where(F.col("of_lang") < least)
-    if few.isEmpty():
-        return pools, est
-    return pools, _borrowed(own, est, few, langs.agg(F.sum("of_lang")).first()[0], least)
-
-
-def judge(stats: DataFrame, pools: DataFrame, est: DataFrame) -> DataFrame:
-    """Adds base_failed, distance (null only where no row of the language and source passes the base) and kept."""
+def judge(stats: DataFrame, est: DataFrame) -> DataFrame:
+    """Adds base_failed, distance (null only where no row of the language and source passes the base) and kept.
+
+    est is a table of known size: Spark broadcasts it below its limit, and splits large groups of the join beyond it.
+    """
     keyed = stats.withColumn("lang_", F.coalesce("lang", F.lit(""))).withColumn("source_", F.coalesce("source", F.lit("")))
-    p = pools.join(est, ["lang", "pool"]).select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "mean", "inv")
+    p = est.select(F.col("lang").alias("lang_"), F.col("source").alias("source_"), "mean", "inv")
     out = keyed.join(p, ["lang_", "source_"], "left").withColumn("base_failed", base_failed()).withColumn("distance", distance())
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("distance") > LIMIT, F.lit(False))).drop("lang_", "source_", "mean", "inv")
 
@@ -246,19 +270,24 @@ def judge(stats: DataFrame, pools: DataFrame, est: DataFrame) -> DataFrame:
 def rules(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, distance and kept of each row.
 
-    Null or empty texts have no words and fail the base; null languages and sources form groups of their own; repeated
-    rows count as often as they occur; an empty table gives no rows; other columns of docs are not read.
+    Null or empty texts have no words and fail the base; very long texts are read whole, one at a time; null languages and
+    sources count as empty ones; repeated rows get equal verdicts and count once in the estimates; ties of the last distance
+    class all count as near; an empty table gives no rows; other columns of docs are not read, so names cannot clash.
     """
     stats = cut(with_stats(docs, ["doc_id", "lang", "source"]), "stats")
-    return judge(stats, *fit(stats))
+    return judge(stats, fit(stats))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that the rules keep, with docs' columns. Statistics are made again beside the text, which is never shuffled."""
+    """The rows that the rules keep, with docs' columns. Statistics are made again beside the text, which is never shuffled.
+
+    Rows of null and empty texts go, as they fail the base; repeated rows stay or go together; columns of docs with names of
+    results keep their values; an empty table gives no rows.
+    """
     clash = [c for c in docs.columns if c in {*COUNTS, "mean", "inv", "distance", "kept", "base_failed", "lang_", "source_", *(f"x{i}" for i in range(P))}]
     named = docs.withColumnsRenamed({c: f"{c}·own" for c in clash})
     stats = cut(with_stats(named, ["lang", "source"]), "stats")
-    out = judge(with_stats(named, named.columns), *fit(stats)).where("kept")
+    out = judge(with_stats(named, named.columns), fit(stats)).where("kept")
     return out.select(*[F.col(f"`{c}`") for c in named.columns]).withColumnsRenamed({f"{c}·own": c for c in clash})
 
 
