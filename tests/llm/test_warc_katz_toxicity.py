@@ -170,3 +170,29 @@ def test_toxicity_awkward_rows(spark):
     out = toxicity.score(documents(spark), *toxicity.fit(documents(spark), labels.limit(0))).collect()
     assert {r["score"] for r in out} == {0.5}
     assert toxicity.score(documents(spark).limit(0), *toxicity.fit(documents(spark), labels.where(F.lit(False)))).collect() == []
+
+
+def test_fit_agrees_with_plain_gradient_descent():
+    """The fitted loss against slow steps on a dense matrix, written anew."""
+    r = np.random.default_rng(3)
+    x = (r.random((60, 12)) < 0.4).astype(float)
+    y = (x[:, 0] + x[:, 1] + r.normal(0, 0.5, 60) > 1).astype(float)
+    ratio, sure = toxicity.ratios(x[y == 1].sum(axis=0), x[y == 0].sum(axis=0), int(y.sum()), int((1 - y).sum()))
+    k = 4
+    p, q = (x[y == 1][:, k].sum() + 1) / (y.sum() + 2), (x[y == 0][:, k].sum() + 1) / ((1 - y).sum() + 2)
+    assert ratio[k] == pytest.approx(math.log(p / q))
+    assert sure[k] == pytest.approx(abs(math.log(p / q)) / math.sqrt(1 / (x[y == 1][:, k].sum() + 1) + 1 / (x[y == 0][:, k].sum() + 1)))
+    row, column = np.nonzero(x)
+    w = toxicity.train(y, row, column, ratio, 4000)
+    b, c = np.zeros(12), 0.0
+    for _ in range(40_000):
+        g = (1 / (1 + np.exp(-(x * ratio @ b + c))) - y) / 60
+        b, c = b - 0.1 * ((x * ratio).T @ g + toxicity.PENALTY * b), c - 0.1 * g.sum()
+    assert np.allclose(w, np.append(b * ratio, c), atol=1e-3)
+
+
+def test_toxicity_from_few_labels(spark):
+    """68 labelled texts are enough to tell some toxic ones."""
+    d = "/root/testdata/sf0.001"
+    w, _ = toxicity.fit(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    assert np.isfinite(w).all() and (w != 0).any()
