@@ -226,7 +226,11 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with docs' columns."""
+    """The rows of docs that stay, with docs' columns.
+
+    Rows of null and empty texts stay, as they are linked with nothing; of rows that repeat the smallest doc_id all stay; names
+    of docs' columns never clash; an empty table gives no rows.
+    """
     gone = groups(docs).where("NOT kept").select(F.col("doc_id").alias("·id"), F.col("t").alias("·t")).distinct()
     return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("·id")) & (F.xxhash64(docs["text"]) == F.col("·t")), "left_anti")
 

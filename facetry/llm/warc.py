@@ -20,7 +20,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_of, cut, map_arrow, read, steps, table_path
+from .common import batch_of, cut, map_arrow, parts, read, steps, table_path
 
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
@@ -46,10 +46,10 @@ def digests(pages: DataFrame) -> DataFrame:
     body = F.coalesce("html", F.lit(""))
     own = [c for c in pages.columns if c not in ("payload_bytes", "payload_digest", "record_type", "refers_to")]
     full = pages.select(*own, F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body.cast("binary"), 256).alias("payload_digest"))
-    many = full.where(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    many = full.where(F.col("payload_bytes") >= LEAST).groupBy("payload_digest").agg(F.min("page_id").alias("·first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     joined = full.join(cut(many, "responses"), "payload_digest", "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("payload_bytes") >= LEAST)
-    return joined.select(*own, "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    again = F.col("·first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("·first")) & (F.col("payload_bytes") >= LEAST)
+    return joined.select(*own, "payload_bytes", "payload_digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("·first")).alias("refers_to"))
 
 
 def record(page_id, url: str | None, html: str | None, kind: str, digest: str, refers_to) -> bytes:
@@ -129,7 +129,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     """
     kind = index.schema["page_id"].dataType.simpleString()
     spark = index.sparkSession
-    dealt = index.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "archive", "offset").sortWithinPartitions("archive", "offset")
+    size = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    dealt = index.repartitionByRange(parts(spark, size, ARCHIVE_BYTES), "archive", "offset").sortWithinPartitions("archive", "offset")
 
     def run(batches):
         fs, root = _files(folder)
@@ -170,8 +171,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Writes all pages and reads all records back.
 
-    A null html is an empty payload, a null url an empty one; repeated rows make a record each; other columns are not
-    written; an empty table gives no rows.
+    A null html is an empty payload, a null url an empty one; very long payloads are a record each, read by one read; repeated
+    rows and ties of the smallest page_id make a record each; other columns are not written, so names cannot clash; an empty
+    table gives no rows.
     """
     folder = table_path(pages.sparkSession, "warc")
     index = write_archives(digests(pages.select("page_id", "url", "html")), folder)

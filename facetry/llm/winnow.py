@@ -110,7 +110,7 @@ def document_prints(docs: DataFrame, prints: DataFrame) -> DataFrame:
 
 
 def extend(pairs: DataFrame, kind: str) -> DataFrame:
-    """doc_id, t, item, lo, hi: the matched words of each pair of equal fingerprints, where they are a window or more."""
+    """doc_id, t, context, lo, hi: the matched words of each pair of equal fingerprints, where they are a window or more."""
 
     def run(batches):
         for b in batches:
@@ -124,10 +124,10 @@ def extend(pairs: DataFrame, kind: str) -> DataFrame:
                 right = np.minimum.accumulate(same[:, SIDE + K :], axis=1).sum(axis=1)
                 lo[long], hi[long] = pos[long] - left, pos[long] + K + right
                 ok[long] = same[:, SIDE : SIDE + K].all(axis=1) & (left + K + right >= SPAN)
-            out = b.select(["doc_id", "t", "item"]).take(pa.array(np.flatnonzero(ok)))
+            out = b.select(["doc_id", "t", "context"]).take(pa.array(np.flatnonzero(ok)))
             yield pa.RecordBatch.from_pydict({c: out.column(c) for c in out.schema.names} | {"lo": pa.array(lo[ok]), "hi": pa.array(hi[ok])})
 
-    return map_arrow(pairs, run, f"doc_id {kind}, t long, item string, lo long, hi long")
+    return map_arrow(pairs, run, f"doc_id {kind}, t long, context long, lo long, hi long")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -140,10 +140,16 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     own = cut(document_prints(docs, prints), "docprints")
     kind = docs.schema["doc_id"].dataType.simpleString()
     each = own.where(F.size("prints") > 0).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", F.explode("prints").alias("p")).select("doc_id", "t", "p.*")
-    pairs = each.join(prints.withColumnRenamed("near", "near_item"), ["h", "n"])
-    spans = extend(pairs.select("doc_id", "t", "item", "n", "pos", "near", "near_item"), kind).distinct()
+    # contexts first: a passage that many items hold is matched once, and its items are joined with texts that have it
+    contexts = cut(prints.select("h", "n", F.col("near").alias("near_item"), F.xxhash64("h", "n", "near").alias("context")).distinct(), "contexts")
+    pairs = each.join(contexts, ["h", "n"])
+    found = cut(extend(pairs.select("doc_id", "t", "context", "n", "pos", "near", "near_item"), kind), "spans")
+    owners = prints.select(F.xxhash64("h", "n", "near").alias("context"), "item").distinct()
+    which = found.select("doc_id", "t", "context").distinct().join(owners, "context").groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    spans = found.select("doc_id", "t", "lo", "hi").distinct()
     # as many spans as a text has places; a text is one row in any case
-    hits = spans.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("item")).alias("items"), F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    hits = spans.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    hits = hits.join(which.withColumnsRenamed({"doc_id": "·d", "t": "·h"}), F.col("doc_id").eqNullSafe(F.col("·d")) & (F.col("t") == F.col("·h")))
     start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("hit"))
     union = F.aggregate("spans", start, lambda a, s: F.struct(F.greatest(a["end"], s["hi"]).alias("end"), (a["hit"] + F.greatest(s["hi"] - F.greatest(a["end"], s["lo"]), F.lit(0))).alias("hit")))
     hits = hits.select(F.col("doc_id").alias("·id"), F.col("t").alias("·t"), "items", union["hit"].alias("n_hit"))
@@ -154,7 +160,11 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with docs' columns."""
+    """The rows of docs that are not contaminated, with docs' columns.
+
+    Rows of null and empty texts stay; repeated rows stay or go together; names of docs' columns never clash; an empty table of
+    items drops nothing, an empty one of docs gives no rows.
+    """
     bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("·id"), F.col("t").alias("·t")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("·id")) & (F.xxhash64(docs["text"]) == F.col("·t")), "left_anti")
 

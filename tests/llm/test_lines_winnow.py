@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from facetry.llm import lines, winnow
 
@@ -60,6 +61,12 @@ def test_stage_drops_emptied_texts(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
 
 
+def test_stage_keeps_clashing_columns(spark):
+    df = documents(spark, [(1, BASE, "en", "a"), (2, BASE, "en", "a")]).withColumn("n_lines", F.lit(777)).withColumn("n_removed", F.lit("x"))
+    out = lines.drop_repeats(df)
+    assert out.columns == df.columns and [(r["n_lines"], r["n_removed"]) for r in out.collect()] == [(777, "x")]
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 

@@ -48,6 +48,11 @@ def test_round_trip(spark):
     assert warc.round_trip(pages(spark).limit(0)).collect() == []
 
 
+def test_digests_keep_clashing_columns(spark):
+    out = warc.digests(pages(spark).withColumn("first", F.lit(5)).withColumn("n", F.lit(6)))
+    assert out.count() == len(PAGES) and {(r["first"], r["n"]) for r in out.collect()} == {(5, 6)}
+
+
 def test_selected_records_by_ranges(spark, monkeypatch):
     folder = table_path(spark, "warc-test")
     index = warc.write_archives(warc.digests(pages(spark, [(i, f"u{i}", prose(i, 30)) for i in range(60)])), folder)
