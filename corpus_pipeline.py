@@ -1,6 +1,7 @@
 """A corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of docs.
+Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of docs. What a stage does
+with nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names is what its operator says.
 """
 
 from __future__ import annotations
@@ -11,22 +12,27 @@ from facetry.llm import common, lines, minhash, packing, quality, winnow
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the base limits and are no outliers; null and empty texts fail the base."""
     return quality.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later occurrences of repeated windows; texts left without a word go, null and empty ones stay."""
     return lines.drop_repeats(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies, that of the smallest doc_id."""
     return minhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of which less than a twentieth is benchmark text; an empty benchmark drops nothing."""
     return winnow.drop_contaminated(docs, common.read(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every text with its sequence and offset; null and empty texts are an end each."""
     return packing.pack(docs)
 
 
