@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import cut
+from .loops import ordered_loops
 from .mesh import compact, corners_of, cross
-from .topology import KEY, boundary_edges, components, face_components, half_edges
+from .topology import KEY, components, face_components, half_edges
 
 #: Square of a face's cross product below which it is degenerate.
 FLAT = 1e-14
@@ -57,14 +58,6 @@ def fans(f: DataFrame) -> DataFrame:
     return per.where("degree > 1").select("mesh_id", "vid", "fans")
 
 
-def boundary_loops(f: DataFrame) -> DataFrame:
-    """mesh_id, u, v, root: boundary edges with the least vertex of their loop."""
-    b = cut(boundary_edges(f).select("mesh_id", "u", "v"))
-    nodes = b.select("mesh_id", F.explode(F.array("u", "v")).alias("fid")).distinct()
-    c = components(nodes, b.select("mesh_id", F.col("u").alias("fid"), F.col("v").alias("nb")))
-    return b.join(c.select("mesh_id", F.col("fid").alias("u"), "root"), ["mesh_id", "u"])
-
-
 def report(v: DataFrame, f: DataFrame, loops: bool = True) -> DataFrame:
     """A row per mesh; loops=False leaves out what needs rounds (components, holes, fans, and with them watertight and genus)."""
     ones = f.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("faces"))
@@ -77,7 +70,7 @@ def report(v: DataFrame, f: DataFrame, loops: bool = True) -> DataFrame:
     if not loops:
         return out
     parts = face_components(f).groupBy("mesh_id").agg(F.count_distinct("root").alias("component_count"))
-    holes = boundary_loops(f).groupBy("mesh_id").agg(F.count_distinct("root").alias("hole_count"))
+    holes = ordered_loops(f).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("hole_count"))
     split = fans(f).where("fans > 1").groupBy("mesh_id").agg(F.count(F.lit(1)).alias("non_manifold_verts"))
     out = out.join(parts, "mesh_id", "left").join(holes, "mesh_id", "left").join(split, "mesh_id", "left").fillna(0, ["component_count", "hole_count", "non_manifold_verts"])
     tight = (F.col("boundary_edges") == 0) & (F.col("non_manifold_edges") == 0) & (F.col("non_manifold_verts") == 0) & (F.col("component_count") == 1)

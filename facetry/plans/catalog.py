@@ -54,7 +54,7 @@ def h1_health_dirty(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def h1_health_full(spark: SparkSession, d: str) -> DataFrame:
-    return health.report(*scan(spark, d))
+    return health.report(*scan(spark, d)).drop("mesh_id")
 
 
 @query("SELECT k, lo, hi, u, v, fid FROM he")
@@ -93,7 +93,10 @@ def t6_shrink(spark, d):
     return topology.shrink(topology.face_adjacency(f), scans.chosen(f)).select("fid")
 
 
-@query()
+FLOOD = "fl AS (SELECT 0::BIGINT AS fid UNION SELECT a.nb FROM fl JOIN ang a ON a.fid = fl.fid WHERE cosine >= cos(radians(40.0)))"
+
+
+@query("SELECT fid FROM fl", ctes=(ADJ, UNIT, ANGLE, FLOOD))
 def t7_flood(spark, d):
     v, f = scan(spark, d)
     return topology.flood(f, topology.face_adjacency(f), mesh.face_geometry(v, f), f.where("fid = 0").select("mesh_id", "fid"), 40.0).select("fid")
@@ -133,7 +136,12 @@ def t13_hole_mask(spark, d):
     return topology.hole_mask(scan(spark, d)[1], 2).select("fid")
 
 
-@query()
+#: Labels fall to the least of the neighbours' until they stand still.
+MEETS = "ln AS (SELECT DISTINCT a.fid, b.fid AS nb FROM he a JOIN he b ON a.lo = b.lo AND a.hi = b.hi AND a.fid <> b.fid)"
+LABELS = "lb(fid, root) USING KEY (fid) AS (SELECT fid, fid FROM f UNION SELECT ln.nb, min(lb.root) FROM lb JOIN ln ON ln.fid = lb.fid JOIN recurring.lb AS old ON old.fid = ln.nb WHERE lb.root < old.root GROUP BY ln.nb)"
+
+
+@query("SELECT fid, root FROM lb", ctes=(MEETS, LABELS))
 def t14_components(spark, d):
     return topology.face_components(scan(spark, d)[1]).select("fid", "root")
 
@@ -287,14 +295,64 @@ def h6_auto_repair(spark, d):
 
 
 
-@query()
+#: lo has each open edge's start with the least vertex of its loop (all loops of scan_clean are simple), wk the loop's vertices in order.
+LOOPS = (
+    "lp AS (SELECT u AS root, u, v FROM be UNION SELECT lp.root, be.u, be.v FROM lp JOIN be ON be.u = lp.v)",
+    "lo AS (SELECT u, min(root) AS root FROM lp GROUP BY u)",
+    "wk AS (SELECT root, u, v, 0 AS k FROM be JOIN lo USING (u) WHERE u = root UNION ALL SELECT wk.root, be.u, be.v, k + 1 FROM wk JOIN be ON be.u = wk.v WHERE be.u <> wk.root)",
+)
+HOLES = """SELECT root, count(*) AS edges, string_agg(u, ',' ORDER BY k) AS vertices, round(sum(sqrt(CAST((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2 AS DOUBLE))), 4) AS perimeter,
+round(sqrt(CAST(sum(a.y * b.z - b.y * a.z) AS DOUBLE) ** 2 + CAST(sum(a.z * b.x - b.z * a.x) AS DOUBLE) ** 2 + CAST(sum(a.x * b.y - b.x * a.y) AS DOUBLE) ** 2) / 2, 3) AS area,
+min(a.x) AS min_x, max(a.x) AS max_x, min(a.y) AS min_y, max(a.y) AS max_y, min(a.z) AS min_z, max(a.z) AS max_z FROM wk JOIN v a ON a.vid = u JOIN v b ON b.vid = wk.v GROUP BY root"""
+
+
+@query(HOLES, ctes=LOOPS)
 def g1_holes(spark, d):
-    return holes.holes(*scan(spark, d)).drop("mesh_id")
+    h = holes.holes(*scan(spark, d)).withColumn("vertices", F.array_join(F.col("vertices").cast("array<string>"), ","))
+    return h.select("root", "edges", "vertices", F.round("perimeter", 4).alias("perimeter"), F.round("area", 3).alias("area"), *[f"{m}_{a}" for a in "xyz" for m in ("min", "max")])
 
 
-@query()
+@query("SELECT root, count(*) AS faces, min(b) AS least, max(b) AS most FROM (SELECT root, u AS b FROM wk UNION ALL SELECT root, v FROM wk) GROUP BY root", ctes=LOOPS)
 def g3_fan_fill(spark, d):
-    return holes.fan_fill(*scan(spark, d))[1].drop("mesh_id")
+    """The fans' rims, by the hole that each closes."""
+    v, f = scan(spark, d)
+    _, faces = holes.fan_fill(v, f)
+    one = faces.select("hole_id", F.explode(F.array("v0", "v1")).alias("b"))
+    return one.groupBy("hole_id").agg(F.min("b").alias("root"), F.count(F.lit(1)).alias("faces"), F.min("b").alias("least"), F.max("b").alias("most")).drop("hole_id")
+
+
+SQUARES = "sm AS (SELECT root, count(*) AS n FROM wk GROUP BY root HAVING count(*) <= 40)"
+EAR = "SELECT root, n - 2 AS faces, round(sum(CAST(a.x * b.y - b.x * a.y AS DOUBLE)) / -2, 3) AS flat FROM wk JOIN sm USING (root) JOIN v a ON a.vid = u JOIN v b ON b.vid = wk.v GROUP BY root, n"
+
+
+@query(EAR, ctes=(*LOOPS, SQUARES))
+def g4_ear_clipping(spark, d):
+    """Faces of each small hole's ears, and their area seen from above, which is the hole's own."""
+    v, f = scan(spark, d)
+    h = holes.holes(v, f).where("edges <= 40")
+    _, faces = holes.fill(v, f, "ear", chosen=h.select("mesh_id", "hole_id"))
+    c = mesh.corners_of(v, faces).join(faces.select("mesh_id", "fid", "hole_id"), ["mesh_id", "fid"])
+    flat = F.sum((F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("y1") - F.col("y0")) * (F.col("x2") - F.col("x0"))) / 2
+    g = c.groupBy("hole_id").agg(F.least(*[F.min(f"v{k}") for k in range(3)]).alias("root"), F.count(F.lit(1)).alias("faces"), F.round(flat.cast("double"), 3).alias("flat"))
+    return g.drop("hole_id")
+
+
+@query()
+def g5_least_area_fill(spark, d):
+    return holes.fill(*scan(spark, d), "least_area")[1].drop("mesh_id")
+
+
+@query()
+def g6_smooth_fill(spark, d):
+    return holes.fill(*scan(spark, d), "smooth", density=1.5)[0].drop("mesh_id")
+
+
+@query()
+def g13_solve_fill(spark, d):
+    v, f = scan(spark, d)
+    small = holes.holes(v, f).where("edges <= 12")
+    chosen = f.join(small.select("mesh_id", F.explode("vertices").alias("v0")), ["mesh_id", "v0"], "left_semi")
+    return holes.solve(v, chosen, [{"kind": "plane", "point": (0.0, 0.0, 50.0), "normal": (0.0, 0.0, 1.0), "radius": 0.0}]).drop("mesh_id")
 
 
 REFERENCES = [(1, "plane", (0.0, 0.0, 50.0), (0.0, 0.0, 1.0), 0.0), (2, "disk", (500.0, 500.0, 0.0), (0.0, 0.0, 1.0), 300.0), (3, "cylinder", (1000.0, 1000.0, 50.0), (0.0, 0.0, 1.0), 400.0)]
