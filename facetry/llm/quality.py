@@ -23,16 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SAME, SPACE_WORDS, Texts, U, batch_of, cut, hash_runs, map_arrow, mix, read, steps
+from .common import SAME, SPACE_WORDS, Texts, U, batch_of, cut, hash_runs, map_arrow, mix, parts, read, steps
 
 P = 6
-#: Statistics are counted in this share of a unit, so that sums are exact.
-UNIT = 256
+#: Statistics are counted in this share of a unit, so that sums are exact, and are this large at most (logarithms and shares
+#: are not larger): so longs hold the sums of squares of 10 ** 11 rows.
+UNIT, MOST = 256, 32
 #: Least eigenvalue of a covariance, as a share of what all rows of the group have.
 BOUND = 0.05
 H = 0.75
 #: Concentration steps before the first look at the determinants; one less between later looks.
-STEPS = 6
+STEPS = 4
 #: A determinant (logarithm) that falls by less has stopped.
 STILL = 1e-9
 #: Rows that an estimate's parent counts for.
@@ -80,7 +81,7 @@ def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
 
     some = np.maximum(n, 1)
     x = (np.log(some), np.log(np.maximum(chars, 1) / some), np.log1p(100 * symbols / some), distinct / some, np.sqrt(marks / some), np.sqrt(upper / np.maximum(chars, 1)))
-    return dict(zip(COUNTS, (n, chars, symbols, dup, repeat), strict=True)) | {f"x{i}": np.rint(np.minimum(v, 64) * UNIT).astype(np.int64) for i, v in enumerate(x)}
+    return dict(zip(COUNTS, (n, chars, symbols, dup, repeat), strict=True)) | {f"x{i}": np.rint(np.minimum(v, MOST) * UNIT).astype(np.int64) for i, v in enumerate(x)}
 
 
 def with_stats(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -165,10 +166,27 @@ def _estimates(rows, scale: float) -> list[tuple]:
     return out
 
 
+SUMS = ["n", *[f"s{i}" for i in range(P)], *[f"c{i}{j}" for i in range(P) for j in range(i, P)]]
+
+
+def _partial(batches):
+    """SUMS of each group's rows in a batch."""
+    for b in batches:
+        code = np.zeros(b.num_rows, np.int64)
+        for k in KEYS:
+            e = b.column(k).dictionary_encode()
+            code = code * (len(e.dictionary) + 1) + e.indices.to_numpy()
+        _, first, group = np.unique(code, return_index=True, return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        x = np.stack([b.column(f"x{i}").to_numpy() for i in range(P)], axis=1)[order]
+        at = np.searchsorted(group[order], np.arange(len(first)))
+        sums = [np.bincount(group), *[np.add.reduceat(x[:, i], at) for i in range(P)], *[np.add.reduceat(x[:, i] * x[:, j], at) for i in range(P) for j in range(i, P)]]
+        yield pa.RecordBatch.from_pydict({k: b.column(k).take(pa.array(first)) for k in KEYS} | dict(zip(SUMS, map(pa.array, sums), strict=True)))
+
+
 def _moments(df: DataFrame, scale: float, spreads: DataFrame | None = None) -> DataFrame:
-    sums = [F.sum(F.col(f"x{i}").cast("decimal(38,0)")).alias(f"s{i}") for i in range(P)]
-    sums += [F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(38,0)")).alias(f"c{i}{j}") for i in range(P) for j in range(i, P)]
-    grouped = df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), *sums)
+    each = map_arrow(df.select(*KEYS, *[f"x{i}" for i in range(P)]), _partial, "level int, lang string, source string, start int, " + ", ".join(f"{c} long" for c in SUMS))
+    grouped = each.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
     if spreads is not None:
         grouped = grouped.join(spreads, GROUP)
 
@@ -195,7 +213,7 @@ def _nearest(df: DataFrame, est: DataFrame) -> DataFrame:
 
 def _middles(rows: DataFrame, spreads: DataFrame) -> DataFrame:
     """Medians and, from median deviations, spreads of each group, which a cluster of less than half its rows cannot move far."""
-    middle = lambda c: F.percentile(c, F.lit(0.5))  # noqa: E731  counts by value, of which an integer up to 64 * UNIT has few
+    middle = lambda c: F.percentile(c, F.lit(0.5))  # noqa: E731  counts by value, of which an integer up to MOST * UNIT has few
     med = cut(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *[middle(F.col(f"x{i}")).alias(f"m{i}") for i in range(P)]), "medians")
     off = rows.join(med, GROUP).groupBy(*GROUP).agg(*[middle(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"d{i}") for i in range(P)])
     var = [F.greatest(F.pow(F.col(f"d{i}") * F.lit(MAD / UNIT), F.lit(2.0)), F.col("spread")[i] * BOUND) for i in range(P)]
@@ -205,9 +223,9 @@ def _middles(rows: DataFrame, spreads: DataFrame) -> DataFrame:
 
 
 def _lower(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Of each group and start the estimate of smaller determinant, and whether that is the new one; what has stopped stays."""
-    both = new.alias("a").join(old.alias("b"), KEYS)
-    fell = F.col("a.logdet") < F.col("b.logdet") - STILL
+    """Of each group and start the estimate of smaller determinant, and whether that is the new one; what has stopped has no new one."""
+    both = old.alias("b").join(new.alias("a"), KEYS, "left")
+    fell = F.coalesce(F.col("a.logdet") < F.col("b.logdet") - STILL, F.lit(False))
     return both.select(*KEYS, *[F.when(fell, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in ("mean", "inv", "logdet", "n")], fell.alias("fell"))
 
 
@@ -220,7 +238,7 @@ def concentrate(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     est = cut(_moments(_nearest(rows, est), CONSISTENT, spreads), "mcd").withColumn("fell", F.lit(True))
     while not est.where("fell").isEmpty():
         for _ in range(STEPS - 1):
-            est = cut(_lower(_moments(_nearest(rows, est), CONSISTENT, spreads), est), "mcd")
+            est = cut(_lower(_moments(_nearest(rows, est.where("fell")), CONSISTENT, spreads), est), "mcd")
     best = F.min(F.struct("logdet", "start", "mean", "inv")).alias("best")
     return plain, cut(est.groupBy(*GROUP).agg(best).select(*GROUP, "best.mean", "best.inv", "best.logdet"), "mcd")
 
@@ -234,7 +252,9 @@ def mixed(a: tuple, b: tuple, n: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(stats: DataFrame) -> DataFrame:
     """lang, source, mean and inv of all groups with rows that pass the base. stats should be a table: it is read often."""
     own = stats.where(~base_failed()).select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), *[f"x{i}" for i in range(P)])
-    plain, best = concentrate(levels(cut(own.distinct(), "rows")))
+    # over all tasks: rows of few bytes would else be read by one, and are worked on in each step
+    rows = own.distinct().repartition(parts(stats.sparkSession, 0, 1))
+    plain, best = concentrate(levels(cut(rows, "rows")))
     named = lambda df, level, c: df.where(F.col("level") == level).select(*GROUP[1 : 3 - level], *[F.col(x).alias(f"{x}{c}") for x in ("mean", "inv")])
     est = best.join(plain.select(*GROUP, "n"), GROUP)
     size = lambda level: est.where(F.col("level") == level).select(*GROUP[1 : 3 - level], F.col("n").alias(f"n{level}"))
