@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..operators import fitting, health, holes, mesh, spatial, topology
+from ..operators import fitting, health, holes, mesh, segmentation, spatial, topology
 from ..sources import sinks
 from . import scans
 from .scans import ADJ, CHOSEN, HIDDEN, UNIT, scan, scan_sql
@@ -355,6 +355,51 @@ def g13_solve_fill(spark, d):
     return holes.solve(v, chosen, [{"kind": "plane", "point": (0.0, 0.0, 50.0), "normal": (0.0, 0.0, 1.0), "radius": 0.0}]).drop("mesh_id")
 
 
+#: Labels fall to the least across sides that bend by 45 degrees at most: the classic mode of segmentation.
+BENDS = "bn AS (SELECT fid, nb FROM ang WHERE cosine >= cos(radians(45.0)) - 1e-12)"
+REGIONS = "rg(fid, root) USING KEY (fid) AS (SELECT fid, fid FROM f UNION SELECT bn.nb, min(rg.root) FROM rg JOIN bn ON bn.fid = rg.fid JOIN recurring.rg AS old ON old.fid = bn.nb WHERE rg.root < old.root GROUP BY bn.nb)"
+RANKED = "rk AS (SELECT root, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, root) - 1 AS group_id FROM rg GROUP BY root HAVING count(*) >= 2)"
+
+
+def regions(spark, d):
+    v, f = scan(spark, d)
+    return segmentation.segment(f, topology.face_adjacency(f), mesh.face_geometry(v, f), 45.0, 2)
+
+
+@query("SELECT fid, CAST(coalesce(group_id, -1) AS INTEGER) AS group_id FROM rg LEFT JOIN rk USING (root)", ctes=(ADJ, UNIT, ANGLE, BENDS, REGIONS, RANKED))
+def e4_core_regions(spark, d):
+    return regions(spark, d).select("fid", "group_id")
+
+
+@query("SELECT CAST(group_id AS INTEGER) AS group_id, n FROM rk", ctes=(ADJ, UNIT, ANGLE, BENDS, REGIONS, RANKED))
+def e9_ranked_groups(spark, d):
+    return regions(spark, d).where("group_id >= 0").groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def e10_classified_groups(spark, d):
+    v, f = scan(spark, d)
+    return segmentation.classify(v, f, regions(spark, d), mesh.face_geometry(v, f), 5.0).drop("mesh_id")
+
+
+NEAR = "ag AS (SELECT DISTINCT fid, nb FROM adj WHERE nb IS NOT NULL), cn AS (SELECT fid, (x0 + x1 + x2) / 3.0 AS mx, (y0 + y1 + y2) / 3.0 AS my, (z0 + z1 + z2) / 3.0 AS mz FROM p), r1 AS (SELECT fid, nb AS other FROM ag WHERE fid <> nb), r2 AS (SELECT DISTINCT r1.fid, ag.nb AS other FROM r1 JOIN ag ON ag.fid = r1.other JOIN cn a ON a.fid = r1.fid JOIN cn b ON b.fid = ag.nb WHERE ag.nb <> r1.fid AND sqrt((a.mx - b.mx) ** 2 + (a.my - b.my) ** 2 + (a.mz - b.mz) ** 2) <= 130.5)"
+
+
+@query("SELECT fid, fid AS other, 0 AS ring FROM f UNION ALL SELECT fid, other, 1 FROM r1 UNION ALL SELECT fid, other, 2 FROM r2 WHERE (fid, other) NOT IN (SELECT (fid, other) FROM r1)", ctes=(ADJ, NEAR))
+def e11_ring_scan(spark, d):
+    v, f = scan(spark, d)
+    return segmentation.ring_scan(topology.face_adjacency(f), mesh.face_geometry(v, f), 130.5, 2).drop("mesh_id")
+
+
+PICKED = "cl(fid, root) USING KEY (fid) AS (SELECT fid, fid FROM sel UNION SELECT a.nb, min(cl.root) FROM cl JOIN adj a ON a.fid = cl.fid JOIN recurring.cl AS old ON old.fid = a.nb WHERE cl.root < old.root GROUP BY a.nb)"
+
+
+@query("SELECT fid, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM cl", ctes=(ADJ, CHOSEN, PICKED))
+def t15_selected_clusters(spark, d):
+    f = scan(spark, d)[1]
+    return segmentation.selected_clusters(f, topology.face_adjacency(f), scans.chosen(f)).select("fid", "cluster")
+
+
 REFERENCES = [(1, "plane", (0.0, 0.0, 50.0), (0.0, 0.0, 1.0), 0.0), (2, "disk", (500.0, 500.0, 0.0), (0.0, 0.0, 1.0), 300.0), (3, "cylinder", (1000.0, 1000.0, 50.0), (0.0, 0.0, 1.0), 400.0)]
 
 
