@@ -7,6 +7,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import cut, numbered
 from ..operators.mesh import AXES, corners_of, cross, vertex_normals
 
 
@@ -37,6 +38,15 @@ def dxf_circle_segments(circles: DataFrame, n: int = 64) -> DataFrame:
     return at.select("feature_id", "k", *[point(a, F.col("k")).alias(f"a{a}") for a in AXES], *[point(a, F.col("k") + 1).alias(f"b{a}") for a in AXES])
 
 
+def dense(v: DataFrame, f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices numbered from 0 by vid, and faces with those numbers: files refer to rows by their place."""
+    named = cut(numbered(v, ["vid"], "place"))
+    ids = named.select("mesh_id", "vid", "place")
+    for k in range(3):
+        f = f.join(ids.withColumnsRenamed({"vid": f"v{k}", "place": f"p{k}"}), ["mesh_id", f"v{k}"])
+    return named.drop("vid").withColumnRenamed("place", "vid"), cut(f.select("mesh_id", "fid", *[F.col(f"p{k}").alias(f"v{k}") for k in range(3)]))
+
+
 def _open(path: str):
     fs, name = pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
     return fs.open_output_stream(name)
@@ -45,7 +55,9 @@ def _open(path: str):
 def write_mesh(v: DataFrame, f: DataFrame, mesh_id: str, path: str) -> None:
     """One mesh as one file, by its ending. Rows stream to the driver partition by partition, in order."""
     end = path.rsplit(".", 1)[-1].lower()
-    v, f = v.where(F.col("mesh_id") == mesh_id), f.where(F.col("mesh_id") == mesh_id)
+    if end not in ("obj", "stl", "ply"):
+        raise ValueError(f"Unsupported export type: {end}")
+    v, f = dense(v.where(F.col("mesh_id") == mesh_id), f.where(F.col("mesh_id") == mesh_id))
     if end == "obj":
         with _open(path) as out:
             for r in obj_lines(v, f).orderBy("part", "at").select("line").toLocalIterator():
@@ -67,5 +79,3 @@ def write_mesh(v: DataFrame, f: DataFrame, mesh_id: str, path: str) -> None:
                 out.write(np.array(tuple(r), "<f4").tobytes())
             for r in f.orderBy("fid").select("v0", "v1", "v2").toLocalIterator():
                 out.write(b"\x03" + np.array(tuple(r), "<i4").tobytes())
-    else:
-        raise ValueError(f"Unsupported export type: {end}")
