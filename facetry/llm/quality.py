@@ -211,11 +211,23 @@ def _nearest(df: DataFrame, est: DataFrame) -> DataFrame:
     return d.join(cut(found.select(*KEYS, last["bin"].alias("last")), "last"), KEYS).where("bin <= last").drop("bin", "last")
 
 
+def _medians(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """Per group n and the median of each value (name0, name1, ...), from counts by value: few rows of a group ever meet in a task."""
+    one = rows.select(*GROUP, F.posexplode(F.array(*values)).alias("i", "x"))
+    counts = one.groupBy(*GROUP, "i", "x").agg(F.count(F.lit(1)).alias("n"))
+    # values of one statistic: MOST * UNIT at most, twice that for distances from a median
+    bars = counts.groupBy(*GROUP, "i").agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("b"), F.sum("n").alias("n"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("x"))
+    place = lambda k: F.aggregate("b", start, lambda a, e: F.struct((a["seen"] + e["n"]).alias("seen"), F.when(a["x"].isNull() & (a["seen"] + e["n"] > k), e["x"].cast("double")).otherwise(a["x"]).alias("x")))["x"]
+    middle = (place(F.floor((F.col("n") - 1) / 2)) + place(F.floor(F.col("n") / 2))) / 2
+    found = bars.select(*GROUP, "i", "n", middle.alias("m"))
+    return found.groupBy(*GROUP).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("i") == i, F.col("m"))).alias(f"{name}{i}") for i in range(P)])
+
+
 def _middles(rows: DataFrame, spreads: DataFrame) -> DataFrame:
     """Medians and, from median deviations, spreads of each group, which a cluster of less than half its rows cannot move far."""
-    middle = lambda c: F.percentile(c, F.lit(0.5))  # noqa: E731  counts by value, of which an integer up to MOST * UNIT has few
-    med = cut(rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *[middle(F.col(f"x{i}")).alias(f"m{i}") for i in range(P)]), "medians")
-    off = rows.join(med, GROUP).groupBy(*GROUP).agg(*[middle(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))).alias(f"d{i}") for i in range(P)])
+    med = cut(_medians(rows, [F.col(f"x{i}") for i in range(P)], "m"), "medians")
+    off = cut(_medians(rows.join(med, GROUP), [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(P)], "d").drop("n"), "deviations")
     var = [F.greatest(F.pow(F.col(f"d{i}") * F.lit(MAD / UNIT), F.lit(2.0)), F.col("spread")[i] * BOUND) for i in range(P)]
     mean = F.array(*[F.col(f"m{i}") / F.lit(float(UNIT)) for i in range(P)])
     inv = F.array(*[1 / var[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P)])

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from facetry.llm import licenses, quality
 
@@ -49,6 +50,14 @@ def test_estimate_is_the_least_determinant_of_all_subsets(spark):
     assert [best[k]["logdet"] for k in range(3)] == [pytest.approx(least, abs=1e-6)] * 3
 
 
+def test_medians_by_counts(spark):
+    r = np.random.default_rng(2)
+    x = {"a": r.integers(0, 30, (41, quality.P)), "b": r.integers(0, 9, (40, quality.P))}
+    rows = spark.createDataFrame([(0, "en", s, *map(int, v)) for s, m in x.items() for v in m], "level int, lang string, source string, " + ", ".join(f"x{i} long" for i in range(quality.P)))
+    got = {g["source"]: g for g in quality._medians(rows, [F.col(f"x{i}") for i in range(quality.P)], "m").collect()}
+    assert all([got[s][f"m{i}"] for i in range(quality.P)] == np.median(m, axis=0).tolist() and got[s]["n"] == len(m) for s, m in x.items())
+
+
 def test_bounded_covariance():
     r = np.random.default_rng(1)
     s = np.cov(r.normal(size=(quality.P, 40)))
