@@ -93,8 +93,9 @@ def closest(points: DataFrame, v: DataFrame, f: DataFrame, cell: float) -> DataF
         cell *= 4
 
 
-def within(points: DataFrame, v: DataFrame, f: DataFrame, radius: float) -> DataFrame:
-    """mesh_id, pid, fid: faces no further than the radius from each point."""
+def within(points: DataFrame, v: DataFrame, f: DataFrame, radius: float, hidden: DataFrame | None = None) -> DataFrame:
+    """mesh_id, pid, fid: faces no further than the radius from each point, but hidden(mesh_id, fid)."""
+    f = f if hidden is None else f.join(hidden, ["mesh_id", "fid"], "left_anti")
     t = corners_of(v, f).select("mesh_id", "fid", *[f"{a}{k}" for k in range(3) for a in AXES])
     near = point_cells(points.select("mesh_id", "pid", *AXES), radius).join(triangle_cells(t, radius), CELL)
     return near.where(point_triangle([F.col(a).cast("double") for a in AXES]) <= radius * radius).select("mesh_id", "pid", "fid").distinct()
@@ -142,6 +143,11 @@ def in_tolerance(found: DataFrame, tolerance: float) -> DataFrame:
     return found.groupBy("mesh_id").agg(share.alias("percent"))
 
 
+def contour_match(max_dev: Column, diagonal: Column) -> Column:
+    """Percent of a box's diagonal that the largest deviation leaves."""
+    return 100 * (1 - max_dev / F.greatest(diagonal, F.lit(1e-9)))
+
+
 def reflect(points: DataFrame, point: tuple[float, float, float], normal: tuple[float, float, float]) -> DataFrame:
     """The points mirrored in a plane of unit normal."""
     h = sum(((F.col(a) - o) * n for a, o, n in zip(AXES, point, normal, strict=True)), F.lit(0.0))

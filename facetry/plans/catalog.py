@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..operators import fitting, health, holes, mesh, segmentation, spatial, topology
+from ..operators import bridging, fitting, freeform, health, holes, mesh, picking, segmentation, shading, spatial, topology
 from ..sources import sinks
 from . import scans
 from .scans import ADJ, CHOSEN, HIDDEN, UNIT, scan, scan_sql
@@ -500,9 +500,13 @@ def v3_vertex_heat(spark, d):
     return spatial.vertex_maxima(v, f, spatial.face_maxima(spatial.closest(probes(spark, d), v, f, 100.0))).select("vid", "heat")
 
 
-@query()
+FACE_DISTANCE = f"""CASE WHEN {_INSIDE} THEN CAST((px - x0) * cx + (py - y0) * cy + (pz - z0) * cz AS DOUBLE) ** 2 / (cx * cx + cy * cy + cz * cz) ELSE least({', '.join(x[1] for x in _T)}) END"""
+
+
+@query(f"SELECT pid, fid FROM (SELECT pid, fid, {FACE_DISTANCE} AS d2 FROM (SELECT *, {', '.join(x[0] for x in _T)} FROM pr, n WHERE fid NOT IN (SELECT fid FROM hid))) WHERE d2 <= 14400", ctes=(PROBES, HIDDEN))
 def j5_sphere_query(spark, d):
-    return spatial.within(probes(spark, d), *scan(spark, d), 120.0).select("pid", "fid")
+    v, f = scan(spark, d)
+    return spatial.within(probes(spark, d), v, f, 120.0, scans.hidden(f)).select("pid", "fid")
 
 
 DOWN = "SELECT pid, round(min(CAST((pz - z0) * cz + (py - y0) * cy + (px - x0) * cx AS DOUBLE) / cz), 5) AS t FROM (SELECT pid, px, py, 1000 AS pz FROM pr) q, n WHERE cz <> 0 AND {0} GROUP BY pid".format(
@@ -579,3 +583,170 @@ def k7_dxf_circle_segments(spark, d):
     xyz = lambda *c: F.struct(*[F.lit(v).alias(a) for a, v in zip("xyz", c)]).cast(p)
     c = scans.table(spark, d, "part").select(F.col("p_partkey").alias("feature_id"), xyz(0.0, 0.0, 0.0).alias("center"), xyz(1.0, 0.0, 0.0).alias("u"), xyz(0.0, 1.0, 0.0).alias("v"), F.col("p_size").cast("double").alias("radius"))
     return sinks.dxf_circle_segments(c).select("feature_id", "k", (r6("ax") + 0.0).alias("ax"), (r6("ay") + 0.0).alias("ay"))
+
+
+@query("SELECT round(avg(sqrt(d2)), 4) AS mean_dev, round(max(sqrt(d2)), 4) AS max_dev FROM nr", ctes=(PROBES, NEAREST))
+def v6_surface_deviation(spark, d):
+    return freeform.surface_deviation(spatial.closest(probes(spark, d), *scan(spark, d), 100.0)).select(*[F.round(c, 4).alias(c) for c in ("mean_dev", "max_dev")])
+
+
+@query(
+    "SELECT round(100 * (1 - (SELECT max(sqrt(d2)) FROM nr) / sqrt((max(x) - min(x)) ** 2 + (max(y) - min(y)) ** 2 + (max(z) - min(z)) ** 2)), 5) AS percent FROM v",
+    ctes=(PROBES, NEAREST),
+)
+def v5_contour_match(spark, d):
+    v, f = scan(spark, d)
+    found = spatial.deviation(spatial.closest(probes(spark, d), v, f, 100.0)).join(mesh.bounding_box(v), "mesh_id")
+    return found.select(F.round(spatial.contour_match(F.col("max_dev"), F.col("diagonal")), 5).alias("percent"))
+
+
+EYE = (1500.0, 1500.0, 20000.0)
+#: Brushes on every 997th face, at its first corner.
+HITS = "hi AS (SELECT fid AS pid, fid, x0 AS hx, y0 AS hy, z0 AS hz FROM p WHERE fid % 997 = 0 AND fid NOT IN (SELECT fid FROM hid))"
+BRUSH = """br AS (SELECT pid, n.fid FROM n JOIN hi ON least((x0 - hx) ** 2 + (y0 - hy) ** 2 + (z0 - hz) ** 2, (x1 - hx) ** 2 + (y1 - hy) ** 2 + (z1 - hz) ** 2, (x2 - hx) ** 2 + (y2 - hy) ** 2 + (z2 - hz) ** 2) <= 62500
+ WHERE n.fid NOT IN (SELECT fid FROM hid) AND (cx * (1500 - (x0 + x1 + x2) / 3.0::DOUBLE) + cy * (1500 - (y0 + y1 + y2) / 3.0::DOUBLE) + cz * (20000 - (z0 + z1 + z2) / 3.0::DOUBLE) > 0 OR n.fid = hi.fid))"""
+
+
+def brushes(v, f):
+    at = mesh.corners_of(v, f.where("fid % 997 = 0")).select("mesh_id", "fid", *[F.col(f"{a}0").alias(a) for a in "xyz"])
+    return at.join(scans.hidden(f), ["mesh_id", "fid"], "left_anti").select("mesh_id", F.col("fid").alias("pid"), "fid", "x", "y", "z", F.lit(250.0).alias("radius"))
+
+
+@query("SELECT pid, fid FROM br", ctes=(HIDDEN, HITS, BRUSH))
+def j7_brush(spark, d):
+    v, f = scan(spark, d)
+    return picking.brush(brushes(v, f), v, f, EYE, scans.hidden(f)).select("pid", "fid")
+
+
+@query("SELECT pid, fid FROM fl", ctes=(HIDDEN, HITS, BRUSH, ADJ, "fl AS (SELECT pid, fid FROM hi UNION SELECT fl.pid, adj.nb FROM fl JOIN adj ON adj.fid = fl.fid JOIN br ON br.pid = fl.pid AND br.fid = adj.nb)"))
+def j8_connected_brush(spark, d):
+    v, f = scan(spark, d)
+    return picking.connected_brush(brushes(v, f), v, f, topology.face_adjacency(f), EYE, scans.hidden(f)).select("pid", "fid")
+
+
+RAY = """SELECT pid, round(x / s, 9) AS dx, round(y / s, 9) AS dy, round(z / s, 9) AS dz FROM (SELECT *, sqrt(x * x + y * y + z * z) AS s FROM
+(SELECT p_partkey AS pid, (2 * (p_partkey % 640) / 640.0::DOUBLE - 1) * 0.5 * 4 / 3 AS x, (1 - 2 * (p_partkey % 480) / 480.0::DOUBLE) * 0.5 AS y, -1.0::DOUBLE AS z FROM part))"""
+
+
+@query(RAY, plain=True)
+def j6_screen_rays(spark, d):
+    k = F.col("p_partkey")
+    pixels = scans.table(spark, d, "part").select(F.lit("scan").alias("mesh_id"), k.alias("pid"), (k % 640).alias("sx"), (k % 480).alias("sy"))
+    camera = picking.Camera.looking(EYE, (0.0, 0.0, 1.0), (0.0, 1.0, 0.0), 2 * math.atan(0.5))
+    return camera.rays(pixels, 640, 480).select("pid", *[F.round(c, 9).alias(c) for c in ("dx", "dy", "dz")])
+
+
+@query("SELECT vid, 20000.0::DOUBLE - z AS depth, round((((x - 1500) / ((20000 - z) * 0.5 * 4 / 3::DOUBLE)) + 1) / 2 * 640, 6) AS sx, round((1 - (y - 1500) / ((20000 - z) * 0.5::DOUBLE)) / 2 * 480, 6) AS sy FROM v")
+def x8_project(spark, d):
+    camera = picking.Camera.looking(EYE, (0.0, 0.0, 1.0), (0.0, 1.0, 0.0), 2 * math.atan(0.5))
+    return camera.project(scan(spark, d)[0], 640, 480).select("vid", "depth", r6("sx").alias("sx"), r6("sy").alias("sy"))
+
+
+@query(
+    "SELECT pid, vid, d2::DOUBLE AS d2 FROM (SELECT pid, vid, (x - px) ** 2 + (y - py) ** 2 AS d2, row_number() OVER (PARTITION BY pid ORDER BY (x - px) ** 2 + (y - py) ** 2, vid) AS r FROM pr, v) WHERE r <= 5",
+    ctes=(PROBES,),
+)
+def j10_nearest_in_plane(spark, d):
+    v = scan(spark, d)[0].select("mesh_id", F.col("vid").alias("pid"), "x", "y")
+    sizes = v.groupBy("mesh_id").agg(F.lit(200.0).alias("size"), (10 * F.greatest(F.max("x"), F.max("y")) + 1000).cast("double").alias("most"))
+    return freeform.nearest(probes(spark, d).select("mesh_id", F.col("pid").alias("qid"), "x", "y"), v, sizes, 5).select(F.col("qid").alias("pid"), F.col("pid").alias("vid"), F.col("d2").cast("double").alias("d2"))
+
+
+def grid_nodes(spark, d):
+    """The scan's vertices as a fitted grid; those beside holes are not valid."""
+    i, j = (F.floor(F.col(a) / 100).cast("int") for a in "xy")
+    return scan(spark, d)[0].select("mesh_id", i.alias("i"), j.alias("j"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("z").cast("double").alias("h"), (~((i % 10 == 5) & (j % 10).isin(4, 5))).alias("valid"))
+
+
+NODES = "n0 AS (SELECT x // 100 AS i, y // 100 AS j, z::DOUBLE AS h FROM v WHERE NOT (x // 100 % 10 = 5 AND y // 100 % 10 IN (4, 5)))"
+
+
+def _pass(k: int) -> str:
+    beside = "SELECT i + 1 AS i, j, h FROM n{0} UNION ALL SELECT i - 1, j, h FROM n{0} UNION ALL SELECT i, j + 1, h FROM n{0} UNION ALL SELECT i, j - 1, h FROM n{0}".format(k)
+    return f"n{k + 1} AS (SELECT i, j, CASE WHEN m IS NULL THEN h ELSE (h + m) / 2 END AS h FROM n{k} LEFT JOIN (SELECT i, j, avg(h) AS m FROM ({beside}) GROUP BY i, j) USING (i, j))"
+
+
+@query("SELECT i::INTEGER AS i, j::INTEGER AS j, round(h, 6) AS h FROM n2", ctes=(NODES, _pass(0), _pass(1)))
+def q3_grid_smoothing(spark, d):
+    return freeform.smoothed_nodes(grid_nodes(spark, d), 2).where("valid").select("i", "j", r6("h").alias("h"))
+
+
+BILINEAR = """bl AS (SELECT pz - ((1 - ty) * ((1 - tx) * a.h + tx * b.h) + ty * ((1 - tx) * c.h + tx * e.h)) AS d FROM
+ (SELECT *, greatest(0, least(px // 100, w - 2)) AS i, greatest(0, least(py // 100, h - 2)) AS j, greatest(0, least(1, px / 100.0::DOUBLE - greatest(0, least(px // 100, w - 2)))) AS tx, greatest(0, least(1, py / 100.0::DOUBLE - greatest(0, least(py // 100, h - 2)))) AS ty FROM pr, g) q
+ JOIN n0 a ON a.i = q.i AND a.j = q.j JOIN n0 b ON b.i = q.i + 1 AND b.j = q.j JOIN n0 c ON c.i = q.i AND c.j = q.j + 1 JOIN n0 e ON e.i = q.i + 1 AND e.j = q.j + 1)"""
+
+
+@query("SELECT round(sqrt(avg(d * d)), 5) AS rms, round(max(abs(d)), 5) AS max_dev, count(*) AS points FROM bl", ctes=(PROBES, NODES, BILINEAR))
+def v8_grid_deviation(spark, d):
+    w, h = scans.sizes(spark, d)
+    frames = spark.createDataFrame([("scan", 0.0, 0.0, 100.0, 100.0, w - 1, h - 1)], "mesh_id string, x0 double, y0 double, gw double, gh double, columns int, rows int")
+    found = freeform.grid_deviation(probes(spark, d).withColumnRenamed("z", "h"), grid_nodes(spark, d), frames)
+    return found.select(F.round("rms", 5).alias("rms"), F.round("max_dev", 5).alias("max_dev"), "points")
+
+
+def wave(spark, d):
+    """Points of a smooth surface, one for each part."""
+    k = F.col("p_partkey")
+    x, y = (k * 7919 % 1000) / 100, (k * 104729 % 997) / 100
+    return scans.table(spark, d, "part").select(F.lit("wave").alias("mesh_id"), k.alias("pid"), x.alias("x"), y.alias("y"), (F.sin(x / 3) * F.cos(y / 4)).alias("z"))
+
+
+@query()
+def q4_freeform_fit(spark, d):
+    v, f, stats = freeform.fit_freeform(wave(spark, d), resolution=40)
+    sizes = v.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("vertices")).join(f.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("faces")), "mesh_id")
+    return sizes.join(stats, "mesh_id").drop("mesh_id")
+
+
+def strips(spark, d):
+    """Two clusters: ten rows of cells each, twenty rows apart."""
+    v, f = scan(spark, d)
+    row = F.floor(F.col("fid") / (2 * scans.sizes(spark, d)[0]))
+    return v, f, f.where((row < 8) | ((row >= 18) & (row < 28))).select("mesh_id", "fid", (row >= 18).cast("int").alias("cluster"))
+
+
+STRIPS = "cl AS (SELECT fid, CAST(fid // (2 * w) >= 18 AS INTEGER) AS cluster FROM f, g WHERE fid // (2 * w) < 8 OR fid // (2 * w) BETWEEN 18 AND 27)"
+RIMS = """sd AS (SELECT he.u, he.v, cl.cluster, nb IS NULL AS op FROM adj JOIN cl USING (fid) JOIN he ON he.fid = adj.fid AND he.k = adj.k LEFT JOIN cl o ON o.fid = nb WHERE o.cluster IS DISTINCT FROM cl.cluster),
+rm AS (SELECT cluster, u, v FROM sd WHERE op OR cluster NOT IN (SELECT cluster FROM sd WHERE op))"""
+
+
+@query("SELECT cluster, u, v FROM rm", ctes=(ADJ, STRIPS, RIMS))
+def b1_cluster_rims(spark, d):
+    v, f, c = strips(spark, d)
+    return bridging.rims(f, topology.face_adjacency(f), mesh.face_geometry(v, f), c)[0].select("cluster", "u", "v")
+
+
+ENDS = "en AS (SELECT DISTINCT cluster, vid, x, y, z FROM (SELECT cluster, u AS vid FROM rm UNION SELECT cluster, v FROM rm) JOIN v USING (vid))"
+
+
+@query("SELECT round(sqrt(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 6) AS distance FROM en a, en b WHERE a.cluster = 0 AND b.cluster = 1", ctes=(ADJ, STRIPS, RIMS, ENDS))
+def b3_nearest_chains(spark, d):
+    v, f, c = strips(spark, d)
+    rim = bridging.rims(f, topology.face_adjacency(f), mesh.face_geometry(v, f), c)[0]
+    return bridging.nearest_chains(v, bridging.chains(rim), 100.0).select(r6("distance").alias("distance"))
+
+
+@query()
+def b4_bridge(spark, d):
+    v, f, c = strips(spark, d)
+    return bridging.bridges(v, f, topology.face_adjacency(f), mesh.face_geometry(v, f), mesh.vertex_normals(v, f), c, 100.0)[1].drop("mesh_id")
+
+
+CREASE = """ic AS (SELECT fid, unnest([v0, v1, v2]) AS vid FROM f), lk AS (SELECT a.vid, a.fid, b.fid AS nb FROM ic a JOIN ic b USING (vid) JOIN un p ON p.fid = a.fid JOIN un q ON q.fid = b.fid WHERE p.nx * q.nx + p.ny * q.ny + p.nz * q.nz >= 0.866),
+rc AS (SELECT vid, fid, fid AS nb FROM ic UNION SELECT rc.vid, rc.fid, lk.nb FROM rc JOIN lk ON lk.vid = rc.vid AND lk.fid = rc.nb)"""
+
+
+@query("SELECT DISTINCT vid, fid FROM (SELECT vid, min(nb) AS fid FROM rc GROUP BY vid, fid)", ctes=(UNIT, CREASE))
+def x6_crease_split(spark, d):
+    return shading.crease_split(*scan(spark, d))[0].select("vid", "fid")
+
+
+@query(
+    """SELECT 'x' AS axis, k * 700.0::DOUBLE AS place, (lz)::DOUBLE AS z FROM b, (SELECT unnest(generate_series(lx // 700 - 1, CAST(ceil(hx / 700.0) AS BIGINT) + 1)) AS k FROM b)
+UNION ALL SELECT 'y', k * 700.0::DOUBLE, (lz)::DOUBLE FROM b, (SELECT unnest(generate_series(ly // 700 - 1, CAST(ceil(hy / 700.0) AS BIGINT) + 1)) AS k FROM b)""",
+    ctes=("b AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy, min(z) AS lz FROM v)",),
+)
+def x7_ground_lines(spark, d):
+    s = shading.ground_segments(mesh.bounding_box(scan(spark, d)[0]), F.lit(700))
+    across = F.col("ax") == F.col("bx")
+    return s.select(F.when(across, "x").otherwise("y").alias("axis"), F.when(across, F.col("ax")).otherwise(F.col("ay")).alias("place"), F.col("az").alias("z"))

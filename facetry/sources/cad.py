@@ -80,10 +80,49 @@ def step(features: list[dict], size: float, name: str = "reference") -> str:
     if faces:
         shell = s.add(f"OPEN_SHELL('',({','.join(faces)}))")
         s.add(f"SHELL_BASED_SURFACE_MODEL('{name.replace("'", "''")}',({shell}))")
+    return _document(s, name)
+
+
+def compressed(knots, tolerance: float = 1e-12) -> list[tuple[float, int]]:
+    """Different knots and how often each occurs."""
+    out: list[tuple[float, int]] = []
+    for k in map(float, knots):
+        if out and abs(k - out[-1][0]) <= tolerance:
+            out[-1] = (out[-1][0], out[-1][1] + 1)
+        else:
+            out.append((k, 1))
+    return out
+
+
+def _document(s: _Step, name: str) -> str:
     head = f"ISO-10303-21;\nHEADER;\nFILE_DESCRIPTION((''),'2;1');\nFILE_NAME('{name.replace("'", "''")}','',(''),(''),'','','');\nFILE_SCHEMA(('AUTOMOTIVE_DESIGN'));\nENDSEC;\nDATA;\n"
     return head + "\n".join(s.lines) + "\nENDSEC;\nEND-ISO-10303-21;\n"
 
 
+def step_freeform(net: np.ndarray, along_u: np.ndarray, along_v: np.ndarray, name: str = "freeform", degree: int = 3) -> str:
+    """A document of one cubic spline face of net[row, column, axis], bounded by the four exact curves of its rim (freeform.control_net)."""
+    s = _Step()
+    points = [[s.point(p) for p in row] for row in net]  # lists by v; the surface wants them by u
+    ku, kv = compressed(along_u), compressed(along_v)
+    times = lambda k: f"({','.join(str(n) for _, n in k)})"
+    places = lambda k: f"({','.join(_real(x) for x, _ in k)})"
+    rows = ",".join(f"({','.join(points[j][i] for j in range(len(points)))})" for i in range(len(points[0])))
+    surface = s.add(f"B_SPLINE_SURFACE_WITH_KNOTS('',{degree},{degree},({rows}),.UNSPECIFIED.,.F.,.F.,.F.,{times(ku)},{times(kv)},{places(ku)},{places(kv)},.UNSPECIFIED.)")
+    low, high = points[0], points[-1]
+    left, right = [r[0] for r in points], [r[-1] for r in points]
+    corner = {p: s.add(f"VERTEX_POINT('',{p})") for p in (low[0], low[-1], high[0], high[-1])}
+
+    def edge(curve: list[str], k) -> str:
+        c = s.add(f"B_SPLINE_CURVE_WITH_KNOTS('',{degree},({','.join(curve)}),.UNSPECIFIED.,.F.,.F.,{times(k)},{places(k)},.UNSPECIFIED.)")
+        return s.add(f"EDGE_CURVE('',{corner[curve[0]]},{corner[curve[-1]]},{c},.T.)")
+
+    sides = [(edge(low, ku), ".T."), (edge(right, kv), ".T."), (edge(high, ku), ".F."), (edge(left, kv), ".F.")]
+    ring = s.add(f"EDGE_LOOP('',({','.join(s.add(f"ORIENTED_EDGE('',*,*,{e},{way})") for e, way in sides)}))")
+    face = s.add(f"ADVANCED_FACE('',({s.add(f"FACE_OUTER_BOUND('',{ring},.T.)")}),{surface},.T.)")
+    s.add(f"SHELL_BASED_SURFACE_MODEL('{name.replace("'", "''")}',({s.add(f"OPEN_SHELL('',({face}))")}))")
+    return _document(s, name)
+
+
 def dxf(features: list[dict], size: float, segments: int = 64) -> str:
     """DXF R12 in millimetres: a plane is a face and its four lines, a circle its centre, itself and a polygon of lines."""
     out = ["0", "SECTION", "2", "HEADER", "9", "$INSUNITS", "70", "4", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES"]
