@@ -134,6 +134,33 @@ def test_katz_matches_brute_force_and_is_normalised(spark, parts, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == (pytest.approx(b[5], rel=1e-12), pytest.approx(b[6], rel=1e-12))
 
 
+def test_katz_in_several_hops_equals_one(spark):
+    df = documents(spark, TEXTS)
+    read = lambda rows: sorted(((str(r[0]), *tuple(r)[1:]) for r in rows.collect()), key=lambda r: (r[0], r[2], r[6]))
+    # some 40 partitions in ranges of 14, 5, 2 and 1, from blocks of a few texts; and the default, one hop
+    many, one = read(katz.score(df, fan=3, block=2000, part=4000)), read(katz.score(df))
+    assert len(katz.Routes(40, 3, None, None).widths) == 4 and len(many) == len(one) == len(TEXTS)
+    for a, b in zip(many, one, strict=True):
+        assert a[:5] == b[:5] and a[5:] == (pytest.approx(b[5], rel=1e-12), pytest.approx(b[6], rel=1e-12))
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 1000])
+def test_routes_bring_every_record_home_in_few_rows(n):
+    r = katz.Routes(n, 4, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keys = katz.mix(np.arange(1, 5001, dtype=np.uint64))
+    senders = [(i, [katz.pack(katz.deltas(np.sort(k)), np.ones(len(k), np.int64))]) for i, k in enumerate(np.array_split(keys, n))]
+    for width in r.widths:
+        got = {}
+        for q, blobs in senders:
+            rows = r.counts(*katz.read_counts(blobs), width, q, 1)
+            assert len(rows) <= 4 + 1
+            for to, _, blob in rows:
+                got.setdefault(to, []).append(blob)
+        senders = list(got.items())
+    homes = {q: katz.read_counts(blobs)[0] for q, blobs in senders}
+    assert all((katz.part_of(k, n) == q).all() for q, k in homes.items()) and sorted(np.concatenate(list(homes.values())).tolist()) == sorted(keys.tolist())
+
+
 def test_katz_without_rows_or_training(spark):
     assert katz.score(documents(spark).limit(0)).collect() == []
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
