@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import cut
 
 KEY = ["mesh_id", "fid"]
+#: Pointers that a node follows after its first in a round of `components`, and the links (each in both directions) that one
+#: task can solve at once: some 10 MB.
+HOPS, SMALL = 2, 1 << 18
 
 
 def half_edges(f: DataFrame) -> DataFrame:
@@ -60,27 +65,61 @@ def invert(f: DataFrame, selected: DataFrame, hidden: DataFrame) -> DataFrame:
     return f.select(*KEY).join(selected, KEY, "left_anti").join(hidden, KEY, "left_anti")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """mesh_id, fid, root: the smallest fid that links(mesh_id, fid, nb) reach.
-
-    Each round takes the least label of the neighbours, then follows labels twice (pointer jumping), so that rounds grow
-    with the logarithm of the diameter; every round is a table of its own.
-    """
-    both = cut(links.select("mesh_id", "fid", "nb").union(links.select("mesh_id", F.col("nb").alias("fid"), F.col("fid").alias("nb"))).where("fid != nb").distinct())
-    label = cut(nodes.select("mesh_id", "fid", F.col("fid").alias("root")))
+def _solve(table: pa.Table) -> pa.Table:
+    """a and top, the smallest node that it reaches, of a few links of one mesh."""
+    a, b = (table.column(c).to_numpy() for c in "ab")
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    top = np.arange(len(ids))
     while True:
-        other = label.select("mesh_id", F.col("fid").alias("nb"), F.col("root").alias("theirs"))
-        low = both.join(other, ["mesh_id", "nb"]).groupBy("mesh_id", "fid").agg(F.min("theirs").alias("low"))
-        step = cut(label.join(low, ["mesh_id", "fid"], "left").select("mesh_id", "fid", "root", F.least("root", F.coalesce("low", "root")).alias("next")))
-        # hook: a root takes the least label that any of its members saw
-        hook = step.groupBy("mesh_id", "root").agg(F.min("next").alias("hook")).where("hook < root").select("mesh_id", F.col("root").alias("next"), "hook")
-        new = step.join(hook, ["mesh_id", "next"], "left").select("mesh_id", "fid", F.col("root").alias("old"), F.least("next", F.coalesce("hook", "next")).alias("root"))
-        for _ in range(2):
-            up = new.select("mesh_id", F.col("fid").alias("root"), F.col("root").alias("up"))
-            new = cut(new.join(up, ["mesh_id", "root"]).select("mesh_id", "fid", "old", F.least("root", "up").alias("root")))
-        if not new.where("old != root").take(1):
-            return new.select("mesh_id", "fid", "root")
-        label = new.select("mesh_id", "fid", "root")
+        new, low = top.copy(), np.minimum(top[i], top[j])
+        np.minimum.at(new, top[i], low)
+        np.minimum.at(new, top[j], low)
+        while not np.array_equal(new[new], new):
+            new = new[new]
+        if np.array_equal(new, top):
+            break
+        top = new
+    kind = table.column("a").type
+    return pa.table({"mesh_id": pa.repeat(table.column("mesh_id")[0], len(ids)), "a": pa.array(ids, kind), "top": pa.array(ids[top], kind)})
+
+
+def components(nodes: DataFrame, links: DataFrame, small: int = SMALL) -> DataFrame:
+    """mesh_id, fid, root: the smallest fid that links(mesh_id, fid, nb) between nodes reach.
+
+    The graph is contracted. Each round, a node points to whichever of its neighbours and itself has the least hash (a new
+    one each round, so chains are short in any order of ids) and follows `HOPS` more pointers; nodes that end at the same one
+    become one, and links between different ones go on, each once. So the tables shrink by a factor a round, and no task
+    gets all rows of a large component: its smallest fid comes back down round by round, by the nodes merged in that round.
+    The last `small` links are solved by a task a mesh.
+    """
+    spark = nodes.sparkSession
+    ids = cut(nodes.select("mesh_id", "fid"))
+    both = links.select("mesh_id", F.col("fid").alias("a"), F.col("nb").alias("b")).union(links.select("mesh_id", F.col("nb").alias("a"), F.col("fid").alias("b")))
+    known = [ids.select("mesh_id", F.col("fid").alias(c)) for c in "ab"]
+    left = cut(both.where("a != b").distinct().join(known[0], ["mesh_id", "a"], "left_semi").join(known[1], ["mesh_id", "b"], "left_semi"))
+    merged, least = [], ids.select("mesh_id", F.col("fid").alias("a"), F.col("fid").alias("least")).distinct()
+    while n := left.count():
+        if n <= small:
+            kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+            merged.append(cut(left.groupBy("mesh_id").applyInArrow(_solve, f"mesh_id {kinds['mesh_id']}, a {kinds['a']}, top {kinds['a']}").join(least, ["mesh_id", "a"])))
+            break
+        rank = {c: F.struct(F.xxhash64(c, F.lit(len(merged))).alias("h"), F.col(c).alias("up")) for c in "ab"}
+        point = left.groupBy("mesh_id", "a").agg(F.min(rank["b"]).alias("m")).select("mesh_id", "a", F.least(rank["a"], "m")["up"].alias("top"))
+        far = step = cut(point)
+        for _ in range(HOPS):
+            far = far.join(step.select("mesh_id", F.col("a").alias("top"), F.col("top").alias("next")), ["mesh_id", "top"]).select("mesh_id", "a", F.col("next").alias("top"))
+        level = cut(far.join(least, ["mesh_id", "a"]))
+        merged.append(level)
+        for c in "ab":
+            left = left.join(level.select("mesh_id", F.col("a").alias(c), F.col("top").alias(f"t{c}")), ["mesh_id", c])
+        left = cut(left.select("mesh_id", F.col("ta").alias("a"), F.col("tb").alias("b")).where("a != b").distinct())
+        least = level.groupBy("mesh_id", F.col("top").alias("a")).agg(F.min("least").alias("least"))
+    root = spark.createDataFrame([], ids.withColumnsRenamed({"fid": "a"}).withColumn("known", F.col("a")).schema)
+    for level in reversed(merged):
+        top = level.groupBy("mesh_id", "top").agg(F.min("least").alias("least")).join(root.withColumnRenamed("a", "top"), ["mesh_id", "top"], "left")
+        root = level.drop("least").join(top, ["mesh_id", "top"]).select("mesh_id", "a", F.coalesce("known", "least").alias("known"))
+    return ids.join(root.withColumnRenamed("a", "fid"), ["mesh_id", "fid"], "left").select("mesh_id", "fid", F.coalesce("known", "fid").alias("root"))
 
 
 def manifold_links(f: DataFrame) -> DataFrame:

@@ -181,3 +181,32 @@ def test_obj_quads_and_negative_references():
 def test_ascii_ply_with_extra_properties():
     p, f = meshes.parse_ply(b"ply\nformat ascii 1.0\nelement vertex 3\nproperty float q\nproperty float x\nproperty float y\nproperty float z\nelement face 1\nproperty uchar flags\nproperty list uchar int vertex_indices\nend_header\n9 0 0 0\n9 1 0 0\n9 0 1 0\n7 3 0 1 -1\n")
     assert p.tolist() == [[0, 0, 0], [1, 0, 0], [0, 1, 0]] and f.tolist() == [[0, 1, 2]]
+
+
+@pytest.mark.parametrize("small", [0, topology.SMALL])
+def test_components_with_and_without_rounds(spark, small):
+    rnd = random.Random(1)
+    cases = {
+        "none": ([1, 2], []),
+        "chain": (list(range(300)), [(i, i + 1) for i in range(250)]),
+        "star": (list(range(200)), [(199, i) for i in range(150)] + [(3, 3), (199, 0)]),
+        "random": (list(range(400)), [(rnd.randrange(400), rnd.randrange(420)) for _ in range(300)]),  # some links lead to no node
+    }
+    want = {}
+    for name, (nodes, links) in cases.items():
+        up = {n: n for n in nodes}
+
+        def root(n, up=up):
+            while up[n] != n:
+                n = up[n]
+            return n
+
+        for a, b in links:
+            if a in up and b in up:
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+        want |= {(name, n): root(n) for n in nodes}
+    nodes = spark.createDataFrame([(k, n) for k, (ns, _) in cases.items() for n in ns], "mesh_id string, fid long")
+    links = spark.createDataFrame([(k, *x) for k, (_, ls) in cases.items() for x in ls], "mesh_id string, fid long, nb long")
+    assert {(r[0], r[1]): r[2] for r in topology.components(nodes, links, small).collect()} == want
+    assert topology.components(nodes.limit(0), links.limit(0), small).collect() == []
