@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import fim, lines, warc, winnow
+from . import audit, fim, lines, warc, winnow
+from .audit import op11_filter_audit
 from .fim import op12_fill_in_middle
 from .katz import op6_katz_scores
 from .licenses import op10_license_scan
@@ -15,5 +16,5 @@ from .toxicity import op9_toxicity
 from .warc import op3_warc_round_trip
 from .winnow import op7_decontamination
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_warc_round_trip, op4_minhash_dedup, op5_line_dedup, op6_katz_scores, op7_decontamination, op8_quality_rules, op9_toxicity, op10_license_scan, op12_fill_in_middle)}
-SQL = {"op3_warc_round_trip": warc.SQL, "op5_line_dedup": lines.SQL, "op7_decontamination": winnow.SQL, "op12_fill_in_middle": fim.SQL}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_warc_round_trip, op4_minhash_dedup, op5_line_dedup, op6_katz_scores, op7_decontamination, op8_quality_rules, op9_toxicity, op10_license_scan, op11_filter_audit, op12_fill_in_middle)}
+SQL = {"op3_warc_round_trip": warc.SQL, "op5_line_dedup": lines.SQL, "op7_decontamination": winnow.SQL, "op11_filter_audit": audit.SQL, "op12_fill_in_middle": fim.SQL}
