@@ -1,4 +1,4 @@
-"""Nearest-neighbour, range and ray joins of points with triangles, through grid cells; and deviations made of them."""
+"""Nearest-neighbour, range and ray joins of points with triangles, through a cell pyramid; and deviations made of them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import cut
-from .mesh import AXES, corners_of
+from .mesh import AXES
+from .pyramid import BOX, CORNERS, NODE, SLACK, Pyramid, box_distance
 
 Vec = list[Column]
 
@@ -29,34 +30,39 @@ def corner(k: int) -> Vec:
     return [F.col(f"{a}{k}").cast("double") for a in AXES]
 
 
-def point_triangle(p: Vec) -> Column:
-    """Square distance of p to the triangle x0..z2: to its plane over the inside, else to the nearest side."""
-    c = [corner(k) for k in range(3)]
-    n = cross(minus(c[1], c[0]), minus(c[2], c[0]))
-    nn = dot(n, n)
-    inside = reduce(lambda a, b: a & b, (dot(cross(minus(c[(k + 1) % 3], c[k]), minus(p, c[k])), n) >= 0 for k in range(3))) & (nn > 0)
-    sides = []
+def with_distance(near: DataFrame) -> DataFrame:
+    """near(x, y, z and the corners x0..z2 of a triangle) with d, the square distance: to its plane over the inside, else to the
+    nearest side; and columns of which nearest_points() makes the point."""
+    p, c = [F.col(a).cast("double") for a in AXES], [corner(k) for k in range(3)]
+    # in steps, so that no expression is written out again inside another
+    near = near.withColumns({f"·n{i}": x for i, x in enumerate(cross(minus(c[1], c[0]), minus(c[2], c[0])))})
+    steps = {}
     for k in range(3):
         ab, ap = minus(c[(k + 1) % 3], c[k]), minus(p, c[k])
-        length = dot(ab, ab)
-        t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(ap, ab) / length))).otherwise(0.0)
-        off = [x - t * y for x, y in zip(ap, ab, strict=True)]
-        sides.append(dot(off, off))
-    h = dot(minus(p, c[0]), n)
-    return F.when(inside, h * h / nn).otherwise(F.least(*sides))
+        steps[f"·t{k}"] = F.when(dot(ab, ab) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(dot(ap, ab), dot(ab, ab))))).otherwise(0.0)
+    n = [F.col(f"·n{i}") for i in range(3)]
+    inside = reduce(lambda a, b: a & b, (dot(cross(minus(c[(k + 1) % 3], c[k]), minus(p, c[k])), n) >= 0 for k in range(3))) & (dot(n, n) > 0)
+    near = near.withColumns(steps | {"·in": inside, "·h": dot(minus(p, c[0]), n), "·nn": dot(n, n)})
+    sides = {}
+    for k in range(3):
+        off = [x - F.col(f"·t{k}") * y for x, y in zip(minus(p, c[k]), minus(c[(k + 1) % 3], c[k]), strict=True)]
+        sides[f"·d{k}"] = dot(off, off)
+    return near.withColumns(sides).withColumn("d", F.when(F.col("·in"), F.try_divide(F.col("·h") * F.col("·h"), F.col("·nn"))).otherwise(F.least("·d0", "·d1", "·d2")))
 
 
-def _cell(c: Column, size: float) -> Column:
-    return F.floor(c / size).cast("long")
+def nearest_points(near: DataFrame) -> DataFrame:
+    """with_distance()'s rows with qx, qy, qz, the nearest point of the triangle: of equally near sides that of the first."""
+    least = F.least("·d0", "·d1", "·d2")
+    q = {}
+    for i, a in enumerate(AXES):
+        on = [F.col(f"{a}{k}") + F.col(f"·t{k}") * (F.col(f"{a}{(k + 1) % 3}") - F.col(f"{a}{k}")) for k in range(3)]
+        side = F.when(F.col("·d0") == least, on[0]).when(F.col("·d1") == least, on[1]).otherwise(on[2])
+        q[f"q{a}"] = F.when(F.col("·in"), F.col(a) - F.try_divide(F.col("·h"), F.col("·nn")) * F.col(f"·n{i}")).otherwise(side)
+    return near.withColumns(q)
 
 
-def triangle_cells(t: DataFrame, size: float) -> DataFrame:
-    """A row per cell that a triangle's box meets: cell, mesh_id, fid, corners."""
-    spans = [F.sequence(_cell(F.least(*[F.col(f"{a}{k}") for k in range(3)]), size), _cell(F.greatest(*[F.col(f"{a}{k}") for k in range(3)]), size)) for a in AXES]
-    out = t
-    for a, s in zip(AXES, spans, strict=True):
-        out = out.withColumn(f"c{a}", F.explode(s))
-    return out
+def _cell(c: Column, size: float) -> Column:
+    return F.floor(c / size).cast("long")
 
 
 def point_cells(p: DataFrame, size: float, ring: int = 1) -> DataFrame:
@@ -67,59 +73,50 @@ def point_cells(p: DataFrame, size: float, ring: int = 1) -> DataFrame:
     return out
 
 
-CELL = ["mesh_id", "cx", "cy", "cz"]
+def closest(points: DataFrame, v: DataFrame, f: DataFrame, cell: float = 1.0, pyramid: Pyramid | None = None) -> DataFrame:
+    """points(mesh_id, pid, x, y, z) with the distance to the mesh, a nearest fid (the least of those at the least square distance)
+    and the nearest point there (qx, qy, qz).
 
+    Points go down the cell pyramid of the mesh (made here, or given for several calls); cell is the side of its level 0, which only
+    moves the grid's lines. A mesh without faces, and points with a null or NaN coordinate, leave nulls. The rows of a point do not depend
+    on its distance nor on the sizes of triangles, unless very much of the surface is equally near.
+    """
+    index = pyramid or Pyramid(v, f, cell)
+    p = points.select("mesh_id", "pid", *[F.col(a).cast("double").alias(a) for a in AXES]).where(~F.isnan(F.col("x") + F.col("y") + F.col("z")))
+    met = index.meetings(index.bounded(p), True).join(index.triangles, NODE).where(box_distance([F.col(a) for a in AXES]) <= F.col("bound") * SLACK)
+    best = with_distance(met).groupBy("mesh_id", "pid").agg(F.min(F.struct("d", "fid", *AXES, *CORNERS)).alias("b"))
+    best = nearest_points(with_distance(best.select("mesh_id", "pid", "b.*"))).select("mesh_id", "pid", F.sqrt("d").alias("distance"), "fid", "qx", "qy", "qz")
+    return points.join(best, ["mesh_id", "pid"], "left")
 
-def closest(points: DataFrame, v: DataFrame, f: DataFrame, cell: float) -> DataFrame:
-    """points(mesh_id, pid, x, y, z) with the distance to the mesh and a nearest fid (the least of those at the least square distance).
 
-    A point looks into the cells around it; what it finds within one cell's length is final. Points that found nothing so
-    near go on with cells of four times the size, so each point meets few triangles. A mesh without faces leaves null.
-    """
-    t = cut(corners_of(v, f).select("mesh_id", "fid", *[f"{a}{k}" for k in range(3) for a in AXES]))
-    left, done = cut(points.select("mesh_id", "pid", *[F.col(a).cast("double").alias(a) for a in AXES])), []
-    meshes = t.select("mesh_id").distinct()
-    none = left.join(meshes, "mesh_id", "left_anti").select("mesh_id", "pid", F.lit(None).cast("double").alias("distance"), F.lit(None).cast("long").alias("fid"))
-    left = left.join(meshes, "mesh_id", "left_semi")
-    while True:
-        near = point_cells(left, cell).join(triangle_cells(t, cell), CELL)
-        best = near.groupBy("mesh_id", "pid").agg(F.min(F.struct(point_triangle([F.col(a) for a in AXES]).alias("d"), "fid")).alias("b"))
-        found = cut(left.join(best.select("mesh_id", "pid", F.sqrt("b.d").alias("distance"), "b.fid"), ["mesh_id", "pid"], "left"))
-        good = F.coalesce(F.col("distance") <= cell, F.lit(False))
-        done.append(found.where(good).select("mesh_id", "pid", "distance", "fid"))
-        left = found.where(~good).select("mesh_id", "pid", *AXES)
-        if not left.take(1):
-            return points.join(reduce(DataFrame.union, done, none), ["mesh_id", "pid"])
-        cell *= 4
-
-
-def within(points: DataFrame, v: DataFrame, f: DataFrame, radius: float, hidden: DataFrame | None = None) -> DataFrame:
+def within(points: DataFrame, v: DataFrame, f: DataFrame, radius: float, hidden: DataFrame | None = None, pyramid: Pyramid | None = None) -> DataFrame:
     """mesh_id, pid, fid: faces no further than the radius from each point, but hidden(mesh_id, fid)."""
-    f = f if hidden is None else f.join(hidden, ["mesh_id", "fid"], "left_anti")
-    t = corners_of(v, f).select("mesh_id", "fid", *[f"{a}{k}" for k in range(3) for a in AXES])
-    near = point_cells(points.select("mesh_id", "pid", *AXES), radius).join(triangle_cells(t, radius), CELL)
-    return near.where(point_triangle([F.col(a).cast("double") for a in AXES]) <= radius * radius).select("mesh_id", "pid", "fid").distinct()
-
-
-def ray_cast(rays: DataFrame, v: DataFrame, f: DataFrame, cell: float, reach: float, hidden: DataFrame | None = None) -> DataFrame:
-    """rays(mesh_id, pid, x, y, z, dx, dy, dz; unit directions) with the nearest hit up to `reach`: t and fid; rays that miss are left out."""
-    f = f if hidden is None else f.join(hidden, ["mesh_id", "fid"], "left_anti")
-    t = corners_of(v, f).select("mesh_id", "fid", *[f"{a}{k}" for k in range(3) for a in AXES])
-    # every cell that a ray meets is beside one of its points half a cell apart
-    walk = rays.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(int(2 * reach / cell) + 2)))).withColumn("s", F.col("s") * (cell / 2))
-    for a in AXES:
-        walk = walk.withColumn(f"c{a}", _cell(F.col(a) + F.col(f"d{a}") * F.col("s"), cell))
-    walk = walk.select("mesh_id", "pid", "cx", "cy", "cz").distinct()
-    for a in AXES:
-        walk = walk.withColumn(f"c{a}", F.explode(F.sequence(F.col(f"c{a}") - 1, F.col(f"c{a}") + 1)))
-    near = walk.distinct().join(triangle_cells(t, cell), CELL).select("mesh_id", "pid", "fid", *[f"{a}{k}" for k in range(3) for a in AXES]).distinct().join(rays, ["mesh_id", "pid"])
+    index = pyramid or Pyramid(v, f if hidden is None else f.join(hidden, ["mesh_id", "fid"], "left_anti"))
+    p = points.select("mesh_id", "pid", *[F.col(a).cast("double").alias(a) for a in AXES]).where(~F.isnan(F.col("x") + F.col("y") + F.col("z"))).withColumn("bound", F.lit(float(radius) * radius))
+    near = index.meetings(p, False).join(index.triangles, NODE).where(box_distance([F.col(a) for a in AXES]) <= F.col("bound") * SLACK)
+    near = with_distance(near).where("d <= bound").select("mesh_id", "pid", "fid")
+    return near if pyramid is None or hidden is None else near.join(hidden, ["mesh_id", "fid"], "left_anti").select("mesh_id", "pid", "fid")
+
+
+def ray_cast(rays: DataFrame, v: DataFrame, f: DataFrame, cell: float = 1.0, reach: float = float("inf"), hidden: DataFrame | None = None, pyramid: Pyramid | None = None) -> DataFrame:
+    """rays(mesh_id, pid, x, y, z, dx, dy, dz; unit directions) with the nearest hit up to `reach`: t and fid; rays that miss are left out.
+
+    Rays go down the cell pyramid through the boxes that they meet, so their length costs nothing; cell as in closest(). With a
+    pyramid given, hidden faces are left out of its hits.
+    """
+    index = pyramid or Pyramid(v, f if hidden is None else f.join(hidden, ["mesh_id", "fid"], "left_anti"), cell)
+    r = rays.select("mesh_id", "pid", *[F.col(a).cast("double").alias(a) for a in (*AXES, *[f"d{a}" for a in AXES])])
+    near = index.crossings(r, reach).join(index.triangles.drop(*BOX), NODE)
+    if pyramid is not None and hidden is not None:
+        near = near.join(hidden, ["mesh_id", "fid"], "left_anti")
     c = [corner(k) for k in range(3)]
-    o, d = [F.col(a).cast("double") for a in AXES], [F.col(f"d{a}").cast("double") for a in AXES]
+    o, d = [F.col(a) for a in AXES], [F.col(f"d{a}") for a in AXES]
     e1, e2, s = minus(c[1], c[0]), minus(c[2], c[0]), minus(o, c[0])
     p, q = cross(d, e2), cross(s, e1)
     det = dot(e1, p)
-    hit = near.select("mesh_id", "pid", "fid", det.alias("det"), (dot(s, p) / det).alias("u"), (dot(d, q) / det).alias("w"), (dot(e2, q) / det).alias("t"))
-    hit = hit.where((F.abs("det") >= 1e-12) & (F.col("u") >= 0) & (F.col("w") >= 0) & (F.col("u") + F.col("w") <= 1) & (F.col("t") > 1e-6) & (F.col("t") <= reach))
+    hit = near.withColumn("det", det).where(F.abs("det") >= 1e-12)
+    hit = hit.select("mesh_id", "pid", "fid", (dot(s, p) / F.col("det")).alias("u"), (dot(d, q) / F.col("det")).alias("w"), (dot(e2, q) / F.col("det")).alias("t"))
+    hit = hit.where((F.col("u") >= 0) & (F.col("w") >= 0) & (F.col("u") + F.col("w") <= 1) & (F.col("t") > 1e-6) & (F.col("t") <= reach))
     return hit.groupBy("mesh_id", "pid").agg(F.min(F.struct("t", "fid")).alias("h")).select("mesh_id", "pid", "h.t", "h.fid")
 
 

@@ -474,14 +474,25 @@ NEAREST = f"""nr AS (SELECT pid, min(CASE WHEN {_INSIDE} THEN CAST((px - x0) * c
  FROM (SELECT *, {', '.join(x[0] for x in _T)} FROM pr, n) GROUP BY pid)"""
 
 
-@query("SELECT pid, round(sqrt(d2), 5) AS distance FROM nr", ctes=(PROBES, NEAREST))
+#: Brute force again, with the face (the least of those at the least square distance) and the point there.
+_D = [" + ".join(f"(p{c} - {c}{a} - t{a} * ({c}{(a + 1) % 3} - {c}{a})) * (p{c} - {c}{a} - t{a} * ({c}{(a + 1) % 3} - {c}{a}))" for c in "xyz") for a in range(3)]
+_H = "CAST((px - x0) * cx + (py - y0) * cy + (pz - z0) * cz AS DOUBLE)"
+_NN = "CAST(cx * cx + cy * cy + cz * cz AS DOUBLE)"
+_Q = ", ".join(f"CASE WHEN {_INSIDE} THEN p{c} - {_H} / {_NN} * c{c} WHEN d0 = least(d0, d1, d2) THEN {c}0 + t0 * ({c}1 - {c}0) WHEN d1 = least(d0, d1, d2) THEN {c}1 + t1 * ({c}2 - {c}1) ELSE {c}2 + t2 * ({c}0 - {c}2) END AS q{c}" for c in "xyz")
+NEAREST_POINT = f"""np AS (SELECT pid, min({{'d': CASE WHEN {_INSIDE} THEN {_H} * {_H} / {_NN} ELSE least(d0, d1, d2) END, 'fid': fid}}) AS b
+ FROM (SELECT *, {', '.join(f'{x} AS d{k}' for k, x in enumerate(_D))} FROM (SELECT *, {', '.join(x[0] for x in _T)} FROM pr, n)) GROUP BY pid),
+nq AS (SELECT pid, b.d AS d, fid, {_Q} FROM (SELECT *, {', '.join(f'{x} AS d{k}' for k, x in enumerate(_D))} FROM (SELECT pr.*, np.b, n.*, {', '.join(x[0] for x in _T)} FROM np JOIN pr USING (pid) JOIN n ON n.fid = np.b.fid)))"""
+
+
+@query("SELECT pid, fid, round(sqrt(d), 5) AS distance, round(qx, 4) + 0.0 AS qx, round(qy, 4) + 0.0 AS qy, round(qz, 4) + 0.0 AS qz FROM nq", ctes=(PROBES, NEAREST_POINT))
 def j2_closest_point(spark, d):
-    return spatial.closest(probes(spark, d), *scan(spark, d), 100.0).select("pid", F.round("distance", 5).alias("distance"))
+    found = spatial.closest(probes(spark, d), *scan(spark, d))
+    return found.select("pid", "fid", F.round("distance", 5).alias("distance"), *[(F.round(c, 4) + 0.0).alias(c) for c in ("qx", "qy", "qz")])
 
 
 @query("SELECT round(max(sqrt(d2)), 4) AS max_dev, round(avg(d2), 3) AS ms, count(*) AS points FROM nr", ctes=(PROBES, NEAREST))
 def v1_deviation(spark, d):
-    return spatial.deviation(spatial.closest(probes(spark, d), *scan(spark, d), 100.0)).select(F.round("max_dev", 4).alias("max_dev"), F.round("ms", 3).alias("ms"), "points")
+    return spatial.deviation(spatial.closest(probes(spark, d), *scan(spark, d))).select(F.round("max_dev", 4).alias("max_dev"), F.round("ms", 3).alias("ms"), "points")
 
 
 @query("SELECT round(avg(CASE WHEN sqrt(d2) <= 100 THEN 1 ELSE 0 END) * 100, 6) AS percent FROM nr", ctes=(PROBES, NEAREST))
@@ -497,7 +508,7 @@ def y2_robust_loss(spark, d):
 @query()
 def v3_vertex_heat(spark, d):
     v, f = scan(spark, d)
-    return spatial.vertex_maxima(v, f, spatial.face_maxima(spatial.closest(probes(spark, d), v, f, 100.0))).select("vid", "heat")
+    return spatial.vertex_maxima(v, f, spatial.face_maxima(spatial.closest(probes(spark, d), v, f))).select("vid", "heat")
 
 
 FACE_DISTANCE = f"""CASE WHEN {_INSIDE} THEN CAST((px - x0) * cx + (py - y0) * cy + (pz - z0) * cz AS DOUBLE) ** 2 / (cx * cx + cy * cy + cz * cz) ELSE least({', '.join(x[1] for x in _T)}) END"""
@@ -509,15 +520,29 @@ def j5_sphere_query(spark, d):
     return spatial.within(probes(spark, d), v, f, 120.0, scans.hidden(f)).select("pid", "fid")
 
 
-DOWN = "SELECT pid, round(min(CAST((pz - z0) * cz + (py - y0) * cy + (px - x0) * cx AS DOUBLE) / cz), 5) AS t FROM (SELECT pid, px, py, 1000 AS pz FROM pr) q, n WHERE cz <> 0 AND {0} GROUP BY pid".format(
-    " AND ".join(f"((x{b} - x{a}) * (py - y{a}) - (y{b} - y{a}) * (px - x{a})) * sign(cz) >= 0" for a, b in ((0, 1), (1, 2), (2, 0)))
-)
+#: Rays from above, of directions that the probe's number tilts, and of those that run almost level.
+RAYS = """ry AS (SELECT pid, px, py, 1000 AS pz, ax / s AS dx, ay / s AS dy, az / s AS dz FROM (SELECT *, sqrt(CAST(ax * ax + ay * ay + az * az AS DOUBLE)) AS s
+ FROM (SELECT *, pid % 7 - 3 AS ax, pid % 5 - 2 AS ay, CASE WHEN pid % 3 = 0 THEN -1 ELSE -4 END AS az FROM pr)))"""
+_E = [[f"({c}{k} - {c}0)" for c in "xyz"] for k in (1, 2)]
+_S = [f"(p{c} - {c}0)" for c in "xyz"]
+
+
+def _cross_sql(a: list[str], b: list[str]) -> list[str]:
+    return [f"({a[i]} * {b[j]} - {a[j]} * {b[i]})" for i, j in ((1, 2), (2, 0), (0, 1))]
+
+
+_DOT = lambda a, b: "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b)) + ")"
+_PV, _QV = _cross_sql(["dx", "dy", "dz"], _E[1]), _cross_sql(_S, _E[0])
+HITS_OF_RAYS = f"""rh AS (SELECT pid, fid, u / det AS u, w / det AS w, t / det AS t FROM (SELECT pid, fid, {_DOT(_E[0], _PV)} AS det, {_DOT(_S, _PV)} AS u, {_DOT(["dx", "dy", "dz"], _QV)} AS w, {_DOT(_E[1], _QV)} AS t FROM ry, n) WHERE abs(det) >= 1e-12)"""
 
 
-@query(DOWN, ctes=(PROBES,))
+@query("SELECT pid, round(min(t), 5) AS t FROM rh WHERE u >= 0 AND w >= 0 AND u + w <= 1 AND t > 1e-6 AND t <= 6000 GROUP BY pid", ctes=(PROBES, RAYS, HITS_OF_RAYS))
 def j4_ray_cast(spark, d):
-    rays = probes(spark, d).withColumn("z", F.lit(1000.0)).select("*", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(-1.0).alias("dz"))
-    return spatial.ray_cast(rays, *scan(spark, d), 200.0, 1200.0).select("pid", F.round("t", 5).alias("t"))
+    k = F.col("pid")
+    tilt = {"dx": k % 7 - 3, "dy": k % 5 - 2, "dz": F.when(k % 3 == 0, -1).otherwise(-4)}
+    size = F.sqrt(sum((x * x for x in tilt.values()), F.lit(0.0)))
+    rays = probes(spark, d).withColumn("z", F.lit(1000.0)).select("*", *[(x / size).alias(c) for c, x in tilt.items()])
+    return spatial.ray_cast(rays, *scan(spark, d), reach=6000.0).select("pid", F.round("t", 5).alias("t"))
 
 
 @query("SELECT vid, x, y, 100 - z AS z FROM v")
@@ -587,7 +612,7 @@ def k7_dxf_circle_segments(spark, d):
 
 @query("SELECT round(avg(sqrt(d2)), 4) AS mean_dev, round(max(sqrt(d2)), 4) AS max_dev FROM nr", ctes=(PROBES, NEAREST))
 def v6_surface_deviation(spark, d):
-    return freeform.surface_deviation(spatial.closest(probes(spark, d), *scan(spark, d), 100.0)).select(*[F.round(c, 4).alias(c) for c in ("mean_dev", "max_dev")])
+    return freeform.surface_deviation(spatial.closest(probes(spark, d), *scan(spark, d))).select(*[F.round(c, 4).alias(c) for c in ("mean_dev", "max_dev")])
 
 
 @query(
@@ -596,7 +621,7 @@ def v6_surface_deviation(spark, d):
 )
 def v5_contour_match(spark, d):
     v, f = scan(spark, d)
-    found = spatial.deviation(spatial.closest(probes(spark, d), v, f, 100.0)).join(mesh.bounding_box(v), "mesh_id")
+    found = spatial.deviation(spatial.closest(probes(spark, d), v, f)).join(mesh.bounding_box(v), "mesh_id")
     return found.select(F.round(spatial.contour_match(F.col("max_dev"), F.col("diagonal")), 5).alias("percent"))
 
 
