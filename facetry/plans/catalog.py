@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import color
 from ..operators import bridging, fitting, freeform, health, holes, mesh, picking, segmentation, shading, spatial, topology
 from ..sources import sinks
+from ..tables import cut
 from . import scans
 from .scans import ADJ, CHOSEN, HIDDEN, UNIT, scan, scan_sql
 
@@ -391,6 +392,40 @@ def e11_ring_scan(spark, d):
     return segmentation.ring_scan(topology.face_adjacency(f), mesh.face_geometry(v, f), 130.5, 2).drop("mesh_id")
 
 
+#: Creases of two scales with a feature size of 150: a neighbourhood is what faces within the radius reach.
+_SPAN = "sqrt((a.mx - b.mx) * (a.mx - b.mx) + (a.my - b.my) * (a.my - b.my) + (a.mz - b.mz) * (a.mz - b.mz))"
+SMOOTHED = """lk AS (SELECT DISTINCT fid, nb FROM adj WHERE nb IS NOT NULL AND nb <> fid), cn AS (SELECT fid, (x0 + x1 + x2) / 3.0::DOUBLE AS mx, (y0 + y1 + y2) / 3.0::DOUBLE AS my, (z0 + z1 + z2) / 3.0::DOUBLE AS mz FROM p),
+ar AS (SELECT fid, sqrt(CAST(cx * cx + cy * cy + cz * cz AS DOUBLE)) / 2 AS area FROM n),
+sn AS (SELECT lk.fid, nb AS other FROM lk JOIN un a ON a.fid = lk.fid JOIN un b ON b.fid = nb WHERE a.nx * b.nx + a.ny * b.ny + a.nz * b.nz >= cos(radians(22.5)) UNION ALL SELECT fid, fid FROM f),
+sm AS (SELECT fid, x / sqrt(x * x + y * y + z * z) AS sx, y / sqrt(x * x + y * y + z * z) AS sy, z / sqrt(x * x + y * y + z * z) AS sz FROM (SELECT sn.fid, sum(area * nx) AS x, sum(area * ny) AS y, sum(area * nz) AS z FROM sn JOIN un ON un.fid = other JOIN ar ON ar.fid = other GROUP BY sn.fid))"""
+
+
+def _creases(name: str, radius: float) -> str:
+    return f"""{name}h AS (SELECT fid, fid AS other, 0.0::DOUBLE AS d FROM f UNION SELECT h.fid, lk.nb, {_SPAN} FROM {name}h h JOIN lk ON lk.fid = h.other JOIN cn a ON a.fid = h.fid JOIN cn b ON b.fid = lk.nb WHERE {_SPAN} <= {radius}),
+{name} AS (SELECT fid FROM (SELECT h.fid, sum(CASE WHEN a.sx * b.sx + a.sy * b.sy + a.sz * b.sz < cos(radians(22.5)) THEN area ELSE 0 END) AS bent, sum(area) AS total FROM {name}h h JOIN (SELECT fid, max(d) AS reach FROM {name}h GROUP BY fid) r USING (fid)
+ JOIN sm a ON a.fid = h.fid JOIN sm b ON b.fid = h.other JOIN ar ON ar.fid = h.other WHERE d >= reach * 0.7 GROUP BY h.fid) WHERE bent > total * 0.45)"""
+
+
+@query("SELECT fid, fid IN (SELECT fid FROM ca) AS whole, fid IN (SELECT fid FROM cb) AS half FROM f", ctes=(ADJ, UNIT, SMOOTHED, _creases("ca", 150.0), _creases("cb", 75.0)))
+def e3_creases(spark, d):
+    v, f = scan(spark, d)
+    links = topology.face_adjacency(f).where("nb IS NOT NULL AND nb <> fid").select("mesh_id", "fid", "nb").distinct()
+    faces = mesh.face_geometry(v, f).withColumn("feature", F.lit(150.0))
+    faces = cut(faces.join(segmentation.smoothed_normals(links, faces), topology.KEY))
+    out = faces.select(*topology.KEY)
+    for name, scale in (("whole", 1.0), ("half", 0.5)):
+        c = segmentation.creases(links, faces, scale).withColumn(name, F.lit(True))
+        out = out.join(c, topology.KEY, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return out.drop("mesh_id")
+
+
+@query()
+def e6_feature_regions(spark, d):
+    """Regions of the scan with a feature size: creases at three scales, bands, leftovers, reuniting and small regions."""
+    v, f = scan(spark, d)
+    return segmentation.segment(f, topology.face_adjacency(f), mesh.face_geometry(v, f), 45.0, 2, 150.0).drop("mesh_id")
+
+
 PICKED = "cl(fid, root) USING KEY (fid) AS (SELECT fid, fid FROM sel UNION SELECT a.nb, min(cl.root) FROM cl JOIN adj a ON a.fid = cl.fid JOIN recurring.cl AS old ON old.fid = a.nb WHERE cl.root < old.root GROUP BY a.nb)"
 
 
