@@ -1,13 +1,10 @@
-"""Circles with recognised cylinder walls: axis search over directions, refined in the plane across the best."""
+"""Circles with recognised cylinder walls of one small set of points: a helper. moments.circles does groups of any size."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
-
-from .alignment import bounded_sample
 
 #: Directions tried, and a share of the planar error that a cylinder must beat.
 DIRECTIONS, GAIN = 256, 0.7
@@ -122,8 +119,3 @@ def fit_circle(points: np.ndarray) -> dict | None:
     c, r = refined_circle(flat, *algebraic_circle(flat))
     miss = np.linalg.norm(flat - c, axis=1) - r
     return {"center": c[0] * u + c[1] * w + n * float((points @ n).mean()), "normal": n, "radius": r, "ms": float((miss * miss).mean()) + (0.0 if tube else float((height * height).mean())), "is_cylinder": bool(tube)}
-
-
-def circle_of(v: DataFrame, cap: int = 16_384) -> dict | None:
-    """The circle fit of one mesh's vertices, over a strided sample of bounded size."""
-    return fit_circle(bounded_sample(v, cap))

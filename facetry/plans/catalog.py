@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..operators import bridging, fitting, freeform, health, holes, mesh, picking, segmentation, shading, spatial, topology
+from ..operators import bridging, fitting, freeform, health, holes, mesh, moments, picking, segmentation, shading, spatial, topology
 from ..sources import sinks
 from ..tables import cut
 from . import scans
@@ -591,6 +591,23 @@ def clouds(spark, d):
     return v.join(scans.table(spark, d, "events").select(F.col("event_id").alias("vid"), "event_type"), "vid")
 
 
+#: Walls of cylinders (even groups) and flat rings along each axis in turn, a point for each event; what is found is what was laid.
+ROUND = """SELECT event_id % 6 AS g, count(*) AS n, round(CAST(5 + event_id % 6 AS DOUBLE), 3) AS radius, event_id % 3 = 0 AS along_x, event_id % 3 = 1 AS along_y, event_id % 3 = 2 AS along_z,
+event_id % 2 = 0 AS is_cylinder, true AS closed, true AS tight FROM events GROUP BY ALL"""
+
+
+@query(ROUND, plain=True)
+def f9_round_groups(spark, d):
+    e, g = F.col("event_id"), F.col("event_id") % 6
+    a = 2 * math.pi * (e * 7919 % 10007) / 10007
+    p = [(5 + g) * F.cos(a) + 100, (5 + g) * F.sin(a) - 40, F.when(e % 2 == 0, (e * 31 % 101) / 5.0).otherwise(7.0)]  # the last along the axis
+    at = [F.when(e % 3 == 0, p[(k + 2) % 3]).when(e % 3 == 1, p[(k + 1) % 3]).otherwise(p[k]) for k in range(3)]
+    points = scans.table(spark, d, "events").select(g.alias("g"), *[x.alias(c) for c, x in zip("xyz", at, strict=True)])
+    found = moments.circles(points, ["g"])
+    axes = [(F.abs(f"n{c}") > 0.9999).alias(f"along_{c}") for c in "xyz"]
+    return found.select("g", "n", F.round("radius", 3).alias("radius"), *axes, "is_cylinder", (F.col("arc") > 6.0).alias("closed"), (F.col("ms") < 1e-6).alias("tight"))
+
+
 @query()
 def f2_plane_fit(spark, d):
     return fitting.plane_fit(clouds(spark, d), ["event_type"])
