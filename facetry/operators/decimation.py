@@ -1,166 +1,212 @@
 """Fewer faces by edge collapses of least quadric error. Vertices that stay are a subset of the old ones.
 
-A mesh is dealt into grid cells by its faces' centroids. Cells are decimated in parallel; vertices that faces of several
-cells share are locked, and a second pass over a grid shifted by half a cell reaches those. So no mesh is ever one group.
+Collapses go by rounds over whole meshes. In a round each vertex picks its cheapest collapse onto a neighbour that keeps the surface
+as it is; collapses whose vertex and neighbours meet no cheaper one's go together. Quadrics, links and turned faces
+are joins and sums over edges, so no mesh, cell or vertex with many faces is ever one group, and nothing is locked but by choice.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from ..tables import cut
+from ..tables import cut, forget, numbered
 from . import spatial
 from .mesh import AXES, bounding_box, compact, corners_of
 
-#: Faces for each cell.
-CELL_FACES = 20_000
-
-
-def collapse(points: np.ndarray, faces: np.ndarray, target: int, limit: float = math.inf, locked: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Faces left (indices into points), and the largest error (a distance) of a collapse. locked: vertices that must stay.
-
-    A collapse moves one end of an edge onto the other. It must not turn a face, join more than the edge's own faces, or cost
-    more than the limit. It stops at the target.
-    """
-    locked = np.zeros(len(points), bool) if locked is None else locked
-    live: dict[int, list[int]] = {i: list(map(int, t)) for i, t in enumerate(faces)}
-    around: list[set[int]] = [set() for _ in points]
-    normal = np.cross(points[faces[:, 1]] - points[faces[:, 0]], points[faces[:, 2]] - points[faces[:, 0]])
-    size = np.linalg.norm(normal, axis=1)
-    unit = normal / np.maximum(size, 1e-300)[:, None]
-    plane = np.column_stack([unit, -(unit * points[faces[:, 0]]).sum(axis=1)])
-    quadric, weight = np.zeros((len(points), 4, 4)), np.zeros(len(points))
-    for i, t in live.items():
-        q = size[i] / 2 * np.outer(plane[i], plane[i])
-        for x in t:
-            around[x].add(i)
-            quadric[x] += q
-            weight[x] += size[i] / 2
-    # a border is held by planes across its faces
-    uses: dict[tuple[int, int], list[int]] = {}
-    for i, t in live.items():
-        for k in range(3):
-            uses.setdefault(tuple(sorted((t[k], t[(k + 1) % 3]))), []).append(i)
-    border = np.zeros(len(points), bool)
-    for (a, b), own in uses.items():
-        if len(own) == 1:
-            border[[a, b]] = True
-            d = points[b] - points[a]
-            n = np.cross(d, unit[own[0]])
-            n /= max(float(np.linalg.norm(n)), 1e-300)
-            p = np.append(n, -n @ points[a])
-            for x in (a, b):
-                quadric[x] += 10 * float(d @ d) * np.outer(p, p)
-    version = [0] * len(points)
-
-    def cost(a: int, b: int) -> float:
-        """Of a moved onto b, as a mean square distance."""
-        p = np.append(points[b], 1.0)
-        return max(0.0, float(p @ quadric[a] @ p)) / max(float(weight[a]), 1e-300)
-
-    heap: list[tuple[float, int, int, int, int]] = []
-
-    def offer(a: int, b: int) -> None:
-        for x, y in ((a, b), (b, a)):
-            if not locked[x] and not (border[x] and not border[y]):
-                heapq.heappush(heap, (cost(x, y), x, y, version[x], version[y]))
-
-    for a, b in sorted(uses):
-        offer(a, b)
-    worst = 0.0
-    while heap and len(live) > target:
-        c, a, b, va, vb = heapq.heappop(heap)
-        if version[a] != va or version[b] != vb:
-            continue
-        if math.sqrt(c) > limit:
-            break
-        shared = around[a] & around[b]
-        near = lambda x: {y for i in around[x] for y in live[i]} - {x}
-        if not shared or len(near(a) & near(b)) != len(shared):
-            continue
-        if border[a] and len(shared) != 1:  # an inner edge between two border vertices
-            continue
-        bad = False
-        for i in around[a] - shared:
-            t = [points[b] if x == a else points[x] for x in live[i]]
-            old = [points[x] for x in live[i]]
-            n, m = np.cross(t[1] - t[0], t[2] - t[0]), np.cross(old[1] - old[0], old[2] - old[0])
-            if n @ m <= 0.2 * float(np.linalg.norm(n) * np.linalg.norm(m)):
-                bad = True
-                break
-        if bad:
-            continue
-        for i in shared:
-            for x in live[i]:
-                around[x].discard(i)
-            del live[i]
-        for i in around[a]:
-            live[i][live[i].index(a)] = b
-            around[b].add(i)
-        around[a] = set()
-        quadric[b] += quadric[a]
-        weight[b] += weight[a]
-        worst = max(worst, c)
-        version[a] += 1
-        version[b] += 1
-        for x in sorted(near(b)):
-            offer(b, x)
-    return np.array([live[i] for i in sorted(live)], np.int64).reshape(-1, 3), math.sqrt(worst)
-
-
-def _pass(v: DataFrame, f: DataFrame, ratio: float, limit: float, lock_border: bool, cell: float, shift: float) -> DataFrame:
-    """mesh_id, fid, v0, v1, v2, error after one pass over cells of that size."""
-    c = corners_of(v, f)
-    at = [F.floor((F.col(f"{a}0") + F.col(f"{a}1") + F.col(f"{a}2")) / 3 / cell + shift).cast("long").alias(f"c{a}") for a in AXES]
-    dealt = cut(c.select("*", *at))
-    own = ["mesh_id", "cx", "cy", "cz"]
-    corner = dealt.select(*own, F.explode(F.array("v0", "v1", "v2")).alias("vid")).distinct()
-    shared = corner.groupBy("mesh_id", "vid").agg(F.count(F.lit(1)).alias("cells")).where("cells > 1")
-    if lock_border:
-        from .topology import boundary_edges
-
-        rim = boundary_edges(f).select("mesh_id", F.explode(F.array("u", "v")).alias("vid")).distinct()
-        shared = shared.select("mesh_id", "vid").union(rim).distinct()
-    kept = corner.join(shared.select("mesh_id", "vid"), ["mesh_id", "vid"]).groupBy(*own).agg(F.collect_list("vid").alias("kept"))  # a cell's own corners
-    rows = dealt.join(kept, own, "left")
-
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("fid")
-        vids = g[["v0", "v1", "v2"]].to_numpy(np.int64)
-        names, index = np.unique(vids, return_inverse=True)
-        points = np.zeros((len(names), 3))
-        for k in range(3):
-            points[index.reshape(-1, 3)[:, k]] = g[[f"{a}{k}" for a in AXES]].to_numpy(float)
-        kept = g["kept"].iloc[0]
-        locked = np.isin(names, np.asarray(kept if kept is not None else [], np.int64))
-        left, error = collapse(points, index.reshape(-1, 3), max(1, math.floor(len(g) * ratio)), limit, locked)
-        out = pd.DataFrame(names[left], columns=["v0", "v1", "v2"])
-        out.insert(0, "mesh_id", key[0])
-        out.insert(1, "fid", g["fid"].to_numpy()[: len(out)])  # ids stay distinct
-        return out.assign(error=error)
-
-    return cut(rows.groupBy(*own).applyInPandas(run, "mesh_id string, fid long, v0 long, v1 long, v2 long, error double"))
-
-
-def decimate(v: DataFrame, f: DataFrame, ratio: float, limit: float = math.inf, lock_border: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vertices and faces left, numbered anew, and per mesh the largest error of a collapse.
-
-    ratio: share of faces to keep, 1e-4 to 1. limit: a distance that no collapse may exceed.
+#: Neighbours that a vertex tries in a round, one of each class of their salted hash; another round has other classes.
+TRIES = 4
+#: Rounds without any collapse after which no more is expected.
+IDLE = 2
+#: Contests a round: vertices left free by the winners contend again.
+CONTESTS = 2
+#: A turned face keeps at least this cosine to its old normal.
+TURN = 0.2
+#: Weight of the planes that hold borders.
+BORDER_WEIGHT = 10.0
+
+#: Upper triangle of a plane's outer product.
+TERMS = [(i, j) for i in range(4) for j in range(i, 4)]
+Q = [f"q{i}{j}" for i, j in TERMS]
+Vec = tuple[Column, Column, Column]
+
+
+def _at(prefix: str) -> Vec:
+    return tuple(F.col(f"{prefix}{a}") for a in AXES)
+
+
+def _plane(n: Vec, p: Vec, weight: Column) -> list[Column]:
+    """Weighted terms of the plane through p with unit normal n."""
+    c = [*n, -spatial.dot(n, p)]
+    return [(weight * c[i] * c[j]).alias(q) for q, (i, j) in zip(Q, TERMS, strict=True)]
+
+
+def _cost(p: Vec) -> Column:
+    """Mean square distance of p to the planes of q00..q33 and w."""
+    h = [*p, F.lit(1.0)]
+    total = sum((F.col(q) * h[i] * h[j] * (1.0 if i == j else 2.0) for q, (i, j) in zip(Q, TERMS, strict=True)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), total / F.greatest(F.col("w"), F.lit(1e-300)))
+
+
+def _star(faces: DataFrame) -> DataFrame:
+    """mesh_id, fid, a, u, v: each face from each of its corners a, in its turning order, with their coordinates (ax.. vz)."""
+    turn = lambda k: F.struct(*[F.col(f"v{(k + i) % 3}").alias(n) for i, n in enumerate("auv")], *[F.col(f"{c}{(k + i) % 3}").alias(f"{n}{c}") for i, n in enumerate("auv") for c in AXES])
+    return faces.select("mesh_id", "fid", F.explode(F.array(*[turn(k) for k in range(3)])).alias("s")).select("mesh_id", "fid", "s.*")
+
+
+def _neighbours(star: DataFrame) -> DataFrame:
+    """mesh_id, a, b, n: both directions of each edge with the number of its faces."""
+    e = star.groupBy("mesh_id", F.least("a", "u").alias("lo"), F.greatest("a", "u").alias("hi")).agg(F.count(F.lit(1)).alias("n"))
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    return e.select("mesh_id", "n", F.explode(F.array(way("lo", "hi"), way("hi", "lo"))).alias("e")).select("mesh_id", "e.*", "n")
+
+
+def _quadrics(faces: DataFrame) -> DataFrame:
+    """mesh_id, vid, x, y, z, w and the quadric of each corner: the planes of its faces by area, and planes across the borders."""
+    star = _star(faces)
+    n = spatial.cross(spatial.minus(_at("u"), _at("a")), spatial.minus(_at("v"), _at("a")))
+    size = F.sqrt(spatial.dot(n, n))
+    unit = tuple(F.when(size > 0, c / size).otherwise(0.0) for c in n)
+    sized = star.select("*", size.alias("size"), *[c.alias(f"n{a}") for a, c in zip(AXES, unit, strict=True)])
+    own = sized.select("mesh_id", F.col("a").alias("vid"), *[F.col(f"a{a}").alias(a) for a in AXES], (F.col("size") / 2).alias("w"), *_plane(_at("n"), _at("a"), F.col("size") / 2))
+    edge = F.struct(F.array(*[F.struct(F.col(k).alias("vid"), *[F.col(f"{k}{a}").alias(a) for a in AXES]) for k in "au"]).alias("ends"), *[F.col(f"{k}{a}") for k in "aun" for a in AXES])
+    rim = sized.groupBy("mesh_id", F.least("a", "u").alias("lo"), F.greatest("a", "u").alias("hi")).agg(F.count(F.lit(1)).alias("uses"), F.first(edge).alias("e")).where("uses = 1").select("mesh_id", "e.*")
+    d = spatial.minus(_at("u"), _at("a"))
+    across = spatial.cross(d, _at("n"))
+    length = F.sqrt(spatial.dot(across, across))
+    held = rim.select("mesh_id", F.explode("ends").alias("end"), *_plane(tuple(F.when(length > 0, c / length).otherwise(0.0) for c in across), _at("a"), BORDER_WEIGHT * spatial.dot(d, d)))
+    held = held.select("mesh_id", "end.*", F.lit(0.0).alias("w"), *Q)
+    return _summed(own.unionByName(held))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("mesh_id", "vid").agg(*[F.min(a).alias(a) for a in AXES], *[F.sum(c).alias(c) for c in ("w", *Q)])
+
+
+def _candidates(near: DataFrame, corners: DataFrame, state: DataFrame, salt: int, lock_border: bool) -> DataFrame:
+    """mesh_id, a, b, n, step, cost, tie and b's place: of each class of neighbours the cheapest that borders and the limit allow."""
+    kind = near.groupBy("mesh_id", "a").agg(F.count(F.lit(1)).alias("deg"), (F.min("n") == 1).alias("rim"), (F.max("n") > 2).alias("knot"))
+    at = corners.withColumnRenamed("vid", "a").join(kind, ["mesh_id", "a"])
+    to = at.select("mesh_id", F.col("a").alias("b"), *[F.col(a).alias(f"b{a}") for a in AXES], F.col("deg").alias("bdeg"), F.col("rim").alias("brim"))
+    c = near.join(at.drop(*AXES), ["mesh_id", "a"]).where(~F.col("knot") & ((~F.col("rim") & (F.col("n") == 2)) | ((F.col("n") == 1) & F.lit(not lock_border))))
+    c = c.join(to, ["mesh_id", "b"]).join(state.where("faces > target"), "mesh_id").withColumn("cost", _cost(_at("b"))).where(F.col("cost") <= F.col("top") * F.col("top"))
+    # b keeps a face of its own, and a tetrahedron stays one
+    c = c.where((F.col("bdeg") - F.col("brim").cast("int") > F.col("n")) & ((F.col("deg") != 3) | (F.col("bdeg") != 3) | F.col("rim") | F.col("brim")))
+    step = F.floor(2 * F.log2(F.greatest("cost", "tiny"))).cast("int")
+    tie = F.xxhash64("a", F.lit(salt))
+    way = F.struct(step.alias("step"), "cost", tie.alias("tie"), "b", "n", *[f"b{a}" for a in AXES])
+    return c.groupBy("mesh_id", "a", F.pmod(F.xxhash64("b", F.lit(salt)), F.lit(TRIES)).alias("class")).agg(F.min(way).alias("s")).select("mesh_id", "a", "s.*")
+
+
+def _sound(cand: DataFrame, near: DataFrame, star: DataFrame) -> DataFrame:
+    """Each vertex's cheapest candidate that turns no face over and joins only its edge's own faces."""
+    met = cand.select("mesh_id", "a", "b", "n").join(near.select("mesh_id", "a", F.col("b").alias("x")), ["mesh_id", "a"]).where("x != b")
+    both = met.join(near.select("mesh_id", F.col("a").alias("b"), F.col("b").alias("x")), ["mesh_id", "b", "x"], "left_semi")
+    linked = both.groupBy("mesh_id", "a", "b", "n").agg(F.count(F.lit(1)).alias("common")).where("common = n").select("mesh_id", "a", "b")
+    round_ = cand.select("mesh_id", "a", "b", *[f"b{a}" for a in AXES]).join(star, ["mesh_id", "a"]).where("u != b AND v != b")
+    old, new = (spatial.cross(spatial.minus(_at("u"), _at(k)), spatial.minus(_at("v"), _at(k))) for k in "ab")
+    turned = round_.where((spatial.dot(old, old) > 0) & (spatial.dot(old, new) <= TURN * F.sqrt(spatial.dot(old, old) * spatial.dot(new, new)))).select("mesh_id", "a", "b").distinct()
+    good = cand.join(linked, ["mesh_id", "a", "b"]).join(turned, ["mesh_id", "a", "b"], "left_anti")
+    way = F.struct("step", "tie", "cost", "b", *[f"b{a}" for a in AXES])
+    return good.groupBy("mesh_id", "a").agg(F.min(way).alias("s")).select("mesh_id", "a", "s.*")
+
+
+def _cheap(choice: DataFrame) -> DataFrame:
+    """Choices within four steps of a mesh's cheapest, or within the steps that hold its cheapest eighth."""
+    steps = choice.groupBy("mesh_id", "step").agg(F.count(F.lit(1)).alias("k"))
+    own = Window.partitionBy("mesh_id")  # a mesh has some hundred steps
+    up = own.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("before", F.coalesce(F.sum("k").over(up), F.lit(0))).withColumn("all", F.sum("k").over(own)).withColumn("low", F.min("step").over(own))
+    last = steps.where((F.col("step") <= F.col("low") + 4) | (F.col("before") < F.floor(F.col("all") / 8))).groupBy("mesh_id").agg(F.max("step").alias("last"))
+    return choice.join(last, "mesh_id").where("step <= last").drop("last")
+
+
+def _apart(choice: DataFrame, near: DataFrame) -> DataFrame:
+    """Choices of which no two share a vertex among themselves and their neighbours, the cheapest of each surrounding first."""
+    key = F.struct("step", "tie", "a").alias("key")
+    pick = choice.select("mesh_id", "a", key)
+    claims = cut(pick.join(near.select("mesh_id", "a", F.col("b").alias("x")), ["mesh_id", "a"]).unionByName(pick.withColumn("x", F.col("a"))))
+    won, free = None, claims
+    for i in range(CONTESTS):
+        low = free.groupBy("mesh_id", "x").agg(F.min("key").alias("low"))
+        first = free.join(low, ["mesh_id", "x"]).groupBy("mesh_id", "a").agg(F.min((F.col("key") == F.col("low")).cast("int")).alias("all")).where("all = 1").select("mesh_id", "a")
+        won = first if won is None else won.union(first)
+        if i + 1 < CONTESTS:
+            won = cut(won)
+            taken = claims.join(won, ["mesh_id", "a"], "left_semi").select("mesh_id", "x").distinct()
+            hit = claims.join(taken, ["mesh_id", "x"], "left_semi").select("mesh_id", "a").distinct()
+            free = claims.join(hit, ["mesh_id", "a"], "left_anti")
+    return choice.join(won, ["mesh_id", "a"], "left_semi")
+
+
+def _limited(moves: DataFrame, state: DataFrame) -> DataFrame | None:
+    """The cheapest moves up to each mesh's target (a move takes at most two faces), or None if there are no moves."""
+    most = moves.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("k")).join(state, "mesh_id")
+    over = most.agg(F.max(F.col("k") * 2 > F.col("faces") - F.col("target") + 1)).first()[0]
+    if not over:
+        return None if over is None else moves
+    ranked = numbered(moves, ["step", "tie", "a"], "rank")
+    return cut(ranked.join(state.select("mesh_id", "faces", "target"), "mesh_id").where("2 * rank < faces - target").select(*moves.columns))
+
+
+def _applied(faces: DataFrame, corners: DataFrame, star: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Faces with the moved corners (without those that the moves close) and quadrics given to the vertices that stay."""
+    place = [f"b{a}" for a in AXES]
+    met = moves.select("mesh_id", "a", "b", *place).join(star.select("mesh_id", "fid", "a"), ["mesh_id", "a"])
+    there = F.col("b").isin(F.col("v0"), F.col("v1"), F.col("v2"))
+    out = faces.join(met, ["mesh_id", "fid"], "left").where(F.col("a").isNull() | ~there)
+    new = {f"v{k}": F.when(F.col(f"v{k}") == F.col("a"), F.col("b")).otherwise(F.col(f"v{k}")) for k in range(3)}
+    new |= {f"{c}{k}": F.when(F.col(f"v{k}") == F.col("a"), F.col(f"b{c}")).otherwise(F.col(f"{c}{k}")) for k in range(3) for c in AXES}
+    given = corners.drop(*AXES).withColumnRenamed("vid", "a").join(moves.select("mesh_id", "a", F.col("b").alias("vid"), *[F.col(f"b{a}").alias(a) for a in AXES]), ["mesh_id", "a"]).drop("a")
+    stay = corners.join(moves.select("mesh_id", F.col("a").alias("vid")), ["mesh_id", "vid"], "left_anti")
+    return out.withColumns(new).select(*faces.columns), _summed(stay.unionByName(given))
+
+
+def decimate(v: DataFrame, f: DataFrame, ratio: float, limit: float | DataFrame = math.inf, lock_border: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vertices and faces left, numbered anew, and per mesh the largest error of a collapse (mesh_id, error).
+
+    ratio: share of faces to keep, 1e-4 to 1; a mesh ends with that many faces (rounded down, at least one) or one less, or before if
+    no collapse is left. limit: a distance that no collapse may exceed, or a table (mesh_id, limit); meshes without a row there stay.
+    Each mesh has its own target, limit and order of costs.
+
+    Collapses keep the Euler number, borders' number and closed surfaces closed. Faces that name a vertex twice, or one that is absent, null or not
+    finite, go first; edges of three faces and more hold their vertices; flat faces (without area) hold nothing. Costs are told apart in
+    steps of a factor of 1.4, equal steps by hash. A mesh without faces, and an empty table, leave no rows.
     """
     ratio = min(1.0, max(1e-4, ratio))
-    n = f.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"))
-    b = bounding_box(v).join(n, "mesh_id").agg(F.max(F.col("diagonal") / F.sqrt(F.greatest(F.lit(1.0), F.col("n") / CELL_FACES))).alias("cell")).first()
-    cell = max(float(b["cell"] or 0.0), 1e-9)
-    first = _pass(v, f, math.sqrt(ratio), limit, lock_border, cell, 0.0)
-    second = _pass(v, first.drop("error"), math.sqrt(ratio), limit, lock_border, cell, 0.5)
-    error = first.select("mesh_id", "error").union(second.select("mesh_id", "error")).groupBy("mesh_id").agg(F.max("error").alias("error"))
-    return *compact(v, second.drop("error")), error
+    box = bounding_box(v.select("mesh_id", *[F.col(a).cast("double").alias(a) for a in AXES])).select("mesh_id", "diagonal", *[f"center_{a}" for a in AXES])
+    real = v.select("mesh_id", "vid", *[F.col(a).cast("double").alias(a) for a in AXES]).where(" AND ".join(f"abs({a}) < double('infinity')" for a in AXES)).dropDuplicates(["mesh_id", "vid"])
+    whole = f.select("mesh_id", "fid", "v0", "v1", "v2").where("v0 != v1 AND v1 != v2 AND v2 != v0")
+    c = corners_of(real, whole).where(" AND ".join(f"v{k} IS NOT NULL" for k in range(3))).join(box, "mesh_id")
+    faces = cut(c.select("mesh_id", "fid", "v0", "v1", "v2", *[(F.col(f"{a}{k}") - F.col(f"center_{a}")).alias(f"{a}{k}") for k in range(3) for a in AXES]))
+    n = faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("faces")).join(box.select("mesh_id", "diagonal"), "mesh_id")
+    n = n.join(limit.select("mesh_id", F.col("limit").cast("double").alias("top")), "mesh_id", "left") if isinstance(limit, DataFrame) else n.withColumn("top", F.lit(float(limit)))
+    state = cut(n.select("mesh_id", "faces", F.greatest(F.lit(1), F.floor(F.col("faces") * ratio)).cast("long").alias("target"), F.coalesce("top", F.lit(-1.0)).alias("top"), F.greatest(F.pow(1e-7 * F.col("diagonal"), 2), F.lit(1e-300)).alias("tiny"), F.lit(0.0).alias("error")).withColumn("target", F.when(F.col("top") < 0, F.col("faces")).otherwise(F.col("target"))))
+    corners = cut(_quadrics(faces))
+    idle, salt = 0, 0
+    while idle < IDLE and state.where("faces > target").limit(1).count():
+        salt += 1
+        star = _star(faces)
+        near = cut(_neighbours(star))
+        cand = cut(_candidates(near, corners, state, salt, lock_border))
+        choice = cut(_sound(cand, near, star))
+        moves = cut(_apart(_cheap(choice), near))
+        made, moves = moves, _limited(moves, state)
+        if moves is None:
+            idle += 1
+            forget(near, cand, choice, made)
+            continue
+        idle = 0
+        next_faces, next_corners = (cut(x) for x in _applied(faces, corners, star, moves))
+        worst = moves.groupBy("mesh_id").agg(F.sqrt(F.max("cost")).alias("worst"))
+        left = next_faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("left"))
+        next_state = cut(state.join(left, "mesh_id").join(worst, "mesh_id", "left").select("mesh_id", F.col("left").alias("faces"), "target", "top", "tiny", F.greatest("error", F.coalesce("worst", F.lit(0.0))).alias("error")))
+        forget(near, cand, choice, made, moves, faces, corners, state)
+        faces, corners, state = next_faces, next_corners, next_state
+    return *compact(v, faces.select("mesh_id", "fid", "v0", "v1", "v2")), state.select("mesh_id", "error")
 
 
 def measure(v: DataFrame, found_v: DataFrame, found_f: DataFrame, cell: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -179,20 +225,31 @@ def contour_match(max_dev: float, diagonal: float) -> float:
 
 
 def auto_decimate(v: DataFrame, f: DataFrame, target: float, cell: float, lock_border: bool = False, passes: int = 5) -> tuple[DataFrame, DataFrame]:
-    """The fewest faces whose deviation stays within the target, of at most five tries of one mesh; the least bad if none does."""
-    limit, good, bad = 0.5 * target, None, None
-    for _ in range(passes):
-        nv, nf, _ = decimate(v, f, 1e-4, limit, lock_border)
+    """Of each mesh the fewest faces whose deviation stays within the target, of at most `passes` tries; the least bad if none does.
+
+    Every mesh has its own limit, and rests once a try within the target uses 0.7 of it. Tables are joined by mesh and try, so
+    any number of meshes is decimated at once.
+    """
+    limits = cut(f.select("mesh_id").distinct().withColumn("limit", F.lit(max(0.5 * target, 1e-6))))
+    tries, seen = [], None
+    for i in range(passes):
+        own = limits.select("mesh_id")
+        nv, nf, _ = decimate(v.join(own, "mesh_id", "left_semi"), f.join(own, "mesh_id", "left_semi"), 1e-4, limits, lock_border)
         nv, nf = cut(nv), cut(nf)
-        most, n = float(measure(v, nv, nf, cell)[0].agg(F.max("max_dev")).first()[0] or 0.0), nf.count()
-        if most <= target:
-            if good is None or n < good[0]:
-                good = n, nv, nf
-            if most >= 0.7 * target:
-                break
-            limit *= 1.35
-        else:
-            if bad is None or most < bad[0]:
-                bad = most, nv, nf
-            limit *= min(0.9, max(0.2, target / most))
-    return (good or bad)[1:]
+        dev = measure(v.join(own, "mesh_id", "left_semi"), nv, nf, cell)[0].select("mesh_id", "max_dev")
+        made = cut(nf.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")).join(dev, "mesh_id").withColumn("try", F.lit(i)))
+        tries.append((nv, nf))
+        seen = made if seen is None else seen.union(made)
+        more = made.where(~F.col("max_dev").between(0.7 * target, target)).join(limits, "mesh_id")
+        scale = F.when(F.col("max_dev") <= target, 1.35).otherwise(F.least(F.lit(0.9), F.greatest(F.lit(0.2), target / F.col("max_dev"))))
+        limits = cut(more.select("mesh_id", (F.col("limit") * scale).alias("limit")))
+        if not limits.limit(1).count():
+            break
+    good = F.col("max_dev") <= target
+    rank = F.struct((~good).alias("bad"), F.when(good, F.col("n")).alias("n"), "max_dev", "try")
+    best = cut(seen.groupBy("mesh_id").agg(F.min(rank).alias("b")).select("mesh_id", F.col("b.try").alias("try")))
+    parts = [tuple(x.join(best.where(F.col("try") == i), "mesh_id", "left_semi") for x in t) for i, t in enumerate(tries)]
+    out_v, out_f = parts[0]
+    for pv, pf in parts[1:]:
+        out_v, out_f = out_v.unionByName(pv), out_f.unionByName(pf)
+    return out_v, out_f

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..operators import bridging, fitting, freeform, health, holes, mesh, moments, picking, segmentation, shading, spatial, topology
+from ..operators import bridging, decimation, fitting, freeform, health, holes, mesh, moments, picking, segmentation, shading, spatial, topology
 from ..sources import sinks
 from ..tables import cut
 from . import scans
@@ -827,3 +827,17 @@ def x7_ground_lines(spark, d):
     s = shading.ground_segments(mesh.bounding_box(scan(spark, d)[0]), F.lit(700))
     across = F.col("ax") == F.col("bx")
     return s.select(F.when(across, "x").otherwise("y").alias("axis"), F.when(across, F.col("ax")).otherwise(F.col("ay")).alias("place"), F.col("az").alias("z"))
+
+
+@query(
+    f"""SELECT faces AS faces_before, true AS target_met, vertices_used - edges + faces AS euler_characteristic, 0::BIGINT AS non_manifold_edges, 0::BIGINT AS foreign_vertices FROM ({REPORT})""",
+    ctes=(EDGES,),
+)
+def d1_decimate(spark, d):
+    """Three quarters of the scan's faces: the target is met within a face, the Euler number stays, vertices are old ones."""
+    v, f = scan(spark, d)
+    nv, nf = (cut(t) for t in decimation.decimate(v, f, 0.75)[:2])
+    foreign = nv.join(v, ["mesh_id", *mesh.AXES], "left_anti").groupBy("mesh_id").agg(F.count(F.lit(1)).alias("foreign"))
+    r = health.report(nv, nf, loops=False).join(f.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("faces_before")), "mesh_id").join(foreign, "mesh_id", "left")
+    met = F.abs(F.col("faces") - F.floor(0.75 * F.col("faces_before"))) <= 1
+    return r.select("faces_before", met.alias("target_met"), "euler_characteristic", "non_manifold_edges", F.coalesce("foreign", F.lit(0)).cast("long").alias("foreign_vertices"))

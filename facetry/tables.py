@@ -35,7 +35,19 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder, evaluated once."""
     path = f"{shared_dir(df.sparkSession)}/mesh-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and that nothing will read again; others are passed over."""
+    for t in tables:
+        path = getattr(t, "_cut_path", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(df: DataFrame, order: list[str], name: str, per: str = "mesh_id") -> DataFrame:

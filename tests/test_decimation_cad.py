@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from facetry.functions import color
 from facetry.operators import decimation, health
 from facetry.sources import cad, meshes, sinks
+from facetry.tables import cut
 
 from .test_operators import BOX, box_points, tables
 
@@ -23,28 +24,91 @@ def sphere(r=10.0, rings=16, sectors=32):
     return points, faces
 
 
-def test_flat_sheets_collapse_without_error():
-    n = 9
-    points = np.array([(x, y, 0.0) for y in range(n) for x in range(n)])
-    faces = np.array([t for y in range(n - 1) for x in range(n - 1) for a in [y * n + x] for t in ((a, a + 1, a + n + 1), (a, a + n + 1, a + n))])
-    left, error = decimation.collapse(points, faces, 2)
-    assert len(left) < 16 and error < 1e-6
-    area = np.cross(points[left[:, 1]] - points[left[:, 0]], points[left[:, 2]] - points[left[:, 0]])[:, 2]
-    assert (area > 0).all() and area.sum() / 2 == pytest.approx(64)
-
-
-def test_spheres_stay_closed(spark, monkeypatch):
-    monkeypatch.setattr(decimation, "CELL_FACES", 200)
-    points, faces = sphere()
-    v, f = tables(spark, points, faces)
-    nv, nf, error = decimation.decimate(v, f, 0.4)
-    r = health.report(nv, nf).first()
-    assert r["is_watertight"] and r["euler_characteristic"] == 2 and r["faces"] < 0.6 * len(faces)
-    old = {tuple(p) for p in points}
-    assert all((p["x"], p["y"], p["z"]) in old for p in nv.collect())
-    assert 0 < error.first()["error"] < 1.0
-    most = decimation.measure(v, nv, nf, 3.0)[0].first()["max_dev"]
-    assert most < 1.0 and decimation.contour_match(most, 20.0) > 95 and decimation.target_deviation(99, 20.0) == pytest.approx(0.2)
+def sheet(n, step=1.0):
+    points = [(step * x, step * y, 0.0) for y in range(n) for x in range(n)]
+    return points, [t for y in range(n - 1) for x in range(n - 1) for a in [y * n + x] for t in ((a, a + 1, a + n + 1), (a, a + n + 1, a + n))]
+
+
+TETRAHEDRON = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)], [(0, 2, 1), (0, 1, 3), (1, 2, 3), (2, 0, 3)]
+SHARE = 0.7
+
+
+def named(spark, meshes):
+    """One table each of vertices and faces of several meshes."""
+    made = [[t.withColumn("mesh_id", F.lit(n)) for t in tables(spark, *m)] for n, m in meshes.items()]
+    v, f = made[0]
+    for x, y in made[1:]:
+        v, f = v.unionByName(x), f.unionByName(y)
+    return v, f
+
+
+@pytest.fixture(scope="module")
+def decimated(spark):
+    """Meshes of very different sizes in one call: name -> (points and faces before, corners of the faces left, report, error)."""
+    waves = [(x, y, 0.3 * math.sin(x * 2.1 + y * 1.3)) for x, y, _ in sheet(6)[0]], sheet(6)[1]
+    meshes = {"large": sphere(1000.0, 8, 16), "small": sphere(0.01, 6, 10), "tetrahedron": TETRAHEDRON, "flat": sheet(6), "waves": waves, "no limit given": sheet(3)}
+    v, f = (cut(t) for t in named(spark, meshes))
+    limits = spark.createDataFrame([(n, 0.01 if n == "waves" else math.inf) for n in meshes if n != "no limit given"], "mesh_id string, limit double")
+    nv, nf, error = (cut(t) for t in decimation.decimate(v, f, SHARE, limits))
+    report = {r["mesh_id"]: r for r in health.report(nv, nf, loops=False).collect()}
+    errors = {r["mesh_id"]: r["error"] for r in error.collect()}
+    at = {(r["mesh_id"], r["vid"]): (r["x"], r["y"], r["z"]) for r in nv.collect()}
+    left = {n: [] for n in meshes}
+    for r in nf.collect():
+        left[r["mesh_id"]].append([at[r["mesh_id"], r[f"v{k}"]] for k in range(3)])
+    return {n: (*m, np.array(left[n]), report[n], errors[n]) for n, m in meshes.items()}
+
+
+def test_flat_sheets_collapse_without_error(decimated):
+    _, faces, t, _, error = decimated["flat"]
+    assert abs(len(t) - math.floor(SHARE * len(faces))) <= 1 and error < 1e-6
+    area = np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0])[:, 2]
+    assert (area > 0).all() and area.sum() / 2 == pytest.approx(25)
+
+
+def test_meshes_of_very_different_size_have_their_own_targets_and_stay_closed(decimated):
+    for n in ("large", "small"):
+        _, faces, t, r, error = decimated[n]
+        assert abs(len(t) - math.floor(SHARE * len(faces))) <= 1
+        assert r["boundary_edges"] == 0 and r["non_manifold_edges"] == 0 and r["euler_characteristic"] == 2
+        assert 0 < error < (200 if n == "large" else 0.005)
+    assert len(decimated["tetrahedron"][2]) == 4 and decimated["tetrahedron"][4] == 0
+
+
+def test_vertices_left_are_old_ones(decimated):
+    for points, _, t, _, _ in decimated.values():
+        assert {tuple(p) for p in t.reshape(-1, 3)} <= {tuple(map(float, p)) for p in points}
+
+
+def test_limits_hold_by_mesh(decimated):
+    assert decimated["waves"][4] <= 0.01 and decimated["waves"][3]["euler_characteristic"] == 1
+    assert len(decimated["no limit given"][2]) == 8
+
+
+def test_borders_can_be_locked(spark):
+    points, faces = sheet(4)
+    nv, nf, _ = decimation.decimate(*tables(spark, points, faces), 1e-4, lock_border=True)
+    rim = {p for p in points if p[0] in (0, 3) or p[1] in (0, 3)}
+    assert rim == {(p["x"], p["y"], p["z"]) for p in nv.collect()} and nf.count() == 10
+
+
+def test_decimation_of_awkward_rows(spark):
+    v, f = tables(spark, *sheet(4))
+    none = decimation.decimate(v.limit(0), f.limit(0), 0.5)
+    assert [t.count() for t in none] == [0, 0, 0]
+    bad = spark.createDataFrame([(f.first()["mesh_id"], 900, 0, 0, 1), (f.first()["mesh_id"], 901, 0, 1, 777)], f.select("mesh_id", "fid", "v0", "v1", "v2").schema)
+    nv, nf, _ = decimation.decimate(v.withColumn("w", F.lit(1)).withColumn("q00", F.lit(1)), f.select("mesh_id", "fid", "v0", "v1", "v2").union(bad), 1.0)
+    assert nf.count() == 18 and nv.count() == 16
+
+
+def test_automatic_decimation_by_mesh(spark):
+    meshes = {"ball": sphere(10.0, 5, 8), "sheet": sheet(3)}
+    v, f = named(spark, meshes)
+    nv, nf = decimation.auto_decimate(v, f, 4.0, 5.0, passes=2)
+    n = {r["mesh_id"]: r["count"] for r in nf.groupBy("mesh_id").count().collect()}
+    assert n["ball"] < 0.8 * len(meshes["ball"][1]) and n["sheet"] < 8
+    most = {r["mesh_id"]: r["max_dev"] for r in decimation.measure(v, nv, nf, 5.0)[0].collect()}
+    assert most["ball"] <= 4.0 * 1.6 and most["sheet"] <= 4.0 * 1.6
 
 
 FEATURES = [{"kind": "plane", "point": (0, 0, 5), "normal": (0, 0, 1), "name": "Plane 1"}, {"kind": "circle", "point": (1, 2, 3), "normal": (0, 0, 1), "radius": 4.0, "name": "it's"}, {"kind": "plane", "point": (0, 0, 0), "normal": (1, 0, 0), "visible": False}]
