@@ -111,6 +111,11 @@ def test_automatic_decimation_by_mesh(spark):
     assert most["ball"] <= 4.0 * 1.6 and most["sheet"] <= 4.0 * 1.6
 
 
+def test_deviation_figures():
+    assert decimation.contour_match(0.5, 20.0) == pytest.approx(97.5) and decimation.contour_match(1.0, 0.0) == 0.0
+    assert decimation.target_deviation(99, 20.0) == pytest.approx(0.2)
+
+
 FEATURES = [{"kind": "plane", "point": (0, 0, 5), "normal": (0, 0, 1), "name": "Plane 1"}, {"kind": "circle", "point": (1, 2, 3), "normal": (0, 0, 1), "radius": 4.0, "name": "it's"}, {"kind": "plane", "point": (0, 0, 0), "normal": (1, 0, 0), "visible": False}]
 
 
