@@ -1,4 +1,4 @@
-"""Datum alignment, and the mirror plane of a shape. Few features and bounded samples are worked on by the driver; meshes are not."""
+"""Datum alignment, and the parameters of a plane. Few features are worked on by the driver; meshes are not."""
 
 from __future__ import annotations
 
@@ -117,126 +117,3 @@ def to_parameters(normal, offset: float) -> tuple[float, float, float]:
 def from_parameters(elevation: float, azimuth: float, offset: float) -> tuple[np.ndarray, float]:
     c = math.cos(elevation)
     return np.array([c * math.cos(azimuth), math.sin(elevation), c * math.sin(azimuth)]), offset
-
-
-def mirror(points: np.ndarray, normal: np.ndarray, offset: float) -> np.ndarray:
-    return points - 2 * (points @ normal - offset)[:, None] * normal
-
-
-class Cloud:
-    """Distances to the nearest point of a bounded sample, by a grid whose cells are as wide as the cutoff."""
-
-    def __init__(self, points: np.ndarray, cutoff: float):
-        self.cutoff, self.low = cutoff, points.min(axis=0)
-        key = self._key(points)
-        order = np.argsort(key, kind="stable")
-        self.points, self.key = points[order], key[order]
-
-    def _cell(self, p):
-        return np.floor((p - self.low) / self.cutoff).astype(np.int64) + 2
-
-    def _key(self, p):
-        c = self._cell(p)
-        return (c[:, 0] << 42) + (c[:, 1] << 21) + c[:, 2]
-
-    def distances(self, p: np.ndarray) -> np.ndarray:
-        """No more than the cutoff."""
-        out = np.full(len(p), self.cutoff)
-        inside = (self._cell(p) >= 1).all(axis=1) & (self._cell(p) < 1 << 20).all(axis=1)
-        base, at = self._key(p[inside]), np.flatnonzero(inside)
-        for dx in (-1, 0, 1):
-            for dy in (-1, 0, 1):
-                lo = np.searchsorted(self.key, base + (dx << 42) + (dy << 21) - 1)
-                n = np.searchsorted(self.key, base + (dx << 42) + (dy << 21) + 1, "right") - lo
-                if n.sum():
-                    who = np.repeat(at, n)
-                    which = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                    np.minimum.at(out, who, np.linalg.norm(p[who] - self.points[which], axis=1))
-        return out
-
-
-def robust_loss(cloud: Cloud, samples: np.ndarray, normal, offset) -> float:
-    """Mean of squares of the mirrored samples' distances, each no more than the cutoff's; infinite without samples."""
-    if not len(samples):
-        return math.inf
-    return float((cloud.distances(mirror(samples, normal, offset)) ** 2).mean())
-
-
-def rms(cloud: Cloud, samples: np.ndarray, normal, offset) -> float:
-    """Of the distances below the cutoff; the cutoff if there are none."""
-    d = cloud.distances(mirror(samples, normal, offset))
-    d = d[d < cloud.cutoff]
-    return math.sqrt(float((d * d).mean())) if len(d) else cloud.cutoff
-
-
-def nelder_mead(f, start, step, iterations: int = 200) -> tuple[np.ndarray, float]:
-    """The downhill simplex (reflect 1, expand 2, contract and shrink by half)."""
-    x = [np.asarray(start, float)]
-    for i, s in enumerate(step):
-        x.append(x[0] + np.eye(len(step))[i] * s)
-    y = [f(p) for p in x]
-    for _ in range(iterations):
-        order = np.argsort(y, kind="stable")
-        x, y = [x[i] for i in order], [y[i] for i in order]
-        middle = np.mean(x[:-1], axis=0)
-        far = middle + (middle - x[-1])
-        v = f(far)
-        if v < y[0]:
-            further = middle + 2 * (middle - x[-1])
-            w = f(further)
-            x[-1], y[-1] = (further, w) if w < v else (far, v)
-        elif v < y[-2]:
-            x[-1], y[-1] = far, v
-        else:
-            near = middle + 0.5 * ((far if v < y[-1] else x[-1]) - middle)
-            w = f(near)
-            if w < min(v, y[-1]):
-                x[-1], y[-1] = near, w
-            else:
-                x = [x[0], *[x[0] + 0.5 * (p - x[0]) for p in x[1:]]]
-                y = [y[0], *[f(p) for p in x[1:]]]
-    best = int(np.argmin(y))
-    return x[best], y[best]
-
-
-def refine(points: np.ndarray, normal, offset: float, restarts=(240, 200, 160)) -> dict:
-    """The plane of least robust loss near the given one; the cutoff falls from 8 % to 2 % of the diagonal over the restarts."""
-    diagonal = float(np.linalg.norm(np.ptp(points, axis=0)))
-    p, size = np.array(to_parameters(normal, offset)), np.array([0.1, 0.1, 0.02 * diagonal])
-    for k, n in enumerate(restarts):
-        cloud = Cloud(points, max(0.02 * diagonal * 2 ** max(0, len(restarts) - 1 - k), 1e-12))
-        p, _ = nelder_mead(lambda q, c=cloud: robust_loss(c, points, *from_parameters(*q)), p, size, n // 3)
-        size = size / 3
-    n, d = from_parameters(*p)
-    return {"normal": n, "offset": d, "point": n * d, "rms": rms(cloud, points, n, d)}
-
-
-def auto_symmetry(points: np.ndarray, coarse: int = 768) -> dict:
-    """The best refined plane of those through the box's middle across the principal and coordinate axes."""
-    middle = (points.min(axis=0) + points.max(axis=0)) / 2
-    axes = [*np.linalg.eigh(np.cov(points.T))[1].T, *AXIS.values()]
-    diagonal = float(np.linalg.norm(np.ptp(points, axis=0)))
-    few = points[:: max(1, len(points) // coarse)]
-    cloud = Cloud(points, max(0.04 * diagonal, 1e-12))
-    order = sorted(axes, key=lambda n: robust_loss(cloud, few, n, float(n @ middle)))
-    return min((refine(points, n, float(n @ middle)) for n in order[:3]), key=lambda r: r["rms"])
-
-
-def symmetry_from_line(points: np.ndarray, a, b) -> dict | None:
-    """The best plane that holds a picked line, of 90 about it, refined; None for a line of no length."""
-    a, b = np.asarray(a, float), np.asarray(b, float)
-    diagonal = float(np.linalg.norm(np.ptp(points, axis=0)))
-    if np.linalg.norm(b - a) < 1e-5 * diagonal:
-        return None
-    d = (b - a) / np.linalg.norm(b - a)
-    u = np.cross(d, AXIS["x"] if abs(d[0]) < 0.9 else AXIS["y"])
-    u /= np.linalg.norm(u)
-    w = np.cross(d, u)
-    cloud = Cloud(points, max(0.04 * diagonal, 1e-12))
-    found = min((u * math.cos(t) + w * math.sin(t) for t in np.radians(np.arange(0, 180, 2))), key=lambda n: robust_loss(cloud, points, n, float(n @ a)))
-    return refine(points, found, float(found @ a))
-
-
-def bounded_sample(v: DataFrame, cap: int = 8192) -> np.ndarray:
-    """At most about `cap` vertices of one mesh, strided by vid, on the driver."""
-    return np.array([(float(r["x"]), float(r["y"]), float(r["z"])) for r in mesh.strided(v, cap, ["vid"]).select("x", "y", "z").collect()])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color
-from ..operators import bridging, decimation, fitting, freeform, health, holes, mesh, moments, picking, segmentation, shading, spatial, topology
+from ..operators import bridging, decimation, fitting, freeform, health, holes, mesh, moments, picking, segmentation, shading, spatial, symmetry, topology
 from ..sources import sinks
 from ..tables import cut
 from . import scans
@@ -586,6 +586,35 @@ def y1_reflect(spark, d):
     return spatial.reflect(v, (0.0, 0.0, 50.0), (0.0, 0.0, 1.0)).select("vid", "x", "y", "z").selectExpr("vid", "cast(x as bigint) x", "cast(y as bigint) y", "cast(z as bigint) z")
 
 
+#: Three planes through the middle of the scan; a sample on a face for each part; hit faces of HIDDEN count as none. Brute force within the cutoff.
+MIRRORS = ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.6, 0.8, 0.0))
+_M = ", ".join(f"({k}, {x!r}::DOUBLE, {y!r}::DOUBLE)" for k, (x, y, _) in enumerate(MIRRORS))
+MIRRORED = f"""pl AS (SELECT plane, nx, ny, (SELECT (max(x) + min(x)) / 2.0::DOUBLE FROM v) AS ox, (SELECT (max(y) + min(y)) / 2.0::DOUBLE FROM v) AS oy FROM (VALUES {_M}) t(plane, nx, ny)),
+sm AS (SELECT p_partkey AS part, (5 * x0 + 2 * x1 + x2) / 8.0::DOUBLE AS sx, (5 * y0 + 2 * y1 + y2) / 8.0::DOUBLE AS sy, (5 * z0 + 2 * z1 + z2) / 8.0::DOUBLE AS sz
+ FROM part, g, p WHERE fid = p_partkey * 7919 % (2 * w * h) AND fid NOT IN (SELECT fid FROM hid)),
+pr AS (SELECT plane * 100000000 + part AS pid, sx - 2 * hh * nx AS px, sy - 2 * hh * ny AS py, sz AS pz FROM (SELECT *, nx * (sx - ox) + ny * (sy - oy) AS hh FROM pl, sm)),
+fd AS (SELECT pid, fid, CASE WHEN {_INSIDE} THEN {_H} * {_H} / {_NN} ELSE least(d0, d1, d2) END AS d FROM (SELECT *, {', '.join(f'{x} AS d{k}' for k, x in enumerate(_D))} FROM (SELECT *, {', '.join(x[0] for x in _T)} FROM pr, n
+ WHERE px BETWEEN least(x0, x1, x2) - 50 AND greatest(x0, x1, x2) + 50 AND py BETWEEN least(y0, y1, y2) - 50 AND greatest(y0, y1, y2) + 50))),
+nh AS (SELECT pid, min(d) FILTER (WHERE fid NOT IN (SELECT fid FROM hid)) AS d, min(d) AS l FROM fd GROUP BY pid)"""
+
+
+@query(
+    """SELECT plane, samples, round((coalesce(sq, 0) + (samples - coalesce(hits, 0)) * 2500) / samples, 3) AS loss, round(CASE WHEN hits > 0 THEN sqrt(sq / hits) ELSE 50 END, 4) AS rms FROM (SELECT plane FROM pl)
+LEFT JOIN (SELECT pid // 100000000 AS plane, count(*) AS hits, sum(d) AS sq FROM nh WHERE d <= l * (1 + 1e-9) AND d <= 2500 GROUP BY 1) USING (plane), (SELECT count(*) AS samples FROM sm)""",
+    ctes=(HIDDEN, MIRRORED),
+)
+def y6_mirror_scores(spark, d):
+    """Loss and rms of fixed mirror planes over masked samples of the scan's surface, all planes in one nearest join."""
+    v, f = scan(spark, d)
+    masked, (w, h) = scans.hidden(f), scans.sizes(spark, d)
+    parts = scans.table(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 7919 % (2 * w * h)).cast("long").alias("fid"))
+    at = mesh.corners_of(v, f.join(masked, ["mesh_id", "fid"], "left_anti")).join(parts, "fid").select("mesh_id", F.col("p_partkey").alias("pid"), *[((5 * F.col(f"{a}0") + 2 * F.col(f"{a}1") + F.col(f"{a}2")) / 8).alias(a) for a in "xyz"])
+    planes = F.inline(F.array(*[F.struct(F.lit(k).alias("plane"), *[F.lit(x).alias(f"n{a}") for a, x in zip("xyz", n, strict=True)]) for k, n in enumerate(MIRRORS)]))
+    planes = symmetry.boxes(v).select("*", planes).withColumns({"offset": F.lit(0.0), "cutoff": F.lit(50.0)})
+    found = symmetry.score(planes, cut(at), symmetry.Pyramid(v, f, 100.0), masked)
+    return found.select("plane", "samples", F.round("loss", 3).alias("loss"), F.round("rms", 4).alias("rms"))
+
+
 def clouds(spark, d):
     v = scan(spark, d)[0]
     return v.join(scans.table(spark, d, "events").select(F.col("event_id").alias("vid"), "event_type"), "vid")
