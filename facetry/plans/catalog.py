@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import color
-from ..operators import bridging, decimation, fitting, freeform, health, holes, mesh, moments, picking, segmentation, shading, spatial, symmetry, topology
+from ..functions import color, stream
+from ..operators import bridging, decimation, fitting, freeform, health, holes, mesh, moments, picking, sampling, segmentation, shading, spatial, symmetry, topology
 from ..sources import sinks
 from ..tables import cut
 from . import scans
@@ -264,6 +264,45 @@ def m14_strided_sample(spark, d):
     return mesh.strided(scan(spark, d)[0], 300, ["vid"]).drop("mesh_id")
 
 
+#: The sequential stream itself, three numbers a sample; words of 64 bits in 128.
+def _word(x: str) -> str:
+    return f"(({x}) % 18446744073709551616::UHUGEINT)"
+
+
+def _rotated(x: str, k: int) -> str:
+    return f"({_word(f'{x} * {1 << k}::UHUGEINT')} + {x} // {1 << (64 - k)}::UHUGEINT)"
+
+
+def _stream_sql(seed: int) -> str:
+    a, b = (int(x) for x in stream.seeded(seed))
+    s = "(SELECT i, s0 AS p0, s1 AS q0 FROM st)"
+    for k in range(3):
+        first = f"xor({_rotated(f'p{k}', stream.TURN_FIRST)}, xor(y{k}, {_word(f'y{k} * {1 << stream.SHIFT}::UHUGEINT')}))"
+        s = f"(SELECT *, {first} AS p{k + 1}, {_rotated(f'y{k}', stream.TURN_SECOND)} AS q{k + 1} FROM (SELECT *, xor(p{k}, q{k}) AS y{k} FROM {s}))"
+    outs = []
+    for k in range(3):
+        five = _word(f"p{k} * {stream.OUT_TIMES}::UHUGEINT")
+        outs.append(_word(f"{_rotated(five, stream.OUT_TURN)} * {stream.OUT_TIMES_AGAIN}::UHUGEINT") + f" AS o{k}")
+    return f"""st AS (SELECT 0::BIGINT AS i, {a}::UHUGEINT AS s0, {b}::UHUGEINT AS s1 UNION ALL SELECT i + 1, p3, q3 FROM {s} WHERE i + 1 < (SELECT count(*) FROM part)),
+dr AS (SELECT i, (o0 // 2048::UHUGEINT)::DOUBLE / 9007199254740992 AS r, (o1 // 1099511627776::UHUGEINT)::DOUBLE / 16777216 AS a, (o2 // 1099511627776::UHUGEINT)::DOUBLE / 16777216 AS b FROM (SELECT i, {', '.join(outs)} FROM (SELECT i, p0, p1, p2 FROM {s})))"""
+
+
+DRAWN = f"""{_stream_sql(7)},
+ar AS (SELECT *, sqrt(CAST(cx * cx + cy * cy + cz * cz AS DOUBLE)) / 2 AS area FROM n),
+cm AS (SELECT *, coalesce(sum(area) OVER (ORDER BY fid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM ar),
+dp AS (SELECT i, r * (SELECT sum(area) FROM ar) AS place, CASE WHEN a + b > 1 THEN 1 - a ELSE a END AS a, CASE WHEN a + b > 1 THEN 1 - b ELSE b END AS b FROM dr)"""
+
+
+@query(
+    "SELECT i, fid, round(x0 + (x1 - x0) * a + (x2 - x0) * b, 5) + 0.0 AS x, round(y0 + (y1 - y0) * a + (y2 - y0) * b, 5) + 0.0 AS y, round(z0 + (z1 - z0) * a + (z2 - z0) * b, 5) + 0.0 AS z FROM dp ASOF JOIN cm ON dp.place > cm.place",
+    ctes=(DRAWN,),
+)
+def m12_stream_sample(spark, d):
+    """A sample of the scan for each part, in the order of the sequential stream."""
+    n = scans.table(spark, d, "part").count()
+    return sampling.stream_sample(*scan(spark, d), n, 7).select("i", "fid", *[(F.round(c, 5) + 0.0).alias(c) for c in "xyz"])
+
+
 @query()
 def m11_surface_sample(spark, d):
     return mesh.sample_surface(*scan(spark, d), 5000)
