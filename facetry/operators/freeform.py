@@ -1,18 +1,20 @@
 """Freeform surfaces: a moving least squares height field over a selection's plane, its grid, mesh, statistics and cubic net.
 
-Points are searched through grid cells on the cluster. A fitted grid has at most 321 x 321 nodes a mesh (MOST_CELLS), so its
-smoothing and its control net are made from one group a mesh.
+Points are searched through grid cells on the cluster. Grids are smoothed by tiles with the nodes around them, and control nets are
+solved a row and then a column at a time, so neither is one group a mesh. A fitted grid has at most 321 x 321 nodes a mesh (MOST_CELLS).
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import cut
+from ..tables import cut, forget
 from .fitting import basis, plane_fit
 from .mesh import AXES
 
@@ -189,18 +191,39 @@ def grid(flat: DataFrame, frames: DataFrame, overshoot: float = 1.0, extend: str
     return (smoothed_nodes(made, smoothness) if smoothness else made), frames
 
 
-def _square(rows: pd.DataFrame, column: str, none) -> np.ndarray:
-    out = np.full((rows["j"].max() + 1, rows["i"].max() + 1), none)
-    out[rows["j"], rows["i"]] = rows[column]
-    return out
-
-
-def smoothed_nodes(nodes: DataFrame, passes: int) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h = smoothed(_square(rows, "h", 0.0), _square(rows, "valid", False), passes)
-        return rows.assign(h=h[rows["j"], rows["i"]])
+def smoothed_nodes(nodes: DataFrame, passes: int, tile: int = 256, halo: int = 32) -> DataFrame:
+    """nodes(mesh_id, i, j, h, valid; other columns stay) after so many passes of smoothed().
 
-    return cut(nodes.groupBy("mesh_id").applyInPandas(run, nodes.schema))
+    A grid is cut into tiles, and a tile gets the nodes around it as well, as far as its passes reach: up to `halo` passes need one
+    exchange, and no grid is one group. Invalid nodes, null ones among them, keep their h; a valid node with a null h counts as invalid. Of nodes
+    at the same place one is used, and each keeps its row.
+    """
+    core = ["i", "j", "h", "valid"]
+
+    def run(reach):
+        def pass_over(key, rows: pd.DataFrame) -> pd.DataFrame:
+            i, j = (rows[c].to_numpy(np.int64) for c in "ij")
+            i0, j0 = i.min(), j.min()
+            h, valid = np.zeros((j.max() - j0 + 1, i.max() - i0 + 1)), np.zeros((j.max() - j0 + 1, i.max() - i0 + 1), bool)
+            h[j - j0, i - i0], valid[j - j0, i - i0] = rows["h"], rows["valid"]
+            own = (i // tile == key[1]) & (j // tile == key[2])
+            return pd.DataFrame({"mesh_id": key[0], "i": i[own], "j": j[own], "g": smoothed(h, valid, reach)[(j - j0)[own], (i - i0)[own]]})
+
+        return pass_over
+
+    form = f"mesh_id {nodes.schema['mesh_id'].dataType.simpleString()}, i long, j long, g double"
+    one = nodes.where("valid AND h IS NOT NULL").select("mesh_id", *core).dropDuplicates(["mesh_id", "i", "j"])
+    one = cut(one.select("mesh_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("h").cast("double").alias("h"), "valid"))
+    while passes > 0:
+        reach = min(passes, halo)
+        ways = {f"t{c}": F.explode(F.sequence(F.floor((F.col(c) - reach) / tile), F.floor((F.col(c) + reach) / tile))) for c in "ij"}
+        dealt = one.withColumn("ti", ways["ti"]).withColumn("tj", ways["tj"])
+        done = cut(dealt.groupBy("mesh_id", "ti", "tj").applyInPandas(run(reach), form).select("mesh_id", "i", "j", F.col("g").alias("h"), F.lit(True).alias("valid")))
+        forget(one)
+        one, passes = done, passes - reach
+    new = one.select("mesh_id", "i", "j", F.col("h").alias("g"))
+    at = nodes.join(new, ["mesh_id", "i", "j"], "left")
+    return at.select(*[F.when(F.col("valid"), F.coalesce("g", "h")).otherwise(F.col("h")).cast(nodes.schema["h"].dataType).alias("h") if c == "h" else F.col(c) for c in nodes.columns])
 
 
 def corners(nodes: DataFrame) -> DataFrame:
@@ -261,7 +284,7 @@ def surface_deviation(found: DataFrame) -> DataFrame:
 
 def knots(n: int, degree: int = 3) -> np.ndarray:
     """The clamped knots of n + 1 uniform parameters, inner ones averaged."""
-    inner = np.convolve(np.arange(1, n) / n, np.ones(degree) / degree, "valid")
+    inner = np.convolve(np.arange(1, n) / n, np.ones(degree) / degree, "valid") if n > degree else []
     return np.concatenate([np.zeros(degree + 1), inner, np.ones(degree + 1)])
 
 
@@ -295,6 +318,93 @@ def on_net(net: np.ndarray, ku: np.ndarray, kv: np.ndarray, u: np.ndarray, v: np
     return np.einsum("ni,nj,jia->na", basis_values(ku, np.asarray(u, float)), basis_values(kv, np.asarray(v, float)), net)
 
 
+def local_basis(n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The four cubic basis functions of knots(n) that are not 0 at each parameter: the first one's number, and their values."""
+    k, at = knots(n), np.clip(np.asarray(at, float), 0.0, 1.0)
+    span = np.clip(np.searchsorted(k, at, "right") - 1, 3, n)
+    out = np.ones((len(at), 1))
+    for p in range(1, 4):
+        grown = np.zeros((len(at), p + 1))
+        for m in range(p):
+            low, high = k[span - p + 1 + m], k[span + 1 + m]
+            part = out[:, m] / (high - low)
+            grown[:, m] += (high - at) * part
+            grown[:, m + 1] += (at - low) * part
+        out = grown
+    return span - 3, out
+
+
+@lru_cache(maxsize=4)
+def _eliminated(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The banded matrix of the basis at uniform parameters (row r: columns r - 3 to r + 3) as multipliers below and rows above; it needs no pivots."""
+    first, values = local_basis(n, np.arange(n + 1) / n)
+    band = np.zeros((n + 1, 7))
+    for m in range(4):
+        place = first + m - np.arange(n + 1) + 3
+        held = (place >= 0) & (place < 7)
+        band[np.flatnonzero(held), place[held]] += values[held, m]
+    for r in range(n + 1):
+        for d in range(1, min(3, n - r) + 1):
+            by = band[r + d, 3 - d] / band[r, 3]
+            band[r + d, 4 - d : 7 - d] -= by * band[r, 4:]
+            band[r + d, 3 - d] = by
+    return band[:, :3], band[:, 3:]
+
+
+def along_line(points: np.ndarray) -> np.ndarray:
+    """The control points of the cubic through points[node, axis] at uniform parameters, by a banded elimination."""
+    n = len(points) - 1
+    low, high = _eliminated(n)
+    x = np.zeros((n + 7, points.shape[1]))
+    x[3 : n + 4] = points
+    for r in range(n + 1):
+        x[r + 3] -= low[r] @ x[r : r + 3]
+    for r in range(n, -1, -1):
+        x[r + 3] = (x[r + 3] - high[r, 1:] @ x[r + 4 : r + 7]) / high[r, 0]
+    return x[3 : n + 4]
+
+
+def cubic_net(nodes: DataFrame) -> DataFrame:
+    """mesh_id, i, j, x, y, z: the control points of each mesh's bicubic surface through nodes(mesh_id, i, j, x, y, z) at uniform parameters.
+
+    Each row of nodes, then each column of what comes out, is a group of its own. A mesh has a net if its places are those of a whole
+    rectangle from 0 on, each once, of four nodes or more on each side, and none of its coordinates is null.
+    """
+    n = nodes.select("mesh_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), *[F.col(a).cast("double").alias(a) for a in AXES])
+    places = n.groupBy("mesh_id", "i", "j").agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest(*[F.col(a).isNull().cast("int") for a in AXES])).alias("gone"))
+    good = places.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"), F.max("c").alias("c"), F.max("gone").alias("gone"), *[g(c).alias(f"{k}{c}") for c in "ij" for k, g in (("lo", F.min), ("hi", F.max))])
+    good = good.where("c = 1 AND gone = 0 AND loi = 0 AND loj = 0 AND hii >= 3 AND hij >= 3 AND n = (hii + 1) * (hij + 1)").select("mesh_id")
+    form = f"mesh_id {nodes.schema['mesh_id'].dataType.simpleString()}, i long, j long, x double, y double, z double"
+
+    def solve(along):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(along)
+            rows[list(AXES)] = along_line(rows[list(AXES)].to_numpy(float))
+            return rows
+
+        return run
+
+    half = n.join(good, "mesh_id", "left_semi").groupBy("mesh_id", "j").applyInPandas(solve("i"), form)
+    return cut(half.groupBy("mesh_id", "i").applyInPandas(solve("j"), form))
+
+
+def on_cubic_net(at: DataFrame, net: DataFrame) -> DataFrame:
+    """at(mesh_id, pid, u, v) with x, y, z of the surface of cubic_net() there; parameters are moved into 0 to 1, those that are null or of a mesh without a net have no row."""
+    size = net.groupBy("mesh_id").agg(F.max("i").alias("columns"), F.max("j").alias("rows"))
+    kinds = {c: at.schema[c].dataType.simpleString() for c in ("mesh_id", "pid")}
+
+    def spread(batches):
+        for rows in batches:
+            for (columns, lines), some in rows.groupby(["columns", "rows"]):
+                (i, a), (j, b) = local_basis(columns, some["u"]), local_basis(lines, some["v"])
+                k, m = np.divmod(np.arange(16), 4)
+                yield pd.DataFrame({"mesh_id": np.repeat(some["mesh_id"].to_numpy(), 16), "pid": np.repeat(some["pid"].to_numpy(), 16), "i": (i[:, None] + k).ravel(), "j": (j[:, None] + m).ravel(), "w": (a[:, k] * b[:, m]).ravel()})
+
+    p = at.where("u IS NOT NULL AND v IS NOT NULL AND NOT isnan(u) AND NOT isnan(v)").select("mesh_id", "pid", "u", "v").join(size, "mesh_id")
+    w = p.mapInPandas(spread, f"mesh_id {kinds['mesh_id']}, pid {kinds['pid']}, i long, j long, w double")
+    return w.join(net, ["mesh_id", "i", "j"]).groupBy("mesh_id", "pid").agg(*[F.sum(F.col("w") * F.col(a)).alias(a) for a in AXES])
+
+
 def full_grid(points: DataFrame, mesh_id: str, **settings) -> np.ndarray:
     """The nodes [row, column, axis] of one mesh's whole rectangle, for control_net(): at most 321 x 321, on the driver."""
     flat, frames = flattened(points.where(F.col("mesh_id") == mesh_id))

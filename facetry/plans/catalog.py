@@ -816,6 +816,16 @@ def q3_grid_smoothing(spark, d):
     return freeform.smoothed_nodes(grid_nodes(spark, d), 2).where("valid").select("i", "j", r6("h").alias("h"))
 
 
+@query("SELECT vid, round(x, 5) + 0.0 AS x, round(y, 5) + 0.0 AS y, round(z, 5) + 0.0 AS z FROM (SELECT vid, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z FROM v)")
+def q6_cubic_net(spark, d):
+    """The cubic surface through all vertices of the scan, seen at their parameters: it goes through them."""
+    v, (w, h) = scan(spark, d)[0], scans.sizes(spark, d)
+    i, j = (F.floor(F.col(a) / 100).cast("long") for a in "xy")
+    net = freeform.cubic_net(v.select("mesh_id", i.alias("i"), j.alias("j"), "x", "y", "z"))
+    found = freeform.on_cubic_net(v.select("mesh_id", F.col("vid").alias("pid"), (i / (w - 1)).alias("u"), (j / (h - 1)).alias("v")), net)
+    return found.select(F.col("pid").alias("vid"), *[(F.round(c, 5) + 0.0).alias(c) for c in "xyz"])
+
+
 BILINEAR = """bl AS (SELECT pz - ((1 - ty) * ((1 - tx) * a.h + tx * b.h) + ty * ((1 - tx) * c.h + tx * e.h)) AS d FROM
  (SELECT *, greatest(0, least(px // 100, w - 2)) AS i, greatest(0, least(py // 100, h - 2)) AS j, greatest(0, least(1, px / 100.0::DOUBLE - greatest(0, least(px // 100, w - 2)))) AS tx, greatest(0, least(1, py / 100.0::DOUBLE - greatest(0, least(py // 100, h - 2)))) AS ty FROM pr, g) q
  JOIN n0 a ON a.i = q.i AND a.j = q.j JOIN n0 b ON b.i = q.i + 1 AND b.j = q.j JOIN n0 c ON c.i = q.i AND c.j = q.j + 1 JOIN n0 e ON e.i = q.i + 1 AND e.j = q.j + 1)"""

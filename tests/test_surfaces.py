@@ -90,6 +90,47 @@ def test_the_net_passes_through_its_nodes_and_is_written(spark):
     assert set(re.findall(r"#\d+", text)) == named
 
 
+def test_tiles_smooth_as_the_whole_grid_does(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    want = {}
+    for name, (w, h) in {"a": (23, 17), "b": (1, 5), "c": (9, 40)}.items():
+        z, ok = r.normal(size=(h, w)), r.random((h, w)) < 0.8
+        rows += [(name, i, j, float(z[j, i]), bool(ok[j, i]), i + j) for j in range(h) for i in range(w)]
+        for passes in (0, 3, 11):
+            out = freeform.smoothed(z, ok, passes)
+            want |= {(passes, name, i, j): out[j, i] for j in range(h) for i in range(w)}
+    d = spark.createDataFrame(rows + [("d", 0, 0, 1.0, None, 0), ("d", 1, 0, None, True, 0)], "mesh_id string, i int, j int, h double, valid boolean, g int")
+    for passes in (0, 3, 11):
+        got = freeform.smoothed_nodes(d.withColumnRenamed("g", "mark"), passes, tile=7, halo=4)
+        assert got.columns == ["mesh_id", "i", "j", "h", "valid", "mark"]
+        rows = got.collect()
+        assert len(rows) == len(want) // 3 + 2
+        for x in rows:
+            if x["mesh_id"] != "d":
+                assert x["h"] == pytest.approx(want[passes, x["mesh_id"], x["i"], x["j"]], abs=1e-12)
+        assert {(x["i"], x["h"]) for x in rows if x["mesh_id"] == "d"} == {(0, 1.0), (1, None)}
+
+
+def test_net_by_rows_and_columns(spark):
+    r = np.random.default_rng(9)
+    sizes, rows, at, want = {"a": (11, 6), "b": (4, 4)}, [], [], {}
+    for name, (w, h) in sizes.items():
+        p = r.normal(size=(h, w, 3))
+        rows += [(name, i, j, *map(float, p[j, i])) for j in range(h) for i in range(w)]
+        net, ku, kv = freeform.control_net(p)
+        uv = np.concatenate([r.random((60, 2)), [(i / (w - 1), j / (h - 1)) for i in range(w) for j in range(h)]])
+        at += [(name, k, float(a), float(b)) for k, (a, b) in enumerate(uv)]
+        want |= {(name, k): q for k, q in enumerate(freeform.on_net(net, ku, kv, uv[:, 0], uv[:, 1]))}
+    rows += [("hole", i, j, 0.0, 0.0, 0.0) for i in range(5) for j in range(5) if (i, j) != (2, 2)] + [("thin", i, 0, 0.0, 0.0, 0.0) for i in range(9)]
+    net = freeform.cubic_net(spark.createDataFrame(rows, "mesh_id string, i int, j int, x double, y double, z double"))
+    assert {x["mesh_id"] for x in net.select("mesh_id").distinct().collect()} == set(sizes)
+    got = freeform.on_cubic_net(spark.createDataFrame([*at, ("hole", 0, 0.5, 0.5), ("a", -1, None, 0.5)], "mesh_id string, pid long, u double, v double"), net).collect()
+    assert len(got) == len(want)
+    for x in got:
+        assert np.allclose((x["x"], x["y"], x["z"]), want[x["mesh_id"], x["pid"]], rtol=0, atol=1e-9)
+
+
 def test_knots_are_compressed():
     assert cad.compressed([0, 0, 0, 0, 0.5, 1, 1, 1, 1]) == [(0.0, 4), (0.5, 1), (1.0, 4)]
     assert freeform.basis_values(freeform.knots(6), np.linspace(0, 1, 31)).sum(1) == pytest.approx(np.ones(31))
