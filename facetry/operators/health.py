@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import cut
 from .loops import ordered_loops
 from .mesh import compact, corners_of, cross
-from .topology import KEY, components, face_components, half_edges
+from .topology import KEY, _least, components, face_components, half_edges
 
 #: Square of a face's cross product below which it is degenerate.
 FLAT = 1e-14
+#: Corners of a vertex that may meet in one row.
+HUB = 1024
 
 
 def index_degenerate():
@@ -41,21 +45,57 @@ def edge_report(f: DataFrame) -> DataFrame:
     )
 
 
-def fans(f: DataFrame) -> DataFrame:
+def _corners(f: DataFrame) -> DataFrame:
+    """mesh_id, vid, fid and the face's other two vertices, for each corner."""
+    return f.select("mesh_id", "fid", F.explode(F.array(*[F.struct(F.col(f"v{k}").alias("vid"), F.col(f"v{(k + 1) % 3}").alias("o1"), F.col(f"v{(k + 2) % 3}").alias("o2")) for k in range(3)])).alias("c")).select("mesh_id", "c.vid", "fid", "c.o1", "c.o2")
+
+
+def _fans_of_rows(batches):
+    """fans and degree of vertices with their corners, many at once: faces and other vertices are nodes, each corner two links."""
+    for batch in batches:
+        at = batch.column("at")
+        corner = at.flatten()
+        row = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
+        fid, o1, o2 = (corner.field(k).to_numpy() for k in range(3))
+        names, code = np.unique(np.concatenate([fid, o1, o2]), return_inverse=True)
+        kind = np.repeat([0, 1, 1], len(fid))
+        nodes, node = np.unique((np.tile(row, 3) * 2 + kind) * len(names) + code, return_inverse=True)
+        face, first, second = node.reshape(3, -1)
+        top = _least(np.concatenate([face, face]), np.concatenate([first, second]), len(nodes))
+        owner = nodes // len(names) // 2
+        fans = np.bincount(owner[top == np.arange(len(nodes))], minlength=len(at))
+        degree = np.bincount(owner[(nodes // len(names)) % 2 == 0], minlength=len(at))
+        yield pa.RecordBatch.from_pydict({"mesh_id": batch.column("mesh_id"), "vid": batch.column("vid"), "fans": pa.array(fans, pa.int64()), "degree": pa.array(degree, pa.int64())})
+
+
+def fans(f: DataFrame, hub: int = HUB) -> DataFrame:
     """mesh_id, vid, fans: groups of incident faces that share an edge at the vertex; only vertices of two faces or more.
 
-    Faces around a vertex are linked when both have the same opposite vertex; components over (vertex, face) nodes count them.
+    The corners of a vertex meet in its row, and many rows are solved at once. Vertices of more than `hub` corners are
+    spread instead: faces around them are linked when both have the same opposite vertex, and components over (vertex, face) nodes count their fans.
     """
-    one = f.select("mesh_id", "fid", F.explode(F.array(*[F.struct(F.col(f"v{k}").alias("vid"), F.array(F.col(f"v{(k + 1) % 3}"), F.col(f"v{(k + 2) % 3}")).alias("others")) for k in range(3)])).alias("c"))
-    spokes = one.select("mesh_id", "fid", "c.vid", F.explode("c.others").alias("o"))
+    corners = _corners(f)
+    hubs = cut(corners.groupBy("mesh_id", "vid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hub).select("mesh_id", "vid"))
+    large = not hubs.isEmpty()
+    few = corners.join(F.broadcast(hubs), ["mesh_id", "vid"], "left_anti") if large else corners
+    kinds = {x.name: x.dataType.simpleString() for x in corners.schema}
+    rows = few.groupBy("mesh_id", "vid").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in ("fid", "o1", "o2")])).alias("at"))
+    per = rows.mapInArrow(_fans_of_rows, f"mesh_id {kinds['mesh_id']}, vid {kinds['vid']}, fans long, degree long")
+    if large:
+        per = per.union(_spread_fans(f, corners.join(F.broadcast(hubs), ["mesh_id", "vid"], "left_semi")))
+    return per.where("degree > 1").select("mesh_id", "vid", "fans")
+
+
+def _spread_fans(f: DataFrame, corners: DataFrame) -> DataFrame:
+    """mesh_id, vid, fans and degree by components over links."""
+    spokes = corners.select("mesh_id", "fid", "vid", F.explode(F.array("o1", "o2")).alias("o"))
     first = spokes.groupBy("mesh_id", "vid", "o").agg(F.min("fid").alias("low"))
     # the node of a face at a vertex: its corner number, which no other face or vertex has
-    number = f.select("mesh_id", "fid", F.posexplode(F.array("v0", "v1", "v2")).alias("k", "vid")).groupBy("mesh_id", "fid", "vid").agg((F.min("fid") * 3 + F.min("k")).alias("node"))
+    number = f.select("mesh_id", "fid", F.posexplode(F.array("v0", "v1", "v2")).alias("k", "vid")).groupBy("mesh_id", "fid", "vid").agg((F.min("fid") * 3 + F.min("k")).alias("node")).join(corners.select("mesh_id", "vid").distinct(), ["mesh_id", "vid"], "left_semi")
     at = lambda name, face: number.select("mesh_id", F.col("fid").alias(face), "vid", F.col("node").alias(name))
     links = spokes.join(first, ["mesh_id", "vid", "o"]).where("fid != low").join(at("a", "fid"), ["mesh_id", "fid", "vid"]).join(at("b", "low"), ["mesh_id", "low", "vid"])
-    c = components(number.select("mesh_id", F.col("node").alias("fid")), links.select("mesh_id", F.col("a").alias("fid"), F.col("b").alias("nb")))
-    per = number.join(c.select("mesh_id", F.col("fid").alias("node"), "root"), ["mesh_id", "node"]).groupBy("mesh_id", "vid").agg(F.count_distinct("root").alias("fans"), F.count(F.lit(1)).alias("degree"))
-    return per.where("degree > 1").select("mesh_id", "vid", "fans")
+    c = components(number.select("mesh_id", F.col("node").alias("fid")), links.select("mesh_id", F.col("a").alias("fid"), F.col("b").alias("nb")), within=True)
+    return number.join(c.select("mesh_id", F.col("fid").alias("node"), "root"), ["mesh_id", "node"]).groupBy("mesh_id", "vid").agg(F.count_distinct("root").alias("fans"), F.count(F.lit(1)).alias("degree"))
 
 
 def report(v: DataFrame, f: DataFrame, loops: bool = True) -> DataFrame:
@@ -99,7 +139,7 @@ def unify_normals(v: DataFrame, f: DataFrame) -> DataFrame:
     pair = h.join(first, ["mesh_id", "lo", "hi"]).where("fid != a.fid").select("mesh_id", "fid", F.col("a.fid").alias("other"), (F.col("u") == F.col("a.u0")).cast("long").alias("alike"))
     links = pair.select("mesh_id", F.explode(F.array(*[F.struct((2 * F.col("fid") + s).alias("fid"), (2 * F.col("other") + (F.col("alike") + s) % 2).alias("nb")) for s in (0, 1)])).alias("l")).select("mesh_id", "l.*")
     nodes = f.select("mesh_id", F.explode(F.array(2 * F.col("fid"), 2 * F.col("fid") + 1)).alias("fid"))
-    c = cut(components(nodes, links))
+    c = cut(components(nodes, links, within=True))
     # the sheet of the component's least face as it is: an even root
     mine = c.where("root % 2 = 0").select("mesh_id", F.floor(F.col("fid") / 2).cast("long").alias("fid"), (F.col("fid") % 2).alias("turn"), "root").groupBy("mesh_id", "fid").agg(F.min(F.struct("root", "turn")).alias("r")).select("mesh_id", "fid", "r.root", "r.turn")
     p = corners_of(v, f).join(mine, KEY)
