@@ -65,15 +65,16 @@ def stream_sample(v: DataFrame, f: DataFrame, n: int, seed: int = 0, masked: Dat
     if masked is None:
         g = g.withColumn("area", F.greatest("area", F.lit(LEAST_AREA)))
     most = g.groupBy("mesh_id").agg(F.max("area").alias("most")).where("most > 0")
-    g = g.join(most, "mesh_id").withColumn("share", F.round(F.col("area") / F.col("most") * 2.0**53).cast("decimal(18,0)"))
+    # a row a mesh: where few meshes make most exchange partitions empty, the planner may drop its own broadcast and put a mesh into one task
+    g = g.join(F.broadcast(most), "mesh_id").withColumn("share", F.round(F.col("area") / F.col("most") * 2.0**53).cast("decimal(18,0)"))
     g = running(g, ["fid"], "share", "before")
     whole = g.groupBy("mesh_id").agg(F.sum("share").cast("double").alias("whole"), F.first("most").alias("most"), F.min("fid").alias("first"))
     if masked is not None:
         whole = whole.where(F.col("whole") / 2.0**53 * F.col("most") > LEAST_TOTAL)
-    d = draws(whole, n, seed).join(whole.select("mesh_id", "whole"), "mesh_id")
+    d = draws(whole, n, seed).join(F.broadcast(whole.select("mesh_id", "whole")), "mesh_id")
     # a face holds what lies beyond its beginning, so a sample at that place comes before it
     corners = F.struct("fid", *_CORNERS)
-    faces = g.join(whole.select("mesh_id", "first"), "mesh_id").select(
+    faces = g.join(F.broadcast(whole.select("mesh_id", "first")), "mesh_id").select(
         "mesh_id", F.when(F.col("fid") == F.col("first"), -1.0).otherwise(F.col("before").cast("double")).alias("place"), F.lit(1).alias("kind"), F.col("fid").alias("nth"), corners.alias("face"), *[F.lit(None).cast("long").alias(c) for c in "ab"]
     )
     points = d.select("mesh_id", (F.col("at") * 2.0**-53 * F.col("whole")).alias("place"), F.lit(0).alias("kind"), F.col("i").alias("nth"), F.lit(None).cast(faces.schema["face"].dataType).alias("face"), "a", "b")

@@ -78,3 +78,22 @@ def test_running_sums_and_carried_values(spark):
             assert (got[k]["sum"], got[k]["last"]) == (total, last)
             total += x
     assert len(got) == 500 and carried(d.where(F.lit(False)), ["k"], "y", "last").count() == 0
+
+
+def test_no_join_puts_a_mesh_into_one_task(spark, monkeypatch):
+    """Joins by mesh_id alone hold a row a mesh on one side, and don't rest on the planner's own choice of a broadcast."""
+    import re
+
+    plans = []
+    for name in ("running", "carried"):
+        real = getattr(sampling, name)
+        monkeypatch.setattr(sampling, name, lambda df, *a, real=real: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *a))
+    v = spark.createDataFrame([("m", 0, 0.0, 0.0, 0.0), ("m", 1, 1.0, 0.0, 0.0), ("m", 2, 0.0, 1.0, 0.0)], "mesh_id string, vid long, x double, y double, z double")
+    f = spark.createDataFrame([("m", 0, 0, 1, 2)], "mesh_id string, fid long, v0 long, v1 long, v2 long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sampling.stream_sample(v, f, 5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == 2 and not any(re.search(r"(SortMerge|ShuffledHash)Join \[mesh_id#\d+\]", p) for p in plans)
