@@ -1,14 +1,18 @@
 """Fewer faces by edge collapses of least quadric error. Vertices that stay are a subset of the old ones.
 
-Collapses go by rounds over whole meshes. In a round each vertex picks its cheapest collapse onto a neighbour that keeps the surface
-as it is; collapses whose vertex and neighbours meet no cheaper one's go together. Quadrics, links and turned faces
-are joins and sums over edges, so no mesh, cell or vertex with many faces is ever one group, and nothing is locked but by choice.
+Collapses go by passes over whole meshes. Each vertex picks its cheapest collapse onto a neighbour that keeps the surface
+as it is; collapses whose vertex and neighbours meet no cheaper one's go together. Most go in tiles that lie elsewhere in each pass: a tile has
+all faces of its vertices, and a vertex moves if its neighbours are the tile's as well, so no two tiles touch one face. Which costs
+may go is settled for the whole mesh, from counts of the pass before. The rest, and what lies too densely for tiles, goes by rounds in
+which quadrics, links and turned faces are joins and sums over edges, so no mesh is ever one group, and nothing is locked but by choice.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -28,6 +32,13 @@ TURN = 0.2
 #: Weight of the planes that hold borders.
 BORDER_WEIGHT = 10.0
 
+#: Vertices that a tile should hold, and the most that one may: those of fuller ones wait for the rounds.
+TILE, MOST = 8192, 1 << 18
+#: A pass takes vertices of a mesh's cheapest part of one in so many, or within four steps of the cheapest; it ends after so many contests.
+PART, INNER = 4, 8
+#: Parts of a step, by hash, that the counts tell apart.
+SPLIT = 16
+
 #: Upper triangle of a plane's outer product.
 TERMS = [(i, j) for i in range(4) for j in range(i, 4)]
 Q = [f"q{i}{j}" for i, j in TERMS]
@@ -165,7 +176,251 @@ def _applied(faces: DataFrame, corners: DataFrame, star: DataFrame, moves: DataF
     return out.withColumns(new).select(*faces.columns), _summed(stay.unionByName(given))
 
 
-def decimate(v: DataFrame, f: DataFrame, ratio: float, limit: float | DataFrame = math.inf, lock_border: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+CELL = ["tx", "ty", "tz"]
+_SPOT = [f"{a}{k}" for k in range(3) for a in AXES]
+#: Rows of a tile: faces (id, v0.., c0..c8), vertices (id, c0.. place, w and quadric), counts of costs (id of them at v0), ends (id faces less, c0 the
+#: largest cost), moves (id to v0, v1 the step, v2 the tie, c0.. the place, c3 the cost).
+FACE, VERTEX, COUNT, END, MOVE = range(5)
+_REST = ["v0", "v1", "v2", *[f"c{i}" for i in range(14)]]
+
+
+def _mixed(vid: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of 62 bits."""
+    x = vid.astype(np.uint64) + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
+    for turn, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(turn))) * np.uint64(times)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(2)).astype(np.int64)
+
+
+def _groups(start: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of `of` its group's places, start .. start + size: which of them it was, and the place."""
+    n = size[of]
+    first = np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.arange(len(of)), n), np.arange(len(first)) - first + np.repeat(start[of], n)
+
+
+class _Tile:
+    """Faces (tri, numbers of ids), places, quadrics and weights of a tile; own says which vertices are its own."""
+
+    def __init__(self, faces: pa.Table, vertices: pa.Table, lock: bool):
+        col = lambda t, c: t.column(c).to_numpy()
+        self.fid, self.home, self.lock = col(faces, "fid"), faces.column("home").to_numpy(zero_copy_only=False), lock
+        self.ids, tri = np.unique(np.stack([col(faces, f"v{k}") for k in range(3)], 1), return_inverse=True)
+        self.tri, n = tri.reshape(-1, 3), len(self.ids)
+        self.at, self.q, self.w, self.own = np.zeros((n, 3)), np.zeros((n, 10)), np.zeros(n), np.zeros(n, bool)
+        for k in range(3):
+            self.at[self.tri[:, k]] = np.stack([col(faces, f"{a}{k}") for a in AXES], 1)
+        i = np.searchsorted(self.ids, col(vertices, "vid"))
+        self.own[i], self.w[i], self.q[i] = True, col(vertices, "w"), np.stack([col(vertices, c) for c in Q], 1)
+        self.top, self.tiny, self.last = (col(vertices, c)[0] for c in ("top", "tiny", "last"))
+
+    def edges(self) -> None:
+        """a, b, n: both directions of each edge, by a and b, with the number of its faces; start and deg of each a's."""
+        n = len(self.ids)
+        one, two = self.tri.ravel(), np.roll(self.tri, -1, 1).ravel()
+        key, times = np.unique(np.minimum(one, two) * n + np.maximum(one, two), return_counts=True)
+        a, b = np.concatenate([key // n, key % n]), np.concatenate([key % n, key // n])
+        self.key = a * n + b
+        order = np.argsort(self.key)
+        self.key, self.a, self.b, self.n = self.key[order], a[order], b[order], np.concatenate([times, times])[order]
+        self.deg = np.bincount(self.a, minlength=n)
+        self.start = np.cumsum(self.deg) - self.deg
+        self.rim, self.knot = (np.bincount(self.a, x, n) > 0 for x in (self.n == 1, self.n > 2))
+        h = np.concatenate([self.at[self.b], np.ones((len(self.b), 1))], 1)
+        cost = sum(self.q[self.a, t] * h[:, i] * h[:, j] * (1.0 if i == j else 2.0) for t, (i, j) in enumerate(TERMS))
+        self.cost = np.maximum(0.0, cost / np.maximum(self.w[self.a], 1e-300))
+        self.step = np.floor(2 * np.log2(np.maximum(self.cost, self.tiny))).astype(np.int64)
+        self.may = self.own[self.a] & ~self.knot[self.a] & ((~self.rim[self.a] & (self.n == 2)) | ((self.n == 1) & (not self.lock))) & (self.cost <= self.top * self.top)
+
+    def costs(self, salt: int) -> np.ndarray:
+        """The least step of each own vertex's collapses, in parts."""
+        least = np.full(len(self.ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.a[self.may], self.step[self.may])
+        some = least < np.iinfo(np.int64).max
+        return least[some] * SPLIT + _mixed(self.ids[some], salt) % SPLIT
+
+    def moves(self, salt: int, last: float) -> tuple[np.ndarray, np.ndarray]:
+        """Edges' numbers and ties of the collapses that go together, the cheapest first."""
+        n, tie = len(self.ids), _mixed(self.ids, salt)
+        free = self.own.copy()
+        free[self.tri[~self.own[self.tri].all(1)]] = False
+        e = np.flatnonzero(self.may & free[self.a] & (self.step * SPLIT + tie[self.a] % SPLIT <= last))
+        a, b = self.a[e], self.b[e]
+        # b keeps a face of its own, and a tetrahedron stays one
+        e = e[(self.deg[b] - self.rim[b] > self.n[e]) & ((self.deg[a] != 3) | (self.deg[b] != 3) | self.rim[a] | self.rim[b])]
+        which, x = _groups(self.start, self.deg, self.a[e])
+        want = self.b[e][which] * n + self.b[x]
+        both = self.key[np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)] == want
+        e = e[np.bincount(which, both, len(e)) == self.n[e]]
+        order = np.argsort(self.tri.ravel(), kind="stable")
+        faces = np.bincount(self.tri.ravel(), minlength=n)
+        which, x = _groups(np.cumsum(faces) - faces, faces, self.a[e])
+        f, k = order[x] // 3, order[x] % 3
+        u, v, to = self.tri[f, (k + 1) % 3], self.tri[f, (k + 2) % 3], self.b[e][which]
+        stay = (u != to) & (v != to)
+        which, u, v, to = which[stay], u[stay], v[stay], to[stay]
+        old, new = (np.cross(self.at[u] - self.at[p], self.at[v] - self.at[p]) for p in (self.a[e][which], to))
+        oo, on, nn = (old * old).sum(1), (old * new).sum(1), (new * new).sum(1)
+        e = e[np.bincount(which, (oo > 0) & (on <= TURN * np.sqrt(oo * nn)), len(e)) == 0]
+        e = e[np.lexsort((self.b[e], self.cost[e], self.a[e], tie[self.a[e]], self.step[e]))]
+        e = e[np.sort(np.unique(self.a[e], return_index=True)[1])]
+        which, x = _groups(self.start, self.deg, self.a[e])
+        which, x = np.concatenate([np.arange(len(e)), which]), np.concatenate([self.a[e], self.b[x]])
+        low = np.full(n, len(e))
+        np.minimum.at(low, x, which)
+        e = e[np.bincount(which, low[x] < which, len(e)) == 0]
+        return e, tie[self.a[e]]
+
+    def apply(self, e: np.ndarray) -> None:
+        a, b, to = self.a[e], self.b[e], np.arange(len(self.ids))
+        to[a] = b
+        np.add.at(self.q, b, self.q[a])
+        np.add.at(self.w, b, self.w[a])
+        self.own[a] = False
+        tri = to[self.tri]
+        left = (tri[:, 0] != tri[:, 1]) & (tri[:, 1] != tri[:, 2]) & (tri[:, 2] != tri[:, 0])
+        self.tri, self.fid, self.home = tri[left], self.fid[left], self.home[left]
+
+
+def _in_tile(faces: pa.Table, vertices: pa.Table, salt: int, lock: bool, form: pa.Schema, mode: int) -> pa.Table:
+    t, out, mesh = _Tile(faces, vertices, lock), [], faces.column("mesh_id")[0]
+
+    def rows(kind: int, ids: np.ndarray, **more: np.ndarray) -> None:
+        given = {"mesh_id": pa.repeat(mesh, len(ids)), "kind": pa.repeat(pa.scalar(kind, pa.int32()), len(ids)), "id": pa.array(ids, pa.int64())} | {c: pa.array(x) for c, x in more.items()}
+        out.append(pa.table([given[f.name] if f.name in given else pa.nulls(len(ids), f.type) for f in form], schema=form))
+
+    def places(x: np.ndarray) -> dict:
+        return {f"c{i}": np.ascontiguousarray(x[:, i]) for i in range(x.shape[1])}
+
+    t.edges()
+    if mode == MOVE:
+        e, tie = t.moves(salt, math.inf)
+        rows(MOVE, t.ids[t.a[e]], v0=t.ids[t.b[e]], v1=t.step[e], v2=tie, **places(np.concatenate([t.at[t.b[e]], t.cost[e][:, None]], 1)))
+        return pa.concat_tables(out)
+    if mode == FACE:
+        before, worst = len(t.fid), 0.0
+        left = int((t.costs(salt) <= t.last).sum())
+        for _ in range(INNER):
+            e = t.moves(salt, t.last)[0][:left]
+            if not len(e):
+                break
+            few = len(e) * 50 < left
+            left, worst = left - len(e), max(worst, t.cost[e].max())
+            t.apply(e)
+            t.edges()
+            if few:
+                break
+        own = np.flatnonzero(t.own)
+        home = t.tri[t.home]
+        rows(FACE, t.fid[t.home], v0=t.ids[home[:, 0]], v1=t.ids[home[:, 1]], v2=t.ids[home[:, 2]], **places(t.at[home].reshape(-1, 9)))
+        rows(VERTEX, t.ids[own], **places(np.concatenate([t.at[own], t.w[own][:, None], t.q[own]], 1)))
+        rows(END, np.array([before - len(t.fid)]), c0=np.array([worst]))
+    cost, times = np.unique(t.costs(salt + 1), return_counts=True)
+    rows(COUNT, times, v0=cost)
+    return pa.concat_tables(out)
+
+
+def _tiled(faces: DataFrame, corners: DataFrame, state: DataFrame, salt: int, lock: bool, mode: int, tile: int, most: int) -> DataFrame:
+    """Rows of all tiles; with mode FACE also the faces and vertices of those that are too full. state: with last, null for meshes that rest."""
+    spot = [F.col(a) for a in AXES]
+    fine = corners.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest(*[F.abs(c) for c in spot])).alias("reach"))
+    fine = cut(fine.where("reach > 0").join(state.where("last IS NOT NULL").select("mesh_id", "top", "tiny", "last"), "mesh_id"))
+    used = corners.select("mesh_id", *AXES).join(F.broadcast(fine), "mesh_id").groupBy("mesh_id").agg(F.approx_count_distinct(F.struct(*[F.floor(c / F.col("reach") * 32) for c in spot])).alias("used"))
+    # a surface is taken for flat: cells of twice the side hold four times the vertices
+    side = F.col("reach") / 32 * F.sqrt(F.lit(float(tile)) * F.col("used") / F.col("n"))
+    fine = F.broadcast(cut(fine.join(used, "mesh_id").select("mesh_id", side.alias("side"), "top", "tiny", "last")))
+    moved = dict(zip(AXES, ((salt * x) % 1.0 for x in (0.618033988749895, 0.754877666246693, 0.569840290998053)), strict=True))
+    cell = lambda k: F.struct(*[F.floor(F.col(f"{a}{k}") / F.col("side") + moved[a]).cast("long").alias(c) for a, c in zip(AXES, CELL, strict=True)])
+    mine = corners.join(fine, "mesh_id").select("*", cell("").alias("t")).select("mesh_id", "vid", *AXES, "w", *Q, "top", "tiny", "last", "t.*")
+    theirs = faces.join(fine, "mesh_id").select("mesh_id", "fid", "v0", "v1", "v2", *_SPOT, cell(0).alias("own"), F.explode(F.array_distinct(F.array(*[cell(k) for k in range(3)]))).alias("t"))
+    theirs = theirs.select("mesh_id", "fid", "v0", "v1", "v2", *_SPOT, (F.col("own") == F.col("t")).alias("home"), "t.*")
+    by = ["mesh_id", *CELL]
+    full = cut(mine.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*by))
+    over = not full.isEmpty()
+    light = [x.join(F.broadcast(full), by, "left_anti") if over else x for x in (theirs, mine)]
+    kind = faces.schema["mesh_id"].dataType.simpleString()
+    form = f"mesh_id {kind}, kind int, id long, v0 long, v1 long, v2 long, " + ", ".join(f"c{i} double" for i in range(14))
+    schema = pa.schema([("mesh_id", pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), *[(f"v{k}", pa.int64()) for k in range(3)], *[(f"c{i}", pa.float64()) for i in range(14)]])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _in_tile(left, right, salt, lock, schema, mode)
+
+    light[1] = light[1].select("mesh_id", "vid", *AXES, "w", *Q, "top", "tiny", "last", *CELL)
+    out = light[0].groupBy(*by).cogroup(light[1].groupBy(*by)).applyInArrow(run, form)
+    if mode == FACE:
+        rest = [x.join(fine.select("mesh_id"), "mesh_id", "left_anti").drop("top", "tiny", "last") for x in (faces, corners)]
+        if over:
+            kept = [x.join(F.broadcast(full), by, "left_semi") for x in (theirs.where("home"), mine)]
+            rest = [r.unionByName(x.select(*r.columns)) for r, x in zip(rest, kept, strict=True)]
+        none = F.lit(None)
+        out = out.union(rest[0].select("mesh_id", F.lit(FACE), "fid", "v0", "v1", "v2", *_SPOT, *[none] * 5)).union(rest[1].select("mesh_id", F.lit(VERTEX), "vid", *[none] * 3, *AXES, "w", *Q))
+    return cut(out)
+
+
+def _faces(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("kind") == FACE).select("mesh_id", F.col("id").alias("fid"), "v0", "v1", "v2", *[F.col(f"c{i}").alias(c) for i, c in enumerate(_SPOT)])
+
+
+def _vertices(rows: DataFrame) -> DataFrame:
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(rows._cut_path)  # read anew: tiles join it with the faces
+    return rows.where(F.col("kind") == VERTEX).select("mesh_id", F.col("id").alias("vid"), *[F.col(f"c{i}").alias(c) for i, c in enumerate([*AXES, "w", *Q])])
+
+
+def _bounds(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """state with last, the largest cost (in parts of steps) of the next pass: no more vertices than may go; null if there is none."""
+    have = rows.where(F.col("kind") == COUNT).groupBy("mesh_id", F.col("v0").alias("cost")).agg(F.sum("id").alias("k"))
+    own = Window.partitionBy("mesh_id")  # a mesh has some thousand parts of steps
+    have = have.withColumn("upto", F.sum("k").over(own.orderBy("cost"))).withColumn("all", F.sum("k").over(own)).withColumn("low", F.min("cost").over(own))
+    ok = (2 * F.col("upto") <= F.col("faces") - F.col("target")) & ((F.col("cost") <= F.col("low") + 4 * SPLIT) | (F.col("upto") <= F.col("all") / PART))
+    last = have.join(state.drop("last"), "mesh_id").where(ok).groupBy("mesh_id").agg(F.max("cost").cast("double").alias("last"))
+    return cut(state.drop("last").join(last, "mesh_id", "left"))
+
+
+def _by_tiles(faces: DataFrame, corners: DataFrame, state: DataFrame, lock: bool, tile: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Faces, vertices and state after the passes by tiles, and the next salt. A mesh may reach its target, and never passes it by more than a face."""
+    salt = 1
+    rows = _tiled(faces, corners, state.withColumn("last", F.when(F.col("faces") > F.col("target"), F.lit(0.0))), salt - 1, lock, COUNT, tile, most)
+    state, held = _bounds(rows, state), [faces, corners]
+    forget(rows)
+    while state.where("last IS NOT NULL").limit(1).count():
+        rows = _tiled(faces, corners, state, salt, lock, FACE, tile, most)
+        ends = rows.where(F.col("kind") == END).groupBy("mesh_id").agg(F.sum("id").alias("less"), F.sqrt(F.max("c0")).alias("worst"))
+        new = cut(state.join(ends, "mesh_id", "left").withColumn("less", F.coalesce("less", F.lit(0))))
+        on = new.where("last IS NOT NULL AND less * 16 >= faces - target AND faces - less - target > faces / 512").select("mesh_id")
+        forget(*held, state)
+        faces, corners, held = _faces(rows), _vertices(rows), [rows]
+        state = cut(new.select("mesh_id", (F.col("faces") - F.col("less")).alias("faces"), "target", "top", "tiny", F.greatest("error", F.coalesce("worst", F.lit(0.0))).alias("error")))
+        salt += 1
+        state = _bounds(rows.join(on, "mesh_id", "left_semi"), state)
+    # what is left to the targets: sets of collapses of any cost, of which the cheapest go
+    state = cut(state.drop("last"))
+    while state.where("faces > target").limit(1).count():
+        rows = _tiled(faces, corners, state.withColumn("last", F.when(F.col("faces") > F.col("target"), F.lit(0.0))), salt, lock, MOVE, tile, most)
+        found = rows.select("mesh_id", F.col("id").alias("a"), F.col("v0").alias("b"), F.col("v1").alias("step"), F.col("v2").alias("tie"), *[F.col(f"c{i}").alias(f"b{a}") for i, a in enumerate(AXES)], F.col("c3").alias("cost"))
+        few = state.where("faces - target <= faces / 256").select("mesh_id")
+        found = cut(found.join(few, "mesh_id", "left_semi").union(_cheap(found.join(few, "mesh_id", "left_anti")).select(*found.columns)))
+        moves = _limited(found, state)
+        salt += 1
+        if moves is None:
+            break
+        faces, corners, state = _moved(faces, corners, _star(faces), state, moves)
+        forget(*held, rows, found, moves)
+        held = [faces, corners]
+    return faces, corners, state, salt
+
+
+def _moved(faces: DataFrame, corners: DataFrame, star: DataFrame, state: DataFrame, moves: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    if moves is None:
+        return faces, corners, state
+    next_faces, next_corners = (cut(x) for x in _applied(faces, corners, star, moves))
+    worst = moves.groupBy("mesh_id").agg(F.sqrt(F.max("cost")).alias("worst"))
+    left = next_faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("left"))
+    next_state = cut(state.join(left, "mesh_id").join(worst, "mesh_id", "left").select("mesh_id", F.col("left").alias("faces"), "target", "top", "tiny", F.greatest("error", F.coalesce("worst", F.lit(0.0))).alias("error")))
+    forget(faces, corners, state)
+    return next_faces, next_corners, next_state
+
+
+def decimate(v: DataFrame, f: DataFrame, ratio: float, limit: float | DataFrame = math.inf, lock_border: bool = False, tile: int = TILE, most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vertices and faces left, numbered anew, and per mesh the largest error of a collapse (mesh_id, error).
 
     ratio: share of faces to keep, 1e-4 to 1; a mesh ends with that many faces (rounded down, at least one) or one less, or before if
@@ -181,12 +436,13 @@ def decimate(v: DataFrame, f: DataFrame, ratio: float, limit: float | DataFrame
     real = v.select("mesh_id", "vid", *[F.col(a).cast("double").alias(a) for a in AXES]).where(" AND ".join(f"abs({a}) < double('infinity')" for a in AXES)).dropDuplicates(["mesh_id", "vid"])
     whole = f.select("mesh_id", "fid", "v0", "v1", "v2").where("v0 != v1 AND v1 != v2 AND v2 != v0")
     c = corners_of(real, whole).where(" AND ".join(f"v{k} IS NOT NULL" for k in range(3))).join(box, "mesh_id")
-    faces = cut(c.select("mesh_id", "fid", "v0", "v1", "v2", *[(F.col(f"{a}{k}") - F.col(f"center_{a}")).alias(f"{a}{k}") for k in range(3) for a in AXES]))
+    faces = cut(c.select("mesh_id", *[F.col(i).cast("long").alias(i) for i in ("fid", "v0", "v1", "v2")], *[(F.col(f"{a}{k}") - F.col(f"center_{a}")).alias(f"{a}{k}") for k in range(3) for a in AXES]))
     n = faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("faces")).join(box.select("mesh_id", "diagonal"), "mesh_id")
     n = n.join(limit.select("mesh_id", F.col("limit").cast("double").alias("top")), "mesh_id", "left") if isinstance(limit, DataFrame) else n.withColumn("top", F.lit(float(limit)))
     state = cut(n.select("mesh_id", "faces", F.greatest(F.lit(1), F.floor(F.col("faces") * ratio)).cast("long").alias("target"), F.coalesce("top", F.lit(-1.0)).alias("top"), F.greatest(F.pow(1e-7 * F.col("diagonal"), 2), F.lit(1e-300)).alias("tiny"), F.lit(0.0).alias("error")).withColumn("target", F.when(F.col("top") < 0, F.col("faces")).otherwise(F.col("target"))))
     corners = cut(_quadrics(faces))
-    idle, salt = 0, 0
+    faces, corners, state, salt = _by_tiles(faces, corners, state, lock_border, tile, most)
+    idle = 0
     while idle < IDLE and state.where("faces > target").limit(1).count():
         salt += 1
         star = _star(faces)
@@ -200,12 +456,8 @@ def decimate(v: DataFrame, f: DataFrame, ratio: float, limit: float | DataFrame
             forget(near, cand, choice, made)
             continue
         idle = 0
-        next_faces, next_corners = (cut(x) for x in _applied(faces, corners, star, moves))
-        worst = moves.groupBy("mesh_id").agg(F.sqrt(F.max("cost")).alias("worst"))
-        left = next_faces.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("left"))
-        next_state = cut(state.join(left, "mesh_id").join(worst, "mesh_id", "left").select("mesh_id", F.col("left").alias("faces"), "target", "top", "tiny", F.greatest("error", F.coalesce("worst", F.lit(0.0))).alias("error")))
-        forget(near, cand, choice, made, moves, faces, corners, state)
-        faces, corners, state = next_faces, next_corners, next_state
+        faces, corners, state = _moved(faces, corners, star, state, moves)
+        forget(near, cand, choice, made, moves)
     return *compact(v, faces.select("mesh_id", "fid", "v0", "v1", "v2")), state.select("mesh_id", "error")
 
 

@@ -101,6 +101,24 @@ def test_decimation_of_awkward_rows(spark):
     assert nf.count() == 18 and nv.count() == 16
 
 
+def test_most_collapses_go_in_tiles_and_few_rounds_join(spark, monkeypatch):
+    points, faces = [(x, y, math.sin(x * 1.7) + math.sin(y * 1.1 + x)) for x, y, _ in sheet(26)[0]], sheet(26)[1]
+    rounds, sound = [], decimation._sound
+    monkeypatch.setattr(decimation, "_sound", lambda *a: rounds.append(1) or sound(*a))
+    nv, nf, error = (cut(t) for t in decimation.decimate(*tables(spark, points, faces), 0.6, tile=150))
+    r = health.report(nv, nf, loops=False).first()
+    assert not rounds and abs(r["faces"] - math.floor(0.6 * len(faces))) <= 1
+    assert r["euler_characteristic"] == 1 and r["non_manifold_edges"] == 0 and r["isolated_verts"] == 0 and 0 < error.first()["error"] < 1
+    assert {(p["x"], p["y"], p["z"]) for p in nv.collect()} <= set(points)
+
+
+def test_vertices_of_too_full_tiles_wait_for_the_rounds(spark):
+    points, faces = sphere(10.0, 5, 8)
+    nv, nf, _ = (cut(t) for t in decimation.decimate(*tables(spark, points, faces), 0.97, most=0))
+    r = health.report(nv, nf, loops=False).first()
+    assert abs(r["faces"] - math.floor(0.97 * len(faces))) <= 1 and r["euler_characteristic"] == 2 and r["boundary_edges"] == 0
+
+
 def test_automatic_decimation_by_mesh(spark):
     meshes = {"ball": sphere(10.0, 5, 8), "sheet": sheet(3)}
     v, f = named(spark, meshes)
