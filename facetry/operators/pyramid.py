@@ -28,6 +28,8 @@ BOX = [f"{g}{a}" for g in ("lo", "hi") for a in AXES]
 CORNERS = [f"{a}{k}" for k in range(3) for a in AXES]
 #: Cells are no smaller than 2 ** -FINEST of their coordinates.
 FINEST = 40
+#: Levels above a node's own that are made one of the other.
+CLIMBS = 3
 #: Rounding of a distance or logarithm must not lose a node.
 SLACK = 1 + 1e-9
 
@@ -84,10 +86,16 @@ class Pyramid:
         box = [g(f"{n}{a}").alias(f"{n}{a}") for n, g in (("lo", F.min), ("hi", F.max)) for a in AXES]
         corner = F.min(F.struct("fid", *_at(("x0", "y0", "z0")))).alias("r")
         own = self.triangles.groupBy(*NODE).agg(*box, corner, F.count(F.lit(1)).alias("n"))
-        # a node goes up into all cells around it: so many rows as levels are above it, but of nodes, not of triangles
-        up = own.withColumn("at", F.explode(F.expr(f"sequence(l, {self.top})")))
-        up = up.select("mesh_id", F.col("at").alias("l"), *[F.expr(f"shiftright({c}, at - l)").alias(c) for c in CELLS], *BOX, "r", F.expr("if(at = l, n, 0)").alias("own"), F.expr("if(at = l, 0, n)").alias("finer"))
-        nodes = up.groupBy(*NODE).agg(*box, F.min("r").alias("r"), F.sum("own").alias("own"), F.sum("finer").alias("finer"))
+        # a node goes up into all cells around it. A few levels are made of those below, so that what goes up to all the others is little
+        own = made = cut(own)
+        steps = [own.select(*NODE, *BOX, "r", F.col("n").alias("own"), F.lit(0).cast("long").alias("finer"))]
+        for _ in range(CLIMBS):
+            made = made.where(F.col("l") < self.top).select("mesh_id", (F.col("l") + 1).alias("l"), *[F.shiftright(c, 1).alias(c) for c in CELLS], *BOX, "r", "n")
+            made = cut(made.groupBy(*NODE).agg(*box, F.min("r").alias("r"), F.sum("n").alias("n")))
+            steps.append(made.select(*NODE, *BOX, "r", F.lit(0).cast("long").alias("own"), F.col("n").alias("finer")))
+        up = made.where(F.col("l") < self.top).withColumn("at", F.explode(F.expr(f"sequence(l + 1, {self.top})")))
+        steps.append(up.select("mesh_id", F.col("at").alias("l"), *[F.expr(f"shiftright({c}, at - l)").alias(c) for c in CELLS], *BOX, "r", F.lit(0).cast("long").alias("own"), F.col("n").alias("finer")))
+        nodes = reduce(DataFrame.union, steps).groupBy(*NODE).agg(*box, F.min("r").alias("r"), F.sum("own").alias("own"), F.sum("finer").alias("finer"))
         self.nodes = cut(nodes.select(*NODE, *BOX, F.col("r.x0").alias("rx"), F.col("r.y0").alias("ry"), F.col("r.z0").alias("rz"), "own", "finer"))
 
     def side(self, level: Column) -> Column:
@@ -166,5 +174,21 @@ class Pyramid:
             size = F.abs("in") + F.abs("out")
             return met.where((F.col("in") <= F.col("out") + F.when(size < math.inf, 1e-9 * size + 1e-12).otherwise(0.0)) & (F.col("out") >= 0) & (F.col("in") <= reach))
 
-        front = rays.join(self.boxes.select("mesh_id", F.col("top").alias("l")).join(self.nodes, ["mesh_id", "l"]), "mesh_id").withColumn("down", F.lit(True))
+        # searches begin where cells are as long as the ray's way through the mesh's box, and look at the own triangles of coarser cells there
+        o, d = _at(AXES), _at(f"d{a}" for a in AXES)
+        at = rays.join(self.boxes.select("mesh_id", *[F.col(f"b{c}").alias(c) for c in BOX], "levels", "top"), "mesh_id")
+        at = at.withColumn("in", F.greatest(near, F.lit(0.0))).withColumn("out", F.least(far, F.lit(float(reach))))
+        slack = 1e-9 * (F.abs("in") + F.abs("out")) + 1e-12
+        at = at.withColumns({"in": F.col("in") - slack, "out": F.col("out") + slack}).where("in <= out AND out < double('infinity')")
+        ends = [[x + F.col(t) * k for t in ("in", "out")] for x, k in zip(o, d, strict=True)]
+        slacks = [1e-9 * (F.abs(p) + F.abs(q)) for p, q in ends]
+        at = at.withColumns({f"{g}{a}": x for a, e, z in zip(AXES, ends, slacks, strict=True) for g, x in (("·a", F.least(*e) - z), ("·b", F.greatest(*e) + z))})
+        long = F.greatest(*[F.col(f"·b{a}") - F.col(f"·a{a}") for a in AXES], F.lit(1e-200))
+        at = at.withColumn("start", F.greatest(F.lit(self.low), F.least(F.ceil(F.log2(long / self.cell) + 1e-9), F.col("top"))).cast("int"))
+        at = at.withColumn("l", F.explode(F.concat(F.array("start"), F.filter("levels", lambda x: x > F.col("start"))))).withColumn("down", F.col("l") == F.col("start"))
+        for a in AXES:
+            first = F.greatest(self.index(F.col(f"·a{a}"), F.col("l")) - 1, self.index(F.col(f"lo{a}"), F.col("l")))
+            last = F.least(self.index(F.col(f"·b{a}"), F.col("l")), self.index(F.col(f"hi{a}"), F.col("l")))
+            at = at.withColumns({"·f": first, "·t": last}).where(F.col("·f") <= F.col("·t")).withColumn(f"c{a}", F.explode(F.sequence("·f", "·t")))
+        front = at.select(*own, "l", *CELLS, "down").join(self.nodes, NODE)
         return self._rounds(front, own, kept)

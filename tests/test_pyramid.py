@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from facetry.operators import spatial
 from facetry.operators.pyramid import Pyramid
@@ -146,3 +147,33 @@ def test_no_faces(spark):
     points = spark.createDataFrame([("m", 0, 6.0, 1.0, 1.0)], SCHEMA)
     (r,) = spatial.closest(points, v, f.limit(0)).collect()
     assert r["distance"] is None and spatial.within(points, v, f.limit(0), 10.0).count() == 0
+
+
+def test_rays_begin_at_the_level_of_their_way_through_the_box(spark, monkeypatch):
+    n = 40
+    points = [(float(x), float(y), 0.1 * ((x * 7 + y * 3) % 5)) for y in range(n) for x in range(n)]
+    faces = [t for y in range(n - 1) for x in range(n - 1) for a in [y * n + x] for t in ((a, a + 1, a + n + 1), (a, a + n + 1, a + n))]
+    v = spark.createDataFrame([("m", i, *p) for i, p in enumerate(points)], "mesh_id string, vid long, x double, y double, z double")
+    f = spark.createDataFrame([("m", i, *t) for i, t in enumerate(faces)], "mesh_id string, fid long, v0 long, v1 long, v2 long")
+    down = [("m", i, x + 0.25, x + 0.5, 9.0, 0.0, 0.0, -1.0) for i, x in enumerate((0.0, 17.0, 38.0))]
+    rays = spark.createDataFrame(down + [("m", 7, -3.0, 5.3, 0.2, 1.0, 0.0, 0.0), ("m", 8, 9.0, 9.0, 9.0, 0.0, 0.0, 1.0)], "mesh_id string, pid long, x double, y double, z double, dx double, dy double, dz double")
+    fronts, rounds = [], Pyramid._rounds
+    monkeypatch.setattr(Pyramid, "_rounds", lambda self, front, *a: fronts.append((self.top, front)) or rounds(self, front, *a))
+    found = {r["pid"]: r["t"] for r in spatial.ray_cast(rays, v, f).collect()}
+    top, front = fronts[0]
+    assert front.where("pid < 7").agg(F.max("l")).first()[0] < top and front.where("pid = 7").agg(F.max("l")).first()[0] == top
+    assert set(found) == {0, 1, 2, 7} and found[7] >= 3
+
+    def hit(o, d):
+        best = math.inf
+        for a, b, c in faces:
+            p, e1, e2 = np.array(points[a]), np.subtract(points[b], points[a]), np.subtract(points[c], points[a])
+            m = np.stack([e1, e2, -np.array(d)], 1)
+            if abs(np.linalg.det(m)) > 1e-12:
+                u, w, t = np.linalg.solve(m, np.array(o) - p)
+                if u >= 0 and w >= 0 and u + w <= 1 and 1e-6 < t < best:
+                    best = t
+        return best
+
+    for r in rays.where("pid < 8").collect():
+        assert found[r["pid"]] == pytest.approx(hit(r[2:5], r[5:8]))
