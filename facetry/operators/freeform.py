@@ -388,21 +388,50 @@ def cubic_net(nodes: DataFrame) -> DataFrame:
     return cut(half.groupBy("mesh_id", "i").applyInPandas(solve("j"), form))
 
 
-def on_cubic_net(at: DataFrame, net: DataFrame) -> DataFrame:
-    """at(mesh_id, pid, u, v) with x, y, z of the surface of cubic_net() there; parameters are moved into 0 to 1, those that are null or of a mesh without a net have no row."""
+#: Control points along each side of a block in on_cubic_net(), and the places that a task takes at once: fuller blocks are dealt over several.
+NET_BLOCK, NET_PLACES = 64, 1 << 16
+
+
+def on_cubic_net(at: DataFrame, net: DataFrame, most: int = NET_PLACES) -> DataFrame:
+    """at(mesh_id, pid, u, v) with x, y, z of the surface of cubic_net() there; parameters are moved into 0 to 1, those that are null or of a mesh without a net have no row.
+
+    Places meet the blocks of control points that their sixteen begin in; blocks reach three further, so no place travels more than once.
+    """
     size = net.groupBy("mesh_id").agg(F.max("i").alias("columns"), F.max("j").alias("rows"))
     kinds = {c: at.schema[c].dataType.simpleString() for c in ("mesh_id", "pid")}
 
-    def spread(batches):
+    def located(batches):
         for rows in batches:
             for (columns, lines), some in rows.groupby(["columns", "rows"]):
-                (i, a), (j, b) = local_basis(columns, some["u"]), local_basis(lines, some["v"])
-                k, m = np.divmod(np.arange(16), 4)
-                yield pd.DataFrame({"mesh_id": np.repeat(some["mesh_id"].to_numpy(), 16), "pid": np.repeat(some["pid"].to_numpy(), 16), "i": (i[:, None] + k).ravel(), "j": (j[:, None] + m).ravel(), "w": (a[:, k] * b[:, m]).ravel()})
-
-    p = at.where("u IS NOT NULL AND v IS NOT NULL AND NOT isnan(u) AND NOT isnan(v)").select("mesh_id", "pid", "u", "v").join(size, "mesh_id")
-    w = p.mapInPandas(spread, f"mesh_id {kinds['mesh_id']}, pid {kinds['pid']}, i long, j long, w double")
-    return w.join(net, ["mesh_id", "i", "j"]).groupBy("mesh_id", "pid").agg(*[F.sum(F.col("w") * F.col(a)).alias(a) for a in AXES])
+                (i, _), (j, _) = local_basis(columns, some["u"]), local_basis(lines, some["v"])
+                yield some.assign(bi=i // NET_BLOCK, bj=j // NET_BLOCK)
+
+    p = at.where("u IS NOT NULL AND v IS NOT NULL AND NOT isnan(u) AND NOT isnan(v)").select("mesh_id", "pid", "u", "v").join(F.broadcast(size), "mesh_id")
+    p = cut(p.mapInPandas(located, f"mesh_id {kinds['mesh_id']}, pid {kinds['pid']}, u double, v double, columns long, rows long, bi long, bj long"))
+    block = ["mesh_id", "bi", "bj"]
+    full = F.broadcast(cut(p.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts")).where("parts > 1")))
+    p = p.join(full, block, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("pid", "u", "v"), F.col("parts")), F.lit(0).cast("long"))).drop("parts")
+    # a block's sixteens begin in it, and end up to three control points beyond
+    n = net
+    for c in "ij":
+        n = n.withColumn(f"b{c}", F.explode(F.array_distinct(F.array(F.floor((F.greatest(F.col(c), F.lit(3)) - 3) / NET_BLOCK), F.floor(F.col(c) / NET_BLOCK)))))
+    n = n.join(full, block, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
+
+    def run(places: pa.Table, held: pa.Table) -> pa.Table:
+        out = np.zeros((len(places), 3))
+        if len(places):
+            first = places.slice(0, 1).to_pylist()[0]
+            (i, a), (j, b) = (local_basis(first[n], places.column(t).to_numpy()) for n, t in (("columns", "u"), ("rows", "v")))
+            low = first["bi"] * NET_BLOCK, first["bj"] * NET_BLOCK
+            points = np.full((NET_BLOCK + 3, NET_BLOCK + 3, 3), np.nan)
+            points[held.column("i").to_numpy() - low[0], held.column("j").to_numpy() - low[1]] = np.stack([held.column(c).to_numpy() for c in AXES], 1)
+            for k in range(4):
+                for m in range(4):
+                    out += (a[:, k] * b[:, m])[:, None] * points[i + k - low[0], j + m - low[1]]
+        return pa.table({"mesh_id": places.column("mesh_id"), "pid": places.column("pid")} | {c: pa.array(out[:, k]) for k, c in enumerate(AXES)})
+
+    by = [*block, "part"]
+    return p.groupBy(*by).cogroup(n.groupBy(*by)).applyInArrow(run, f"mesh_id {kinds['mesh_id']}, pid {kinds['pid']}, x double, y double, z double")
 
 
 def full_grid(points: DataFrame, mesh_id: str, **settings) -> np.ndarray:
