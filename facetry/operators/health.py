@@ -29,7 +29,7 @@ def degenerate_faces(v: DataFrame, f: DataFrame) -> DataFrame:
 
 
 def remove_degenerate(v: DataFrame, f: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return compact(v, f.join(degenerate_faces(v, f), KEY, "left_anti"))
+    return compact(v, cut(f.join(degenerate_faces(v, f), KEY, "left_anti")))
 
 
 def duplicate_faces(f: DataFrame) -> DataFrame:
