@@ -33,6 +33,34 @@ def smooth_groups(normals: np.ndarray, cosine: float = CREASE) -> np.ndarray:
     return label[back.ravel()]
 
 
+#: Corners of a vertex that are compared with those of others at once; larger vertices are grouped one by one.
+WIDE = 32
+
+
+def smooth_groups_of(normals: np.ndarray, size: np.ndarray, cosine: float = CREASE) -> np.ndarray:
+    """smooth_groups() of many vertices, whose unit normals lie one after the other, so many of each."""
+    start, out = np.cumsum(size) - size, np.zeros(len(normals), np.int64)
+    for d in np.unique(size):
+        first = start[size == d]
+        if d > WIDE:
+            for s in first:
+                out[s : s + d] = smooth_groups(normals[s : s + d], cosine)
+            continue
+        place = first[:, None] + np.arange(d)
+        n = normals[place]
+        order = np.lexsort((n[:, :, 2], n[:, :, 1], n[:, :, 0]), axis=1)
+        place, n = np.take_along_axis(place, order, 1), np.take_along_axis(n, order[:, :, None], 1)
+        near = (n @ n.transpose(0, 2, 1) >= cosine) | (n[:, :, None] == n[:, None]).all(3)
+        label = np.broadcast_to(np.arange(d), place.shape)
+        while True:
+            least = np.where(near, label[:, None, :], d).min(2)
+            if np.array_equal(least, label):
+                break
+            label = least
+        out[place] = np.take_along_axis(np.cumsum(label == np.arange(d), 1) - 1, label, 1)
+    return out
+
+
 def crease_split(v: DataFrame, f: DataFrame, keys: DataFrame | None = None, cosine: float = CREASE) -> tuple[DataFrame, DataFrame]:
     """Render vertices (mesh_id, rid, vid, fid, nx, ny, nz) and faces (mesh_id, fid, r0, r1, r2).
 
@@ -48,18 +76,19 @@ def crease_split(v: DataFrame, f: DataFrame, keys: DataFrame | None = None, cosi
 
     def run(batches):
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("mesh_id", "vid", "fid", "k", "key", "part", "nx", "ny", "nz")}
-            for r in b.to_pylist():
-                c = np.array([x["c"] for x in r["corners"]])
-                size = np.linalg.norm(c, axis=1, keepdims=True)
-                part = smooth_groups(np.where(size > 1e-20, c / np.maximum(size, 1e-20), 0.0), cosine)
-                total = np.stack([np.bincount(part, weights=c[:, i]) for i in range(3)], 1)
-                length = np.linalg.norm(total, axis=1, keepdims=True)
-                n = np.where(length > 1e-20, total / np.maximum(length, 1e-20), 0.0)[part]
-                for x, p, m in zip(r["corners"], part.tolist(), n.tolist(), strict=True):
-                    for name, value in zip(out, (r["mesh_id"], r["vid"], x["fid"], x["k"], x["key"], p, *m), strict=True):
-                        out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.float64()] * 3), strict=True)], names=list(out))
+            at = b.column("corners")
+            corner, size = at.flatten(), np.diff(at.offsets.to_numpy())
+            row = np.repeat(np.arange(len(at)), size)
+            c = corner.field("c").flatten().to_numpy().reshape(-1, 3)
+            length = np.linalg.norm(c, axis=1, keepdims=True)
+            part = smooth_groups_of(np.where(length > 1e-20, c / np.maximum(length, 1e-20), 0.0), size, cosine)
+            _, group = np.unique(row * (int(part.max(initial=0)) + 1) + part, return_inverse=True)
+            total = np.stack([np.bincount(group, weights=c[:, i]) for i in range(3)], 1)
+            length = np.linalg.norm(total, axis=1, keepdims=True)
+            n = np.where(length > 1e-20, total / np.maximum(length, 1e-20), 0.0)[group]
+            rows = {"mesh_id": b.column("mesh_id").take(pa.array(row)), "vid": b.column("vid").take(pa.array(row))} | {x: corner.field(x) for x in ("fid", "k", "key")}
+            rows |= {"part": pa.array(part, pa.int32())} | {f"n{a}": pa.array(n[:, i]) for i, a in enumerate(AXES)}
+            yield pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
 
     corners = cut(around.mapInArrow(run, form))
     own = ["mesh_id", "vid", "part", "key"]
