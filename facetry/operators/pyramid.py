@@ -85,17 +85,18 @@ class Pyramid:
         self.low, self.top = most["low"] or 0, most["top"] or 0
         box = [g(f"{n}{a}").alias(f"{n}{a}") for n, g in (("lo", F.min), ("hi", F.max)) for a in AXES]
         corner = F.min(F.struct("fid", *_at(("x0", "y0", "z0")))).alias("r")
-        own = self.triangles.groupBy(*NODE).agg(*box, corner, F.count(F.lit(1)).alias("n"))
+        # dealt before they are summed: few of a node's lie together, and structs are summed by sorting, which a partial aggregate would do twice
+        own = self.triangles.repartition(*NODE).groupBy(*NODE).agg(*box, corner, F.count(F.lit(1)).alias("n"))
         # a node goes up into all cells around it. A few levels are made of those below, so that what goes up to all the others is little
         own = made = cut(own)
         steps = [own.select(*NODE, *BOX, "r", F.col("n").alias("own"), F.lit(0).cast("long").alias("finer"))]
         for _ in range(CLIMBS):
             made = made.where(F.col("l") < self.top).select("mesh_id", (F.col("l") + 1).alias("l"), *[F.shiftright(c, 1).alias(c) for c in CELLS], *BOX, "r", "n")
-            made = cut(made.groupBy(*NODE).agg(*box, F.min("r").alias("r"), F.sum("n").alias("n")))
+            made = cut(made.repartition(*NODE).groupBy(*NODE).agg(*box, F.min("r").alias("r"), F.sum("n").alias("n")))
             steps.append(made.select(*NODE, *BOX, "r", F.lit(0).cast("long").alias("own"), F.col("n").alias("finer")))
         up = made.where(F.col("l") < self.top).withColumn("at", F.explode(F.expr(f"sequence(l + 1, {self.top})")))
         steps.append(up.select("mesh_id", F.col("at").alias("l"), *[F.expr(f"shiftright({c}, at - l)").alias(c) for c in CELLS], *BOX, "r", F.lit(0).cast("long").alias("own"), F.col("n").alias("finer")))
-        nodes = reduce(DataFrame.union, steps).groupBy(*NODE).agg(*box, F.min("r").alias("r"), F.sum("own").alias("own"), F.sum("finer").alias("finer"))
+        nodes = reduce(DataFrame.union, steps).repartition(*NODE).groupBy(*NODE).agg(*box, F.min("r").alias("r"), F.sum("own").alias("own"), F.sum("finer").alias("finer"))
         self.nodes = cut(nodes.select(*NODE, *BOX, F.col("r.x0").alias("rx"), F.col("r.y0").alias("ry"), F.col("r.z0").alias("rz"), "own", "finer"))
 
     def side(self, level: Column) -> Column:

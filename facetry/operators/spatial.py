@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +63,55 @@ def nearest_points(near: DataFrame) -> DataFrame:
     return near.withColumns(q)
 
 
+def square_distances(p: list[np.ndarray], c: list[list[np.ndarray]]) -> np.ndarray:
+    """with_distance()'s d of points p and triangles c, in the same steps."""
+    with np.errstate(all="ignore"):
+        n = cross(minus(c[1], c[0]), minus(c[2], c[0]))
+        nn = dot(n, n)
+        inside, least = ~(nn <= 0), None
+        for k in range(3):
+            ab, ap = minus(c[(k + 1) % 3], c[k]), minus(p, c[k])
+            long = dot(ab, ab)
+            t = np.where(long > 0, np.fmax(0.0, np.fmin(1.0, dot(ap, ab) / long)), 0.0)
+            inside &= ~(dot(cross(ab, ap), n) < 0)
+            off = [x - t * y for x, y in zip(ap, ab, strict=True)]
+            side = dot(off, off)
+            least = side if least is None else np.fmin(least, side)
+        h = dot(minus(p, c[0]), n)
+        return np.where(inside, h * h / nn, least)
+
+
+def numbered_rows(met: DataFrame) -> DataFrame:
+    """Meetings with a number each, for least_in_tasks() after the join with triangles."""
+    return met.withColumn("·run", F.monotonically_increasing_id())
+
+
+def least_in_tasks(near: DataFrame, *marks: str) -> DataFrame:
+    """mesh_id, pid, marks, d, fid, x, y, z and CORNERS: of near's rows of one meeting (·run) and one value of each of marks (booleans) that of the
+    least square distance, of equal ones the least fid; a meeting may have a row in each of several batches.
+
+    Distances are made with numpy for a batch of rows: as expressions they are evaluated far slower, and all rows of a point would be sorted
+    with their corners before they become one.
+    """
+    near = near.select("mesh_id", "pid", "·run", *marks, "fid", *[F.col(c).cast("double").alias(c) for c in (*AXES, *CORNERS)])
+
+    def run(batches):
+        for batch in batches:
+            at = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("·run", "fid", *marks, *AXES, *CORNERS)}
+            d = square_distances([at[a] for a in AXES], [[at[f"{a}{k}"] for a in AXES] for k in range(3)])
+            keys = [at["·run"], *[at[m] for m in marks]]
+            order = np.lexsort((at["fid"], d, *reversed(keys)))
+            new = np.zeros(len(order), bool)
+            new[:1] = True
+            for x in keys:
+                new[1:] |= x[order][1:] != x[order][:-1]
+            first = pa.array(order[new])
+            yield pa.RecordBatch.from_arrays([*[x.take(first) for x in batch.columns], pa.array(d[order[new]])], names=[*batch.schema.names, "d"])
+
+    kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in near.schema)
+    return near.mapInArrow(run, f"{kinds}, d double").drop("·run")
+
+
 def _cell(c: Column, size: float) -> Column:
     return F.floor(c / size).cast("long")
 
@@ -83,8 +134,8 @@ def closest(points: DataFrame, v: DataFrame, f: DataFrame, cell: float = 1.0, py
     """
     index = pyramid or Pyramid(v, f, cell)
     p = points.select("mesh_id", "pid", *[F.col(a).cast("double").alias(a) for a in AXES]).where(~F.isnan(F.col("x") + F.col("y") + F.col("z")))
-    met = index.meetings(index.bounded(p), True).join(index.triangles, NODE).where(box_distance([F.col(a) for a in AXES]) <= F.col("bound") * SLACK)
-    best = with_distance(met).groupBy("mesh_id", "pid").agg(F.min(F.struct("d", "fid", *AXES, *CORNERS)).alias("b"))
+    met = numbered_rows(index.meetings(index.bounded(p), True)).join(index.triangles, NODE).where(box_distance([F.col(a) for a in AXES]) <= F.col("bound") * SLACK)
+    best = least_in_tasks(met).groupBy("mesh_id", "pid").agg(F.min(F.struct("d", "fid", *AXES, *CORNERS)).alias("b"))
     best = nearest_points(with_distance(best.select("mesh_id", "pid", "b.*"))).select("mesh_id", "pid", F.sqrt("d").alias("distance"), "fid", "qx", "qy", "qz")
     return points.join(best, ["mesh_id", "pid"], "left")
 
