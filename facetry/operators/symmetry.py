@@ -21,8 +21,8 @@ from ..tables import cut, forget
 from . import mesh, topology
 from .fitting import solved
 from .mesh import AXES
-from .pyramid import NODE, SLACK, Pyramid, box_distance
-from .spatial import nearest_points, with_distance
+from .pyramid import CORNERS, NODE, SLACK, Pyramid, box_distance
+from .spatial import least_in_tasks, nearest_points, numbered_rows, with_distance
 
 PLANE = ["nx", "ny", "nz", "offset"]
 #: Samples of the search and of the refinement; cutoffs as shares of the box's diagonal.
@@ -73,11 +73,13 @@ def score(planes: DataFrame, samples: DataFrame, index: Pyramid, masked: DataFra
     triangles = index.triangles.withColumn("out", F.lit(False))
     if masked is not None:
         triangles = index.triangles.join(masked.select("mesh_id", "fid").distinct().withColumn("out", F.lit(True)), ["mesh_id", "fid"], "left").withColumn("out", F.coalesce("out", F.lit(False)))
-    met = index.meetings(bound, True).join(triangles, NODE).where(box_distance([F.col(a) for a in AXES]) <= F.col("bound") * SLACK)
-    met = with_distance(met)
-    wanted = ["d", "fid", *AXES, *[c for c in met.columns if c.startswith("·")], *[f"{a}{k}" for k in range(3) for a in AXES]]
-    near = met.groupBy("mesh_id", "pid").agg(F.min(F.when(~F.col("out"), F.struct(*wanted))).alias("b"), F.min("d").alias("least"))
-    near = nearest_points(near.where(F.col("b.d") <= F.col("least") * SLACK).select("mesh_id", "pid", "b.*"))
+    met = numbered_rows(index.meetings(bound, True)).join(triangles, NODE).where(box_distance([F.col(a) for a in AXES]) <= F.col("bound") * SLACK)
+    wanted = ["d", "fid", *AXES, *CORNERS]
+    near = least_in_tasks(met, "out").groupBy("mesh_id", "pid").agg(F.min(F.when(~F.col("out"), F.struct(*wanted))).alias("b"), F.min("d").alias("least"))
+    # in two steps, as one would be too long to compile
+    met = cut(near.where(F.col("b.d") <= F.col("least") * SLACK).select("mesh_id", "pid", "b.*"))
+    near = nearest_points(with_distance(met))
+    near = on = cut(near.select("mesh_id", "pid", "d", *AXES, *[f"q{a}" for a in AXES], "·in", "·nn", *[f"·n{i}" for i in range(3)]))
     # the direction in which a distance grows: the face's normal over its inside, else away from the nearest point
     size, away = F.sqrt("·nn"), F.sqrt("d")
     grows = {f"m{a}": F.when(F.col("·in"), F.try_divide(F.col(f"·n{i}"), size)).otherwise(F.try_divide(F.col(a) - F.col(f"q{a}"), away)) for i, a in enumerate(AXES)}
@@ -104,7 +106,7 @@ def score(planes: DataFrame, samples: DataFrame, index: Pyramid, masked: DataFra
     loss = F.when(F.col("samples") > 0, (square + (F.col("samples") - hits) * c2) / F.col("samples")).otherwise(math.inf)
     rms = F.when(F.col("samples").isNull(), 0.0).when(hits > 0, F.sqrt(square / hits)).otherwise(F.col("cutoff"))
     done = cut(out.withColumns({"loss": loss, "rms": rms, "samples": F.coalesce("samples", F.lit(0))} | {c: F.coalesce(c, F.lit(0.0)) for c in _SUMS}).drop("hits", "square"))
-    forget(p, bound)
+    forget(p, bound, met, on)
     return done
 
 
