@@ -119,3 +119,41 @@ def test_holes_are_dealt_over_tasks(spark):
     from pyspark.sql import functions as F
 
     assert holes._rims(v, h).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_ears_of_long_rims_are_those_of_a_whole_search(monkeypatch):
+    def searched(rim):
+        p = patches.flat(rim, patches.newell(rim)[0])
+        left, faces = list(range(len(rim))), []
+        while len(left) > 3:
+            corners = [[left[(k + j) % len(left)] for j in (-1, 0, 1)] for k in range(len(left))]
+            turns = [patches._turn(*p[t]) for t in corners]
+            inside = lambda t: [x for x in left if x not in t and all(patches._turn(p[s], p[e], p[x]) >= -1e-14 for s, e in zip(t, t[1:] + t[:1]))]
+            k = next((k for k, t in enumerate(corners) if turns[k] > 1e-14 and not inside(t)), int(np.argmax(turns)))
+            faces.append(tuple(reversed(corners[k])))
+            left.pop(k)
+        return [*faces, tuple(left[::-1])]
+
+    r = np.random.default_rng(5)
+    star = lambda n: ring(n) * (1 + 0.6 * r.random(n))[:, None] + [0, 0, 0.1]
+    for rim in (star(9), star(30), star(41), r.normal(size=(17, 3))):
+        assert [tuple(t) for t in patches.ear_clip(rim)[1].tolist()] == searched(rim)
+    rim = star(150)
+    calls = []
+    ears = patches.ear_clip
+    monkeypatch.setattr(patches, "ear_clip", lambda x: calls.append(1) or ears(x))
+    monkeypatch.setattr(patches, "RIM_PAIRS", 200)
+    patches.best_patch(rim, [{"kind": "plane", "point": (0, 0, 0), "normal": (0, 0, 1), "radius": 0.0}])
+    assert len(calls) == 1
+    assert np.array_equal(patches.from_rim(ring(40), rim), np.linalg.norm(ring(40)[:, None] - rim[None], axis=2).min(axis=1))
+
+
+def test_the_solver_query_settles_every_hole_of_the_scan(spark):
+    from facetry.plans.catalog import QUERIES
+    from facetry.plans.scans import scan
+
+    d = "/root/testdata/sf0.001"
+    found = holes.holes(*scan(spark, d)).collect()
+    got = QUERIES["g13_solve_fill"](spark, d).collect()
+    assert max(r["edges"] for r in found) > 12
+    assert sorted(r["hole_id"] for r in got) == sorted(r["hole_id"] for r in found)
