@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..tables import cut
 from .loops import ordered_loops
 from .mesh import compact, corners_of, cross
-from .topology import KEY, _least, components, face_components, half_edges
+from .topology import KEY, _least, components, edge_pairs, face_components, half_edges
 
 #: Square of a face's cross product below which it is degenerate.
 FLAT = 1e-14
@@ -119,13 +119,23 @@ def report(v: DataFrame, f: DataFrame, loops: bool = True) -> DataFrame:
 
 def remove_small_components(v: DataFrame, f: DataFrame, ratio: float = 0.005) -> tuple[DataFrame, DataFrame]:
     """Components of at least max(2, ceil(faces * ratio)) faces, or the largest alone if none is."""
-    c = cut(face_components(f))
+    return compact(v, _large(f, face_components(f), ratio))
+
+
+def _large(f: DataFrame, c: DataFrame, ratio: float) -> DataFrame:
+    """The faces that remove_small_components() keeps, by the roots of their components, c."""
+    c = cut(c)
     size = c.groupBy("mesh_id", "root").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("mesh_id")
     top = F.max(F.struct("n", -F.col("root"))).over(w)
     least = F.greatest(F.lit(2), F.ceil(F.sum("n").over(w) * ratio))
     keep = size.select("mesh_id", "root", "n", least.alias("least"), F.max("n").over(w).alias("most"), (top == F.struct("n", -F.col("root"))).alias("largest")).where("CASE WHEN most >= least THEN n >= least ELSE largest END")
-    return compact(v, f.join(c.join(keep, ["mesh_id", "root"], "left_semi"), KEY, "left_semi"))
+    return f.join(c.join(keep, ["mesh_id", "root"], "left_semi"), KEY, "left_semi")
+
+
+def _det():
+    """Six times the volume under a face of corners_of()."""
+    return sum((F.col(f"{a}0") * (F.col(f"{b}1") * F.col(f"{d}2") - F.col(f"{d}1") * F.col(f"{b}2")) for a, b, d in ("xyz", "yzx", "zxy")), F.lit(0.0))
 
 
 def unify_normals(v: DataFrame, f: DataFrame) -> DataFrame:
@@ -134,23 +144,32 @@ def unify_normals(v: DataFrame, f: DataFrame) -> DataFrame:
     Parity by a double cover: every face is two nodes, as it is and flipped; an edge that both faces run alike links one's
     node with the other's flipped one. The component that holds a face's seed, as it is, tells how others turn.
     """
-    h = half_edges(f)
-    first = h.groupBy("mesh_id", "lo", "hi").agg(F.min(F.struct("fid", F.col("u").alias("u0"))).alias("a"))
-    pair = h.join(first, ["mesh_id", "lo", "hi"]).where("fid != a.fid").select("mesh_id", "fid", F.col("a.fid").alias("other"), (F.col("u") == F.col("a.u0")).cast("long").alias("alike"))
-    links = pair.select("mesh_id", F.explode(F.array(*[F.struct((2 * F.col("fid") + s).alias("fid"), (2 * F.col("other") + (F.col("alike") + s) % 2).alias("nb")) for s in (0, 1)])).alias("l")).select("mesh_id", "l.*")
+    return _unified(f.join(corners_of(v, f).select(*KEY, _det().alias("det"), F.lit(True).alias("seen")), KEY, "left"), edge_pairs(f))
+
+
+def _unified(f: DataFrame, pairs: DataFrame) -> DataFrame:
+    """unify_normals() of f (with det, and seen where a face has a corner) by its edge_pairs()."""
+    alike = F.col("alike").cast("long")
+    links = pairs.select("mesh_id", F.explode(F.array(*[F.struct((2 * F.col("fid") + s).alias("fid"), (2 * F.col("other") + (alike + s) % 2).alias("nb")) for s in (0, 1)])).alias("l")).select("mesh_id", "l.*")
     nodes = f.select("mesh_id", F.explode(F.array(2 * F.col("fid"), 2 * F.col("fid") + 1)).alias("fid"))
-    c = cut(components(nodes, links, within=True))
-    # the sheet of the component's least face as it is: an even root
-    mine = c.where("root % 2 = 0").select("mesh_id", F.floor(F.col("fid") / 2).cast("long").alias("fid"), (F.col("fid") % 2).alias("turn"), "root").groupBy("mesh_id", "fid").agg(F.min(F.struct("root", "turn")).alias("r")).select("mesh_id", "fid", "r.root", "r.turn")
-    p = corners_of(v, f).join(mine, KEY)
-    det = sum((F.col(f"{a}0") * (F.col(f"{b}1") * F.col(f"{d}2") - F.col(f"{d}1") * F.col(f"{b}2")) for a, b, d in ("xyz", "yzx", "zxy")), F.lit(0.0))
-    volume = p.groupBy("mesh_id", "root").agg(F.sum(F.when(F.col("turn") == 1, -det).otherwise(det)).alias("volume"))
-    turned = f.join(mine, KEY).join(volume, ["mesh_id", "root"]).withColumn("swap", (F.col("turn") == 1) != (F.col("volume") < -1e-7))
+    c = components(nodes, links, within=True)
+    # the sheet of the component's least face as it is has an even root; a face of the other sheet turns, and the roots of both differ by one
+    mine = c.where("fid % 2 = 0").select("mesh_id", F.floor(F.col("fid") / 2).cast("long").alias("fid"), F.pmod("root", F.lit(2)).alias("turn"), (F.col("root") - F.pmod("root", F.lit(2))).alias("root"))
+    held = cut(f.join(mine, KEY))
+    volume = held.where("seen").groupBy("mesh_id", "root").agg(F.sum(F.when(F.col("turn") == 1, -F.col("det")).otherwise(F.col("det"))).alias("volume"))
+    turned = held.join(volume, ["mesh_id", "root"]).withColumn("swap", (F.col("turn") == 1) != (F.col("volume") < -1e-7))
     return turned.select("mesh_id", "fid", "v0", F.when(F.col("swap"), F.col("v2")).otherwise(F.col("v1")).alias("v1"), F.when(F.col("swap"), F.col("v1")).otherwise(F.col("v2")).alias("v2"))
 
 
 def auto_repair(v: DataFrame, f: DataFrame, ratio: float = 0.005) -> tuple[DataFrame, DataFrame]:
-    """Without degenerate faces, normals unified, small components removed; duplicates stay."""
-    v, f = remove_degenerate(v, f)
-    v, f = cut(v), cut(f)
-    return remove_small_components(v, cut(unify_normals(v, f)), ratio)
+    """Without degenerate faces, normals unified, small components removed; duplicates stay.
+
+    Equal to remove_degenerate(), unify_normals() and remove_small_components() one after the other: those number vertices and faces anew in the
+    order that they have, so it is enough to do so at the end. Corners and edges are met once.
+    """
+    square = sum((c.cast("double") * c for c in cross()), F.lit(0.0))
+    told = corners_of(v, f).select(*KEY, (index_degenerate() | (square < FLAT)).alias("bad"), _det().alias("det"), F.lit(True).alias("seen"))
+    f = cut(f.join(told, KEY, "left").where("NOT coalesce(bad, false)").select(*KEY, "v0", "v1", "v2", "det", "seen"))
+    pairs = cut(edge_pairs(f))
+    c = components(f, pairs.where("two").select("mesh_id", "fid", F.col("other").alias("nb")), within=True)
+    return compact(v, cut(_large(_unified(f, pairs), c, ratio)))
